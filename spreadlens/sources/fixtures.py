@@ -7,8 +7,15 @@ grows with them.  The same derivations are written as SQL CTEs in
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import md5_int, md5_uniform
 from ..functions.text import VALID_DOMAINS, tokens
@@ -51,13 +58,51 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
+def _hashed_bow(dims: int):
+    """Arrow-batched helper: whole text → L2-normalised hashed bag of words.
+
+    Tokens are the lower-cased ``[a-z0-9]+`` runs; a token's bucket is the
+    first 7 hex digits of its md5 modulo ``dims`` (the same value DuckDB
+    computes).  Per batch, tokens are factorised so md5 runs once per
+    distinct token, and counts come from one ``bincount``.  Texts without
+    tokens give null.  The UDF is marked non-deterministic only so the
+    optimiser does not duplicate it into a pushed-down filter.
+    """
+    word = re.compile(r"[a-z0-9]+")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        lists = [word.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+        lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        flat = list(itertools.chain.from_iterable(lists))
+        n = len(lists)
+        if not flat:
+            return pd.Series([None] * n, dtype=object)
+        codes, uniq = pd.factorize(np.asarray(flat, dtype=object))
+        hashed = np.fromiter((int(hashlib.md5(u.encode("utf-8")).hexdigest()[:7], 16) % dims for u in uniq),
+                             dtype=np.int64, count=len(uniq))
+        doc = np.repeat(np.arange(n, dtype=np.int64), lens)
+        counts = np.bincount(doc * dims + hashed[codes], minlength=n * dims).reshape(n, dims).astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        vecs = counts / np.maximum(norms, 1e-12)[:, None]
+        return pd.Series([list(v) if k > 0 else None for v, k in zip(vecs, lens)], dtype=object)
+
+    return embed.asNondeterministic()
+
+
 def text_vectors(resp: DataFrame, dims: int = TEXT_DIMS) -> DataFrame:
     """G15 (re-aimed): hashed bag-of-words embedding of the whole answer text.
 
-    Tokens are hashed into ``dims`` buckets by md5 (same value in DuckDB),
-    counted with a partial aggregation, assembled into a dense vector and
-    L2-normalised.  Output: ``id, e array<double>``.
+    A narrow, per-row map (no shuffle): each response's vector depends on
+    its own text only.  Output: ``id, e array<double>``; texts without any
+    token are dropped.
     """
+    return (resp.select("id", _hashed_bow(dims)(F.col("model_answer")).alias("e"))
+            .where(F.col("e").isNotNull()))
+
+
+def text_vectors_sql(resp: DataFrame, dims: int = TEXT_DIMS) -> DataFrame:
+    """The same embedding with built-in expressions only (explode + two aggregations)."""
     tok = resp.select("id", F.explode(tokens("model_answer")).alias("t"))
     counts = (tok.groupBy("id", (md5_int("t") % dims).cast("int").alias("b"))
               .agg(F.count(F.lit(1)).cast("double").alias("c")))
@@ -71,8 +116,9 @@ def text_vectors(resp: DataFrame, dims: int = TEXT_DIMS) -> DataFrame:
 def text_cloud(spark: SparkSession, sf_dir: str, dims: int = TEXT_DIMS) -> DataFrame:
     """Responses with their text vectors: ``dataset, prompt_id, id, e``."""
     resp = responses(spark, sf_dir)
-    return (resp.select("dataset", "prompt_id", "id")
-            .join(text_vectors(resp, dims), "id"))
+    return (resp.select("dataset", "prompt_id", "id",
+                        _hashed_bow(dims)(F.col("model_answer")).alias("e"))
+            .where(F.col("e").isNotNull()))
 
 
 def dense_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:

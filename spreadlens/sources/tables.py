@@ -39,9 +39,30 @@ RESPONSE_SCHEMA = T.StructType([
 ])
 
 
+BALANCE_MIN_BYTES = 4 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*columns) if columns else df
+    """Scan a driver table, projecting ``columns`` so pruning reaches the reader.
+
+    A Parquet file written as a single row group scans as one task.  When a
+    large table arrives in fewer splits than the cluster has cores, the scan
+    is spread round-robin once so that row-level work (hashing, text) runs
+    in parallel; with many input splits (the normal case at scale) nothing
+    is added.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    if columns:
+        df = df.select(*columns)
+    try:
+        size = os.path.getsize(path)
+    except OSError:
+        size = 0
+    cores = spark.sparkContext.defaultParallelism
+    if size >= BALANCE_MIN_BYTES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def require_columns(df: DataFrame, required: list[str] | None) -> DataFrame:
