@@ -711,3 +711,193 @@ def q_feat_auc(spark, sf):
     qt = question_table(spark, sf)
     long = FX.feature_long(qt, GEO + ["score_mean", "len_mean"], ["prompt_id", "label"])
     return rounded(M.feature_auc(long, [], "label"))
+
+
+# ------------------------------------------------------------------ M: models (rows-only checks unless noted)
+
+LI = FX.LINEITEM_FEATURES
+
+
+@query("standardize_lineitem")
+def q_standardize(spark, sf):
+    """M1: population z-scores (constant → 0)."""
+    from ..operators.models import standardize
+    rows = FX.lineitem_rows(spark, sf)
+    return rounded(standardize(rows, LI).select("row_id", *[c + "_z" for c in LI]))
+
+
+@query("stratified_split")
+def q_split(spark, sf):
+    """M3: md5-seeded stratified 80/20 split."""
+    from ..operators.models import stratified_split
+    return stratified_split(FX.lineitem_rows(spark, sf), "row_id", "y", 0.2, 42).select("row_id", "y", "is_test")
+
+
+@query("stratified_folds")
+def q_folds(spark, sf):
+    """M4: md5-seeded stratified 5 folds."""
+    from ..operators.models import stratified_folds
+    return stratified_folds(FX.lineitem_rows(spark, sf), "row_id", "y", 5, 42).select("row_id", "y", "fold")
+
+
+def _holdout(model):
+    def run(spark, sf):
+        from ..operators.models import holdout_eval
+        return rounded(holdout_eval(FX.lineitem_rows(spark, sf), LI, "y", model, keys=None))
+    return run
+
+
+QUERIES["logistic_holdout"] = _holdout("logistic")          # M5/M12
+QUERIES["elastic_net_holdout"] = _holdout("elastic_net")    # M5
+QUERIES["forest_holdout"] = _holdout("random_forest")       # M6
+QUERIES["boosting_holdout"] = _holdout("gradient_boosting")  # M7
+
+
+@query("svm_platt_auc")
+def q_svm(spark, sf):
+    """M8: calibrated linear SVM, AUC on the hold-out split."""
+    from ..operators.models import standardize, stratified_split, svm_platt
+    rows = standardize(FX.lineitem_rows(spark, sf), LI)
+    sp = stratified_split(rows, "row_id", "y", 0.2, 42).persist()
+    pred = svm_platt(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), [c + "_z" for c in LI], "y")
+    return rounded(M.auc(pred.withColumn("yy", F.col("y").cast("int")), [], "p", "yy"))
+
+
+@query("adaboost_auc")
+def q_ada(spark, sf):
+    """M9: AdaBoost of stumps (6 rounds), AUC on the hold-out split."""
+    from ..operators.models import adaboost, stratified_split
+    sp = stratified_split(FX.lineitem_rows(spark, sf), "row_id", "y", 0.2, 42)
+    pred = adaboost(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), LI, "y", rounds=6)
+    return rounded(M.auc(pred.withColumn("yy", F.col("y").cast("int")), [], "p", "yy"))
+
+
+@query("cv_model_selection")
+def q_cv(spark, sf):
+    """Out-of-fold AUC/AP mean ± std per classifier (3 folds)."""
+    from ..operators.models import cv_selection, oof_predictions
+    oof = oof_predictions(FX.lineitem_rows(spark, sf), LI, "y", ["logistic", "elastic_net", "random_forest"], k=3)
+    return rounded(cv_selection(oof))
+
+
+@query("feature_ablation")
+def q_ablation(spark, sf):
+    """Feature subsets × classifier, out-of-fold AUC."""
+    from ..operators.models import cv_selection, oof_predictions
+    rows = FX.lineitem_rows(spark, sf)
+    out = None
+    for name, feats in {"price_only": ["extendedprice"], "rates": ["discount", "tax"], "all": LI}.items():
+        r = cv_selection(oof_predictions(rows, feats, "y", ["logistic"], k=2)).withColumn("subset", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return rounded(out)
+
+
+@query("per_dataset_clf")
+def q_per_ds(spark, sf):
+    """Hold-out evaluation per dataset (one plan keyed by dataset)."""
+    from ..operators.models import holdout_eval
+    rows = FX.lineitem_rows(spark, sf)
+    return rounded(holdout_eval(rows, LI, "y", "logistic", keys=["dataset"]))
+
+
+@query("leave_one_dataset_out")
+def q_lobo(spark, sf):
+    """Leave-one-benchmark-out AUC on the question table."""
+    from ..operators.models import leave_one_out
+    qt = question_table(spark, sf).persist()
+    return rounded(leave_one_out(qt, "dataset", ["ds0", "ds1", "ds2", "ds3", "ds4"], GEO, "label", "logistic"))
+
+
+@query("transfer_matrix")
+def q_transfer(spark, sf):
+    """Train on one line status, AUC on each."""
+    from ..operators.models import transfer_matrix
+    return rounded(transfer_matrix(FX.lineitem_rows(spark, sf), "dataset", ["F", "O"], LI, "y", "logistic"))
+
+
+@query("layerwise_probe")
+def q_layer_probe(spark, sf):
+    """Probe AUC per layer vs all layers (eigen vectors)."""
+    from ..operators.models import probe_eval
+    eig = FX.eigen_long(spark, sf)
+    labels = eig.select("id", "label").distinct()
+    out = None
+    for layer in [None, 0, 1, 2, 3]:
+        e = eig if layer is None else eig.where(F.col("layer") == layer)
+        vec = A.eigen_vectors(e.withColumn("layer", F.lit(0)) if layer is not None else e, 1 if layer is not None else 4, 4, 4)
+        r = probe_eval(vec, labels, k=4).withColumn("layer", F.lit("all" if layer is None else str(layer)))
+        out = r if out is None else out.unionByName(r)
+    return rounded(out)
+
+
+@query("topk_vs_baseline")
+def q_topk_baseline(spark, sf):
+    """Top-4 vs top-2 Laplacian features vs the attention-score baseline."""
+    from ..operators.models import probe_eval
+    att = FX.attention(spark, sf).persist()
+    lab = FX.attention_labels(spark, sf)
+    top = A.top_k_eigenvalues(A.laplacian_diagonal(att), 4).persist()
+    r4 = probe_eval(A.eigen_vectors(top, 2, 2, 4), lab.select("id", "label"), k=4).withColumn("variant", F.lit("top4"))
+    r2 = probe_eval(A.eigen_vectors(A.top_of_top(top, 2), 2, 2, 2), lab.select("id", "label"), k=4).withColumn("variant", F.lit("top2"))
+    score = A.attention_score(att).groupBy("id").agg(F.avg("attention_score").alias("s")).join(lab, "id")
+    base = M.auc(score, [], "s", "label").withColumn("variant", F.lit("attention_score"))
+    return rounded(r4.unionByName(r2).unionByName(base))
+
+
+@query("grid_search")
+def q_grid(spark, sf):
+    """CrossValidator over penalty strength × l1 ratio (2 folds, AUC)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from ..operators.models import prepare, stratified_folds, standardize
+    rows = standardize(FX.lineitem_rows(spark, sf), LI)
+    data = prepare(stratified_folds(rows, "row_id", "y", 2, 42), [c + "_z" for c in LI], "y")
+    lr = LogisticRegression(standardization=False, maxIter=50)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
+                        foldCol="fold", numFolds=2, parallelism=2)
+    model = cv.fit(data)
+    rows_out = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
+                for pm, m in zip(grid, model.avgMetrics)]
+    return spark.createDataFrame(rows_out, "reg_param double, l1_ratio double, cv_auc double")
+
+
+@query("two_sampling_transfer")
+def q_two_sampling(spark, sf):
+    """Features from two embeddings; train on one, test on the other."""
+    from ..operators.models import fit_score
+    resp = FX.responses(spark, sf)
+    counts = R.question_counts(resp).select("prompt_id", "label")
+    base = resp.select("prompt_id", "id")
+    a = G.cloud_dispersion(base.join(FX.text_vectors(resp, 64), "id"), ["prompt_id"]).join(counts, "prompt_id").persist()
+    b = G.cloud_dispersion(base.join(FX.text_vectors(resp, 32), "id"), ["prompt_id"]).join(counts, "prompt_id").persist()
+    p_ab = fit_score(a, b, GEO, "label", "logistic").withColumn("direction", F.lit("64->32"))
+    p_aa = fit_score(a, a, GEO, "label", "logistic").withColumn("direction", F.lit("64->64"))
+    both = p_ab.unionByName(p_aa).withColumn("y", F.col("label").cast("int"))
+    return rounded(M.auc(both, ["direction"], "p", "y"))
+
+
+@query("linear_attribution")
+def q_attr(spark, sf):
+    """Mean |contribution| per feature of a logistic model."""
+    from ..operators.models import linear_attribution
+    contrib = linear_attribution(FX.lineitem_rows(spark, sf), LI, "y", "row_id")
+    return rounded(contrib.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution")))
+
+
+@query("pca_variance")
+def q_pca(spark, sf):
+    """M2: explained variance of 8 principal components of the eigen vectors."""
+    from ..operators.models import pca_variance
+    vec = A.eigen_vectors(FX.eigen_long(spark, sf), 4, 4, 4).select(
+        "id", __import__("pyspark.ml.functions", fromlist=["array_to_vector"]).array_to_vector("features").alias("v"))
+    return rounded(pca_variance(vec, "v", 8))
+
+
+@query("bootstrap_oob_auc")
+def q_boot_auc(spark, sf):
+    """H3: out-of-bag RF AUC over 3 bootstrap replicates of the question table."""
+    from ..operators.models import bootstrap_oob_auc
+    qt = question_table(spark, sf).persist()
+    return rounded(bootstrap_oob_auc(qt, GEO, "label", "prompt_id", n_boot=3))

@@ -722,4 +722,13 @@ def build() -> dict[str, str]:
         f"SELECT prompt_id, label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM qtable" for f in GEO + ["score_mean", "len_mean"]) + ")"
     O["feature_auc"] = rnd(with_(QTABLE + [flong] + auc_sql("flong", ["feature"], "value", "label", "fauc"), "SELECT * FROM fauc"), ["auc"])
 
+    zs = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END AS {c}_z"
+                   for c in LINEITEM_FEATURES)
+    O["standardize_lineitem"] = rnd(with_([LI_ROWS], f"SELECT row_id, {zs} FROM li_rows"), [c + "_z" for c in LINEITEM_FEATURES])
+    order = f"{md5i('42', 'row_id')}, row_id"
+    O["stratified_split"] = with_([LI_ROWS], f"""
+      SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY {order}) <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_test
+      FROM li_rows""")
+    O["stratified_folds"] = with_([LI_ROWS], f"""
+      SELECT row_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY {order}) - 1) % 5 AS INTEGER) AS fold FROM li_rows""")
     return O
