@@ -144,13 +144,13 @@ def svm_platt(train: DataFrame, test: DataFrame, features: list[str], label: str
     tr = stratified_folds(train, id_col, label, folds, seed).persist()
     oof = None
     for k in range(folds):
-        fit = LinearSVC(maxIter=50, regParam=0.01).fit(prepare(tr.where(F.col("fold") != k), features, label))
+        fit = LinearSVC(maxIter=10, regParam=0.01, tol=1e-4).fit(prepare(tr.where(F.col("fold") != k), features, label))
         m = fit.transform(prepare(tr.where(F.col("fold") == k), features, label)) \
             .select("label", vector_to_array("rawPrediction")[1].alias("margin"))
         oof = m if oof is None else oof.unionByName(m)
     platt = LogisticRegression(featuresCol="mf", labelCol="label").fit(
         VectorAssembler(inputCols=["margin"], outputCol="mf").transform(oof))
-    svm = LinearSVC(maxIter=50, regParam=0.01).fit(prepare(train, features, label))
+    svm = LinearSVC(maxIter=10, regParam=0.01, tol=1e-4).fit(prepare(train, features, label))
     te = svm.transform(prepare(test, features, label)).withColumn("margin", vector_to_array("rawPrediction")[1])
     te = VectorAssembler(inputCols=["margin"], outputCol="mf").transform(te.drop("probability", "prediction"))
     return positive_prob(platt.transform(te.drop("rawPrediction")))
