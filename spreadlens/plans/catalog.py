@@ -901,3 +901,21 @@ def q_boot_auc(spark, sf):
     from ..operators.models import bootstrap_oob_auc
     qt = question_table(spark, sf).persist()
     return rounded(bootstrap_oob_auc(qt, GEO, "label", "prompt_id", n_boot=3))
+
+
+# ------------------------------------------------------------------ W: streaming (batch form)
+
+@query("daily_error_rate")
+def q_daily(spark, sf):
+    """W2 batch form: daily tumbling windows of events, error rate per event day and user bucket."""
+    from ..streaming.intake import window_rates_batch
+    ev = read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
+    ev = ev.withColumn("user_bucket", (F.col("user_id") % 4).cast("int"))
+    return rounded(window_rates_batch(ev, "user_bucket", F.col("event_type") == "error"))
+
+
+@query("dedup_events")
+def q_dedup(spark, sf):
+    """W1 batch form: events with duplicate ids removed (first by time)."""
+    ev = read_table(spark, sf, "events", ["event_id", "ts", "event_type"])
+    return ev.groupBy("event_id").agg(F.min("ts").alias("ts"), F.min_by("event_type", "ts").alias("event_type"))

@@ -731,4 +731,10 @@ def build() -> dict[str, str]:
       FROM li_rows""")
     O["stratified_folds"] = with_([LI_ROWS], f"""
       SELECT row_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY {order}) - 1) % 5 AS INTEGER) AS fold FROM li_rows""")
+    O["daily_error_rate"] = rnd("""
+      SELECT time_bucket(INTERVAL 1 day, ts) AS window_start, CAST(user_id % 4 AS INTEGER) AS user_bucket, count(*) AS n,
+             CAST(sum(CAST(event_type = 'error' AS INTEGER)) AS BIGINT) AS n_flagged,
+             sum(CAST(event_type = 'error' AS INTEGER)) / count(*) AS rate
+      FROM events GROUP BY ALL""", ["rate"])
+    O["dedup_events"] = "SELECT event_id, min(ts) AS ts, arg_min(event_type, ts) AS event_type FROM events GROUP BY event_id"
     return O
