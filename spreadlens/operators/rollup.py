@@ -224,7 +224,7 @@ def describe(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> D
     Output is long: ``(keys, feature, count, mean, std, min, q25, q50, q75, max)``.
     """
     keys = keys or []
-    long = df.unpivot(keys or None, cols, "feature", "value") if keys else df.select(*cols).unpivot(None, cols, "feature", "value")
+    long = df.select(*keys, *cols).unpivot(keys, cols, "feature", "value")
     long = long.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
     k = keys + ["feature"]
     mom = long.groupBy(*k).agg(F.count("value").alias("count"), F.avg("value").alias("mean"),

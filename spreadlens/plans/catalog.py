@@ -919,3 +919,57 @@ def q_dedup(spark, sf):
     """W1 batch form: events with duplicate ids removed (first by time)."""
     ev = read_table(spark, sf, "events", ["event_id", "ts", "event_type"])
     return ev.groupBy("event_id").agg(F.min("ts").alias("ts"), F.min_by("event_type", "ts").alias("event_type"))
+
+
+# ------------------------------------------------------------------ G16–G18, H12, N1
+
+@query("embedding_2d")
+def q_2d(spark, sf):
+    """PCA 2-D projection of the dense vectors (rows-only: component signs are arbitrary)."""
+    return rounded(G.project_2d(FX.dense_cloud(spark, sf)))
+
+
+@query("hull_area_2d")
+def q_hull(spark, sf):
+    """Convex-hull area per question on the first two vector coordinates."""
+    pts = FX.dense_cloud(spark, sf).select("prompt_id", "id", F.col("e")[0].alias("z1"), F.col("e")[1].alias("z2"))
+    return rounded(G.hull_area(pts, ["prompt_id"], bucket_rows=16))
+
+
+@query("domain_median_centroid")
+def q_median_centroid(spark, sf):
+    """Per-group median of the first two coordinates, groups with ≥ 5 points."""
+    pts = FX.dense_cloud(spark, sf).select("prompt_id", F.col("e")[0].alias("z1"), F.col("e")[1].alias("z2"))
+    out = None
+    for c in ("z1", "z2"):
+        cnt = pts.groupBy("prompt_id", c).agg(F.count(F.lit(1)).alias("_c"))
+        med = R.median_from_counts(cnt, ["prompt_id"], c, "_c").withColumnRenamed("median", f"median_{c}")
+        out = med if out is None else out.join(med, "prompt_id")
+    n = pts.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(out.join(n, "prompt_id").where(F.col("n") >= 5))
+
+
+@query("density_peak_2d")
+def q_peak(spark, sf):
+    """2-D KDE peak per question (20×20 grid, bandwidth 0.25)."""
+    pts = FX.dense_cloud(spark, sf).select("prompt_id", F.col("e")[0].alias("z1"), F.col("e")[1].alias("z2"))
+    return rounded(G.density_peak(pts, ["prompt_id"], "z1", "z2", grid=20, bandwidth=0.25))
+
+
+@query("describe_questions")
+def q_describe_q(spark, sf):
+    """E16 on the question table's geometric features."""
+    return rounded(R.describe(question_table(spark, sf), GEO))
+
+
+@query("stats_summary")
+def q_stats_summary(spark, sf):
+    """Per dataset: questions, hallucination rate, KS-significant features, best KS feature."""
+    qt = question_table(spark, sf).persist()
+    long = FX.feature_long(qt, GEO, ["dataset", "prompt_id", "label"])
+    ks = H.ks_tests(long, ["dataset", "feature"], n_tests=len(GEO))
+    agg_ks = ks.groupBy("dataset").agg(F.sum(F.col("significant").cast("int")).alias("n_significant"),
+                                       F.max_by("feature", F.struct("ks_stat", "feature")).alias("best_ks_feature"),
+                                       F.max("ks_stat").alias("best_ks_stat"))
+    base = qt.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_questions"), F.avg("label").alias("rate"))
+    return rounded(base.join(agg_ks, "dataset", "left"))

@@ -737,4 +737,26 @@ def build() -> dict[str, str]:
              sum(CAST(event_type = 'error' AS INTEGER)) / count(*) AS rate
       FROM events GROUP BY ALL""", ["rate"])
     O["dedup_events"] = "SELECT event_id, min(ts) AS ts, arg_min(event_type, ts) AS event_type FROM events GROUP BY event_id"
+    O["domain_median_centroid"] = rnd("""
+      SELECT 'v' || CAST(label AS VARCHAR) AS prompt_id,
+             CAST(median(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS DOUBLE) AS median_z1,
+             CAST(median(embedding[2] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS DOUBLE) AS median_z2,
+             count(*) AS n
+      FROM embeddings GROUP BY label HAVING count(*) >= 5""", ["median_z1", "median_z2"])
+    O["density_peak_2d"] = rnd(with_([DENSE_VEC, """
+      pts AS (SELECT prompt_id, id, max(CASE WHEN pos = 0 THEN v END) AS z1, max(CASE WHEN pos = 1 THEN v END) AS z2
+              FROM dense_vec GROUP BY prompt_id, id),
+      b AS (SELECT prompt_id, min(z1) AS x0, max(z1) AS x1, min(z2) AS y0, max(z2) AS y1 FROM pts GROUP BY prompt_id),
+      g AS (SELECT b.prompt_id, gi AS g, x0 + (gi % 20) * (x1 - x0) / 19 AS gx, y0 + floor(gi / 20) * (y1 - y0) / 19 AS gy
+            FROM b, (SELECT unnest(range(0, 400)) AS gi) r),
+      d AS (SELECT g.prompt_id, g.g, g.gx, g.gy, sum(exp(-(pow(p.z1 - g.gx, 2) + pow(p.z2 - g.gy, 2)) / (2 * 0.25 * 0.25))) AS d
+            FROM g JOIN pts p ON p.prompt_id = g.prompt_id GROUP BY ALL)"""], """
+      SELECT prompt_id, arg_max(gx, (d, -g)) AS peak_x, arg_max(gy, (d, -g)) AS peak_y, max(d) AS peak_density
+      FROM d GROUP BY prompt_id"""), ["peak_x", "peak_y", "peak_density"])
+    O["describe_questions"] = rnd(with_(QTABLE + ["ql AS (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM qtable" for f in GEO) + ")"], """
+      SELECT feature, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+             max(value) AS max, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
+             quantile_cont(value, 0.75) AS q75
+      FROM ql WHERE value IS NOT NULL GROUP BY feature"""), ["mean", "std", "min", "max", "q25", "q50", "q75"])
     return O
