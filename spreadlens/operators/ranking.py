@@ -5,8 +5,9 @@ task; with one dataset or feature holding a third of all rows that task
 does not finish.  ``prefix_sums`` computes the same inclusive running sums
 in two levels:
 
-1. approximate quantiles of the order column (one small broadcast row) cut
-   the rows of every key into ordered *slices*;
+1. approximate quantiles of the order column (a few numbers computed by
+   one small job and fixed in the plan, as Spark's range partitioner does)
+   cut the rows of every key into ordered *slices*;
 2. a window partitioned by ``(keys, slice)`` computes the local running sum,
    a ``groupBy(keys, slice)`` the slice totals;
 3. a window over the small totals table gives each slice its offset, which is
@@ -40,14 +41,19 @@ def order_surrogate(df: DataFrame, c: str) -> Column:
     return col.cast("double")
 
 
-def slice_bounds(df: DataFrame, sur: Column, n_slices: int) -> DataFrame:
-    """One row: ``n_slices - 1`` approximate quantiles of the surrogate over all rows.
+def slice_bounds(df: DataFrame, sur: Column, n_slices: int) -> list[float]:
+    """``n_slices - 1`` approximate quantiles of the surrogate over all rows.
 
-    The bounds are global, not per key: a key that holds a large share of
-    the rows also shapes the quantiles, so its rows spread over many slices.
+    Like Spark's own range partitioner, the boundaries are computed once by a
+    small job and then fixed in the plan as literals, so every branch of the
+    plan and every retried task uses the same slices.  They are global, not
+    per key: a key holding a large share of the rows shapes them, so its
+    rows spread over many slices.
     """
     probs = [i / n_slices for i in range(1, n_slices)]
-    return df.agg(F.percentile_approx(sur, probs, 10000).alias("_bounds"))
+    row = df.agg(F.percentile_approx(sur, probs, 10000).alias("_b")).first()
+    vals = row["_b"] if row is not None and row["_b"] is not None else []
+    return sorted({float(v) for v in vals})
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, Column],
@@ -65,13 +71,12 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, Col
     x = df.withColumn("_sur", sur)
     for name, expr in sums.items():
         x = x.withColumn("_v_" + name, expr)
-    # A single row of n_slices numbers: a broadcast with a proven size bound.
-    # The broadcast is computed once per query and shared by both branches
-    # below, so every row sees the same boundaries even when tasks are retried.
-    bounds = slice_bounds(x, F.col("_sur"), n_slices).withColumn("_one", F.lit(1))
-    x = (x.withColumn("_one", F.lit(1)).join(F.broadcast(bounds), "_one").drop("_one")
-         .withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col("_sur"))))
-         .drop("_bounds"))
+    bounds = slice_bounds(x, F.col("_sur"), n_slices)
+    # slice = number of boundaries below the value (plain comparisons, code-generated)
+    slice_expr = F.lit(0)
+    for b in bounds:
+        slice_expr = slice_expr + (F.col("_sur") > F.lit(b)).cast("int")
+    x = x.withColumn("_slice", slice_expr)
 
     ordering = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     w_local = (Window.partitionBy(*keys, "_slice").orderBy(*ordering)
