@@ -71,6 +71,8 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, Col
     x = df.withColumn("_sur", sur)
     for name, expr in sums.items():
         x = x.withColumn("_v_" + name, expr)
+    # the boundary job and the main plan share one computation of the input
+    x = x.persist()
     bounds = slice_bounds(x, F.col("_sur"), n_slices)
     # slice = number of boundaries below the value (plain comparisons, code-generated)
     slice_expr = F.lit(0)
