@@ -973,3 +973,21 @@ def q_stats_summary(spark, sf):
                                        F.max("ks_stat").alias("best_ks_stat"))
     base = qt.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_questions"), F.avg("label").alias("rate"))
     return rounded(base.join(agg_ks, "dataset", "left"))
+
+
+@query("domain_stats")
+def q_domain_stats(spark, sf):
+    """Per-domain question count, hallucinated count, rate mean/std, mean H_sem."""
+    from .features import question_features
+    feat = question_features(FX.responses(spark, sf), FX.text_cloud(spark, sf))
+    return rounded(R.domain_stats(feat))
+
+
+@query("label_policies")
+def q_label_policies(spark, sf):
+    """§1 label rules side by side: merged, non-correct rate, k-of-n (k = 8)."""
+    resp = FX.responses(spark, sf)
+    merged = R.label_by_policy(resp, "merged").withColumnRenamed("label", "label_merged")
+    rate = R.label_by_policy(resp, "non_correct_rate").withColumnRenamed("label", "non_correct_rate")
+    kofn = R.label_by_policy(resp, "k_of_n", k=8).withColumnRenamed("label", "label_k_of_n")
+    return rounded(rate.join(kofn, "prompt_id").join(merged, "prompt_id", "left"))

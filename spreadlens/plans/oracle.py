@@ -759,4 +759,10 @@ def build() -> dict[str, str]:
              max(value) AS max, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
              quantile_cont(value, 0.75) AS q75
       FROM ql WHERE value IS NOT NULL GROUP BY feature"""), ["mean", "std", "min", "max", "q25", "q50", "q75"])
+    O["label_policies"] = rnd(with_([RESPONSES, COUNTS], """
+      SELECT r.prompt_id, r.non_correct_rate, r.label_k_of_n, c.label AS label_merged FROM
+        (SELECT prompt_id, avg(CAST(lower(correctness) <> 'correct' AS DOUBLE)) AS non_correct_rate,
+                CAST(sum(CAST(lower(correctness) <> 'correct' AS INTEGER)) >= 8 AS INTEGER) AS label_k_of_n
+         FROM responses_fx GROUP BY prompt_id) r
+      LEFT JOIN qcounts c ON c.prompt_id = r.prompt_id"""), ["non_correct_rate"])
     return O
