@@ -12,9 +12,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -44,9 +49,28 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context.
+
+    The driver's own file server hands the archive to the executors, so they
+    need neither the driver's folders nor its ``sys.path``.
+    """
+    sc = spark.sparkContext
+    if sc in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spreadlens-pkg-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc)
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
