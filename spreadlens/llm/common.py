@@ -99,7 +99,11 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 
 def to_strings(col: pa.Array) -> list[str]:
-    return ["" if s is None else s for s in col.to_pylist()]
+    """The texts of a column; null is empty, bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return ["" if s is None else s for s in col.to_pylist()]
+    except UnicodeDecodeError:
+        return [(s or b"").decode("utf-8", "replace") for s in col.cast(pa.binary()).to_pylist()]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
