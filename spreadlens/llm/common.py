@@ -106,6 +106,33 @@ def to_strings(col: pa.Array) -> list[str]:
         return [(s or b"").decode("utf-8", "replace") for s in col.cast(pa.binary()).to_pylist()]
 
 
+def text_sample(docs: DataFrame, rows: int, size: int) -> list[str]:
+    """At most ``rows`` whole texts of together at most ``size`` bytes, in the order of a hash of the id."""
+    chosen = bounded_ids(documents(docs).select("doc_id", (F.octet_length("text") + 64).alias("size")).filter("doc_id is not null and size is not null")
+                         .groupBy("doc_id").agg(F.max("size").alias("size")), rows, size)
+    return [t for _, t in texts_of(docs, chosen)]
+
+
+def bounded_ids(sized: DataFrame, rows: int, size: int) -> list[int]:
+    """The first ``rows`` ids of ``sized`` (doc_id, size) in the order of a hash whose sizes sum to at most ``size``."""
+    out, total = [], 0
+    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():  # at most ``rows`` rows
+        total += r["size"]
+        if total > size:
+            break
+        out.append(r["doc_id"])
+    return out
+
+
+def texts_of(docs: DataFrame, ids: list[int]) -> list[tuple[int, str]]:
+    """(doc_id, text) of the few documents ``ids``, in the order of their ids; the largest text of a repeated id."""
+    if not ids:
+        return []
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    got = documents(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id")
+    return [(r["doc_id"], r["text"] or "") for r in got.collect()]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder (``spark.checkpoint.dir``)."""
     from ..session import ensure_checkpoint_dir
