@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional GRU with attention pooling, trained in numpy (operator 3).
 
-Every word becomes a vector of its hashed word embedding and the mean of its
-hashed character-gram embeddings.  A GRU reads windows of ``WINDOW`` words in
+Every word becomes a vector of its hashed word embedding, the mean of its
+hashed character-gram embeddings, and that of the grams at its two ends.  A GRU reads windows of ``WINDOW`` words in
 both directions, attention pools its states, and a logistic unit scores the
 window.  All overlapping windows of a whole text are scored; the text's score
 is the calibrated score of its highest window.
@@ -36,9 +36,11 @@ SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 24 << 20
 THRESHOLD = 0.3
 WINDOW, STRIDE = 32, 16
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 15
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 16
 DIM, HIDDEN = 8, 8
 GRAMS = (3, 4, 5)
+EDGE_GRAMS = (4, 5, 6)
+INPUT = 3 * DIM
 PIECE = 2 << 20
 ROUNDS, EPOCHS, BATCH = 4, 3, 256
 
@@ -52,34 +54,47 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
 @dataclass
 class Words:
-    """Texts as word numbers: text t has words ``at[first[t]:first[t + 1]]``; each distinct word has a bucket and grams."""
+    """Texts as word numbers: text t has words ``at[first[t]:first[t + 1]]``.
+
+    Each distinct word has a bucket, and in ``grams`` a list of gram buckets of
+    its inside and of its ends: (all buckets, where each word's begin).
+    """
 
     first: np.ndarray
     at: np.ndarray
     bucket: np.ndarray
-    grams: np.ndarray
-    gram_first: np.ndarray
+    grams: list[tuple[np.ndarray, np.ndarray]]
 
 
-def gram_buckets(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte grams of each word between a begin and an end mark, and where each word's begin."""
+def gram_buckets(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the byte grams of each word between a begin and an end mark: all, and those that hold a mark."""
     size = stops - starts + 2
     edge = np.concatenate([[0], np.cumsum(size)])
     text = np.ones(edge[-1], np.uint64)
-    inner = np.ones(edge[-1], bool)
-    inner[edge[:-1]] = inner[edge[1:] - 1] = False
+    mark = np.zeros(edge[-1], bool)
+    mark[edge[:-1]] = mark[edge[1:] - 1] = True
     src = np.repeat(starts - edge[:-1] - 1, size) + np.arange(edge[-1])
-    text[inner] = buf[src[inner]]
+    text[~mark] = buf[src[~mark]]
     word = np.repeat(np.arange(len(starts)), size)
-    found, owner = [], []
-    for n in GRAMS:
-        h = flat.window_hashes(text, n)
-        ok = word[:len(h)] == word[n - 1:n - 1 + len(h)]
-        found.append(((h[ok] + np.uint64(n)) % np.uint64(GRAM_BUCKETS)).astype(np.int32))
-        owner.append(word[:len(h)][ok])
-    owner, found = np.concatenate(owner), np.concatenate(found)
-    order = np.argsort(owner, kind="stable")
-    return found[order], np.searchsorted(owner[order], np.arange(len(starts) + 1))
+    out = []
+    for lengths, at_ends in ((GRAMS, False), (EDGE_GRAMS, True)):
+        found, owner = [], []
+        for n in lengths:
+            h = flat.window_hashes(text, n)
+            k = np.arange(len(h))
+            ok = word[:len(h)] == word[n - 1:n - 1 + len(h)]
+            if at_ends:
+                ok &= mark[:len(h)] | mark[n - 1:n - 1 + len(h)]
+            k = k[ok]
+            found.append(((h[k] + np.uint64(n + 100 * at_ends)) % np.uint64(GRAM_BUCKETS)).astype(np.int32))
+            owner.append(word[k])
+        # every word owns at least the bucket of its length, so that no mean is empty
+        found.append((size % GRAM_BUCKETS).astype(np.int32))
+        owner.append(np.arange(len(starts)))
+        owner, found = np.concatenate(owner), np.concatenate(found)
+        order = np.argsort(owner, kind="stable")
+        out.append((found[order], np.searchsorted(owner[order], np.arange(len(starts) + 1))))
+    return out
 
 
 def words_of(texts: list[str]) -> Words:
@@ -88,9 +103,9 @@ def words_of(texts: list[str]) -> Words:
     buf = np.frombuffer(b"".join(raw), np.uint8)
     starts, stops, doc = flat.spans(buf, offsets, WORD)
     hashes, one, at = np.unique(flat.span_hashes(buf, starts, stops), return_index=True, return_inverse=True)
-    grams, gram_first = gram_buckets(buf, starts[one], stops[one]) if len(one) else (np.empty(0, np.int32), np.zeros(1, np.int64))
+    grams = gram_buckets(buf, starts[one], stops[one])
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return Words(first, at, (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), grams, gram_first)
+    return Words(first, at, (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), grams)
 
 
 def windows_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +123,7 @@ def windows_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
     g = lambda *s, a=1.0: (rng.standard_normal(s) * a).astype(np.float32)
-    d = 2 * DIM
+    d = INPUT
     return {"word": g(WORD_BUCKETS, DIM, a=0.1), "gram": g(GRAM_BUCKETS, DIM, a=0.3), "x": g(2, d, 3 * HIDDEN, a=d ** -0.5),
             "xb": np.zeros((2, 1, 3 * HIDDEN), np.float32), "u": g(2, HIDDEN, 3 * HIDDEN, a=HIDDEN ** -0.5),
             "nb": np.zeros((2, 1, HIDDEN), np.float32), "att": g(2 * HIDDEN, a=0.3), "out": g(2 * HIDDEN, a=0.3),
@@ -119,13 +134,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def word_vectors(p: dict, w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of the distinct words ``which``; their grams' places and counts."""
-    n = w.gram_first[which + 1] - w.gram_first[which]
-    begin = np.cumsum(n) - n
-    own = w.grams[np.repeat(w.gram_first[which] - begin, n) + np.arange(int(n.sum()))]
-    mean = np.add.reduceat(p["gram"][own], begin, axis=0) / n[:, None].astype(np.float32)
-    return np.concatenate([p["word"][w.bucket[which]], mean], 1).astype(np.float32), own, n
+def word_vectors(p: dict, w: Words, which: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Vectors of the distinct words ``which``; the buckets and counts of their grams."""
+    parts, lists = [p["word"][w.bucket[which]]], []
+    for grams, first in w.grams:
+        n = first[which + 1] - first[which]
+        begin = np.cumsum(n) - n
+        own = grams[np.repeat(first[which] - begin, n) + np.arange(int(n.sum()))]
+        parts.append(np.add.reduceat(p["gram"][own], begin, axis=0) / n[:, None].astype(np.float32))
+        lists.append((own, n))
+    return np.concatenate(parts, 1).astype(np.float32), lists
 
 
 def forward(p: dict, gates: np.ndarray, index: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -194,7 +212,7 @@ def step(p: dict, w: Words, index: np.ndarray, y: np.ndarray, weight: np.ndarray
     pad = int(which[0] == -1)
     which = which[pad:]
     index = at - pad
-    vec, own, n = word_vectors(p, w, which)
+    vec, lists = word_vectors(p, w, which)
     drop = np.ones((len(which), 1), np.float32) if rng is None else (rng.random((len(which), 1)) > 0.4).astype(np.float32)
     vec[:, :DIM] *= drop
     gates = np.concatenate([vec @ p["x"] + p["xb"], np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
@@ -211,7 +229,8 @@ def step(p: dict, w: Words, index: np.ndarray, y: np.ndarray, weight: np.ndarray
     g["x"], g["xb"] = vec.T @ dg, dg.sum(1, keepdims=True)
     dvec = np.einsum("kwg,kdg->wd", dg, p["x"])
     g["word"] = (w.bucket[which], dvec[:, :DIM] * drop)
-    g["gram"] = (own, np.repeat(dvec[:, DIM:] / n[:, None].astype(np.float32), n, axis=0))
+    spread = [np.repeat(dvec[:, (i + 1) * DIM:(i + 2) * DIM] / n[:, None].astype(np.float32), n, axis=0) for i, (_, n) in enumerate(lists)]
+    g["gram"] = (np.concatenate([own for own, _ in lists]), np.concatenate(spread))
     return loss, g
 
 
@@ -274,8 +293,11 @@ def calibration(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (0.0, float(np.log((n1 + 1) / (n0 + 1))))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights from whole texts and their 0/1 labels; ``scale`` turns the highest window's logit into the score."""
+def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights from whole texts and their 0/1 labels; ``scale`` turns the highest window's logit into the score.
+
+    ``toxic_share`` is that of all labelled rows, where the sample holds another share (its classes have separate bounds).
+    """
     rng = np.random.default_rng(seed)
     p = init(rng)
     y = labels.astype(np.float32)
@@ -317,7 +339,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.n
     fit = kept_out & np.isfinite(top)
     if len(set(y[fit].tolist())) < 2:
         fit = np.isfinite(top)
-    p["scale"] = np.array(calibration(top[fit], y[fit]))
+    slope, offset = calibration(top[fit], y[fit])
+    if toxic_share is not None and 0 < toxic_share < 1 and 0 < (own := float(y[fit].mean())) < 1:
+        offset += np.log(toxic_share / (1 - toxic_share)) - np.log(own / (1 - own))
+    p["scale"] = np.array([slope, offset])
     return p
 
 
@@ -341,8 +366,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of at most ``rows`` labelled rows a class and ``size`` bytes, in the order of a hash."""
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, float | None]:
+    """Whole texts and labels of at most ``rows`` labelled rows a class and ``size`` bytes, in the order of a hash of the id.
+
+    Third comes the share of toxic rows among all labelled rows that aren't held out.
+    """
     docs = common.documents(docs)
     marks = (common.take(labels, doc_id="bigint", toxic="int").filter("doc_id is not null and toxic is not null").filter(~held_out())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -350,7 +378,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                        .groupBy("doc_id").agg(F.max("size").alias("size")), "doc_id")
     chosen = {i: toxic for toxic in (1, 0) for i in common.bounded_ids(sized.filter(F.col("toxic") == toxic), rows, size // 2)}
     got = common.texts_of(docs, list(chosen))
-    return [t for _, t in got], np.array([chosen[i] for i, _ in got], int)
+    share = marks.agg(F.avg(F.col("toxic").cast("double")).alias("share")).first()["share"]
+    return [t for _, t in got], np.array([chosen[i] for i, _ in got], int), share
 
 
 def model(docs: DataFrame, labels: DataFrame):
