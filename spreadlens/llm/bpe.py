@@ -218,24 +218,32 @@ def _encoded(col: pa.Array, encoder: Encoder) -> Iterator[np.ndarray]:
         yield from encoder.encode(texts[i:j])
 
 
-def _digest(batches, vocabulary):
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+
+
+def _digest(batches, vocabulary, with_ids):
     encoder = Encoder(vocabulary.value)
     for b in batches:
-        n, ids_sha, text_sha = [], [], []
+        n, ids_sha, text_sha, kept = [], [], [], []
         for ids in _encoded(b.column(1), encoder):
             n.append(len(ids))
+            if with_ids:
+                kept.append(ids.astype(np.int32))
             ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
             text_sha.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-        yield common.batch(DIGESTS, b.column(0), n, ids_sha, text_sha)
+        if with_ids:
+            yield common.batch(f"{DIGESTS}, ids array<int>", b.column(0), n, ids_sha, text_sha, _lists(kept))
+        else:
+            yield common.batch(DIGESTS, b.column(0), n, ids_sha, text_sha)
 
 
 def _ids(batches, vocabulary):
     encoder = Encoder(vocabulary.value)
     for b in batches:
-        parts = list(_encoded(b.column(1), encoder))
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        flat = pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int32))
-        yield common.batch("doc_id bigint, ids array<int>", b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat))
+        parts = [ids.astype(np.int32) for ids in _encoded(b.column(1), encoder)]
+        yield common.batch("doc_id bigint, ids array<int>", b.column(0), _lists(parts))
 
 
 def _texts(batches, vocabulary):
@@ -250,9 +258,10 @@ def _broadcast(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode each whole text; number of tokens and digests of both results (``DIGESTS``)."""
-    return common.documents(docs).mapInArrow(partial(_digest, vocabulary=_broadcast(docs, path)), DIGESTS)
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode each whole text; number of tokens and digests of both results (``DIGESTS``), and the ids if asked for."""
+    schema = f"{DIGESTS}, ids array<int>" if with_ids else DIGESTS
+    return common.documents(docs).mapInArrow(partial(_digest, vocabulary=_broadcast(docs, path), with_ids=with_ids), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
