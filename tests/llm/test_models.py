@@ -1,0 +1,130 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from spreadlens.llm import lm_scoring, toxicity
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(0)
+    p = toxicity.init(rng)
+    w = toxicity.words_of(["ab cde fgh ab x", "hello world foo bar " * 9, "z"])
+    index, _ = toxicity.windows_of(w)
+    y, weight = rng.integers(0, 2, len(index)).astype(float), rng.random(len(index)) + 0.5
+    g = toxicity.step(p, w, index, y, weight, None)[1]
+    for name in ("x", "u", "nb", "att", "out", "ob", "xb"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), p[name].shape)
+        loss = []
+        for e in (0.01, -0.01):
+            q = {k: v.copy() for k, v in p.items()}
+            q[name][at] += e
+            loss.append(toxicity.step(q, w, index, y, weight, None)[0])
+        assert (loss[0] - loss[1]) / 0.02 == pytest.approx(float(np.asarray(g[name])[at]), rel=0.05, abs=1e-5)
+
+
+def test_windows_cover_every_word():
+    for n in (0, 1, 31, 32, 33, 48, 49, 100):
+        w = toxicity.words_of([" ".join(f"w{i}" for i in range(n)), "tail"])
+        index, text = toxicity.windows_of(w)
+        own = index[text == 0]
+        assert set(own[own >= 0].tolist()) == set(w.at[:n].tolist())
+        assert (index[text == 1] >= 0).sum() == 1
+        assert len(own) == (0 if n == 0 else 1 + max(0, -(-(n - toxicity.WINDOW) // toxicity.STRIDE)))
+
+
+def test_batches_score_alike(monkeypatch):
+    p = toxicity.init(np.random.default_rng(1)) | {"scale": np.array([1.0, 0.0])}
+    texts = ["one two three " * 40, "", "Quatre CINQ", "--- !!", "one " * 500]
+    whole = toxicity.score_texts(p, texts)
+    assert whole[1] == whole[3] == 0 and ((whole >= 0) & (whole <= 1)).all()
+    assert np.allclose([toxicity.score_texts(p, [t])[0] for t in texts], whole, atol=1e-5)
+
+
+def test_held_out_accuracy_and_odd_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.select("doc_id", "text").filter("doc_id < 4000")
+    odd = spark.createDataFrame([(None, None), (-1, None), (-2, ""), (-3, "!!"), (-4, "you idiot scum, worthless loser"), (-4, "you idiot scum, worthless loser")], rows.schema)
+    got = toxicity.score(rows.union(odd), labels).collect()
+    mark = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got if r["doc_id"] is not None)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert all(r["score"] == 0 for r in got if r["doc_id"] in (None, -1, -2, -3))
+    test = [(r["score"], mark[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in mark]
+    toxic, clean = (np.array([s for s, t in test if t == k]) for k in (1, 0))
+    auc = (toxic[:, None] > clean).mean() + 0.5 * (toxic[:, None] == clean).mean()
+    assert auc > 0.9 and (clean >= 0.3).mean() < 0.05 and (toxic >= 0.3).mean() > 0.6
+
+
+def test_one_class_and_no_labels(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(8)], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    clean = spark.createDataFrame([(i, 1, 0) for i in range(8)] + [(None, 1, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int")
+    for labels in (none, clean):
+        assert {r["predicted"] for r in toxicity.score(docs, labels).collect()} == {0}
+    assert toxicity.score(docs.limit(0), clean).count() == 0
+    assert toxicity.remove_toxic(docs, clean).columns == docs.columns
+
+
+# ---------------------------------------------------------------- language model
+
+
+def small():
+    counts = np.arange(10, 0, -1).astype(float)
+    v = lm_scoring.Vocabulary(np.arange(10, dtype=np.uint64), counts, 100)
+    return v, {k: x.astype(np.float64) for k, x in lm_scoring.init(v).items()}
+
+
+def test_language_model_gradients_and_sum():
+    v, p = small()
+    rng = np.random.default_rng(0)
+    context, target = rng.integers(0, lm_scoring.SYMBOLS + 1, (6, 2 * lm_scoring.SIDE)), rng.integers(0, lm_scoring.SYMBOLS, 6)
+    g = lm_scoring.gradients(p, context, target)
+    for name in ("cls", "cb", "sym", "sb", "b", "pos"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        loss = []
+        for e in (1e-4, -1e-4):
+            q = {k: x.copy() for k, x in p.items()}
+            q[name][at] += e
+            loss.append(-lm_scoring.log_probability(q, context, target).mean())
+        assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(g[name][at], rel=1e-3)
+    every = lm_scoring.log_probability(p, np.repeat(context[:1], lm_scoring.SYMBOLS, 0), np.arange(lm_scoring.SYMBOLS))
+    assert np.exp(every).sum() == pytest.approx(1)
+
+
+def test_contexts_stay_inside_texts():
+    s, doc = np.array([5, 6, 7, 8]), np.array([0, 0, 0, 1])
+    end = lm_scoring.SYMBOLS
+    assert lm_scoring.contexts(s, doc, np.arange(4)).tolist() == [[end, end, 6, 7], [end, 5, 7, end], [5, 6, end, end], [end] * 4]
+
+
+def test_scores_equal_a_word_by_word_sum_and_training_helps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = docs.union(spark.createDataFrame([(None, None), (-1, ""), (-2, "one"), (-2, "one")], docs.schema))
+    v, p = lm_scoring.fit(odd, rounds=2, every=4).value
+    rows = {r["doc_id"]: r["text"] for r in docs.limit(20).collect()}
+    import pyarrow as pa
+    n, total = lm_scoring.score_batch(pa.array(list(rows.values()), pa.string()), v, p)
+    for text, k, s in zip(rows.values(), n.tolist(), total.tolist(), strict=True):
+        (_, _, h, doc), = lm_scoring.word_hashes(pa.array([text]))
+        sym = v.symbols(h)
+        one = [lm_scoring.log_probability(p, lm_scoring.contexts(sym, doc, np.array([i])), sym[i:i + 1])[0] for i in range(len(sym))]
+        assert k == len(sym) and s == pytest.approx(sum(one), rel=1e-4)
+    base = lm_scoring.score(odd, rounds=0).toPandas()
+    learnt = lm_scoring.score(odd, rounds=4, every=4).toPandas()
+    assert learnt.log_likelihood.sum() / learnt.n_tokens.sum() > base.log_likelihood.sum() / base.n_tokens.sum() + 0.1
+    empty = learnt[learnt.n_tokens == 0]
+    assert len(empty) == 2 and (empty.log_likelihood == 0).all() and empty.mean_log_likelihood.isna().all()
+    assert lm_scoring.score(docs.limit(0)).count() == 0
+
+
+def test_counts_cover_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    v = lm_scoring.vocabulary(docs)
+    import re
+    total = sum(len(re.findall(rb"[0-9a-z\x80-\xff]+", r["text"].lower().encode() if r["text"].isascii() else
+                               bytes(b + 32 if 65 <= b <= 90 else b for b in r["text"].encode()))) for r in docs.collect())
+    assert v.counts.sum() == pytest.approx(total)
