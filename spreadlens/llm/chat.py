@@ -41,7 +41,7 @@ def merge_turns(turns: Column) -> Column:
 
     def add(done: Column, t: Column) -> Column:
         n = F.size(done)
-        end = F.try_element_at(done, n)
+        end = F.get(done, n - 1)
         grown = F.array(F.struct(end["role"].alias("role"), F.concat(end["texts"], F.array(t["text"])).alias("texts")))
         return F.when((n > 0) & (end["role"] == t["role"]), F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), grown)).otherwise(F.concat(done, one(t)))
 

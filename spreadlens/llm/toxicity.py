@@ -43,6 +43,8 @@ EDGE_GRAMS = (4, 5, 6)
 INPUT = 3 * DIM
 PIECE = 2 << 20
 ROUNDS, EPOCHS, BATCH = 4, 3, 256
+#: Distinct words whose grams are held at once.
+CHUNK_WORDS = 1 << 14
 
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -103,7 +105,11 @@ def words_of(texts: list[str]) -> Words:
     buf = np.frombuffer(b"".join(raw), np.uint8)
     starts, stops, doc = flat.spans(buf, offsets, WORD)
     hashes, one, at = np.unique(flat.span_hashes(buf, starts, stops), return_index=True, return_inverse=True)
-    grams = gram_buckets(buf, starts[one], stops[one])
+    parts = [gram_buckets(buf, starts[k], stops[k]) for k in np.array_split(one, max(1, -(-len(one) // CHUNK_WORDS)))]
+    grams = []
+    for lists in zip(*parts, strict=True):
+        before = np.cumsum([0] + [len(g) for g, _ in lists])
+        grams.append((np.concatenate([g for g, _ in lists]), np.concatenate([*[f[:-1] + b for (_, f), b in zip(lists, before)], before[-1:]])))
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     return Words(first, at, (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), grams)
 
@@ -263,8 +269,10 @@ def logits(p: dict, w: Words, index: np.ndarray, size: int = 2048) -> np.ndarray
     """Logits of all windows."""
     if not len(index):
         return np.empty(0, np.float32)
-    vec = word_vectors(p, w, np.arange(len(w.bucket)))[0]
-    gates = np.concatenate([vec @ p["x"] + p["xb"], np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
+    gates = np.zeros((2, len(w.bucket) + 1, 3 * HIDDEN), np.float32)
+    for k in range(0, len(w.bucket), CHUNK_WORDS):
+        which = np.arange(k, min(len(w.bucket), k + CHUNK_WORDS))
+        gates[:, which] = word_vectors(p, w, which)[0] @ p["x"] + p["xb"]
     return np.concatenate([forward(p, gates, index[i:i + size]) for i in range(0, len(index), size)])
 
 
