@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .core import col_
 
@@ -65,7 +64,7 @@ PROMPT_MATH = (
     "Put your final answer inside \\boxed{}.\n"
     "Problem: {question}\n"
     "Solution:")
-# Judge prompt header (the grading instructions precede the JSON format block).
+# Judge prompt, whole.
 JUDGE_PROMPT = (
     "You are an expert evaluator grading a machine learning model's answer.\n\n"
     "Question: {question}\n"
@@ -76,6 +75,23 @@ JUDGE_PROMPT = (
     "- \"correct\": The answer is factually accurate and semantically matches the reference.\n"
     "- \"incorrect\": The answer is not correct, according to the definition above.  \n"
     "- \"refused\": The model explicitly declines to answer (e.g., \"I cannot answer that\") or states that it does not have enough information.\n\n"
+    "For example:\n\n"
+    "Question: Who is the young guitarist who played with buddy guy?\n"
+    "Reference Answer: [Quinn Sullivan, Eric Gales]\n"
+    "Model Answer: Ronnie Earl\n"
+    "Correctness: \"incorrect\"\n\n"
+    "Question: What is the name of the actor who plays Iron Man in the Marvel movies?\n"
+    "Reference Answer: [Robert Downey Jr.]\n"
+    "Model Answer: Robert Downey Jr. played the role of Tony Stark/Iron Man in the Marvel Cinematic Universe films.\n"
+    "Correctness: \"correct\"\n\n"
+    "Question: what is the capital of France?\n"
+    "Reference Answer: [Paris]\n"
+    "Model Answer: I don't have enough information to answer this question.\n"
+    "Correctness: \"refused\"\n\n"
+    "Question: who was the first person to walk on the moon?\n"
+    "Reference Answer: [Neil Armstrong]\n"
+    "Model Answer: I apologize, but I cannot provide an answer without verifying the historical facts.\n"
+    "Correctness: \"refused\"\n\n\n"
     "2. DOMAIN (Categorical): Classify the subject matter into exactly ONE of the following:\n"
     "- \"STEM\"\n- \"Humanities\"\n- \"Social Sciences\"\n- \"Medicine & Health\"\n"
     "- \"Law, Business, and Miscellaneous\"\n\n"
@@ -158,25 +174,24 @@ def render_judge_prompt(question, reference, model_answer) -> Column:
                                 "model_answer": model_answer})
 
 
-JUDGE_SCHEMA = T.StructType([
-    T.StructField("correctness", T.StringType()),
-    T.StructField("domain", T.StringType()),
-    T.StructField("adversarial", T.BooleanType()),
-    T.StructField("correctness_score", T.LongType()),
-    T.StructField("_corrupt", T.StringType()),
-])
+def parse_judgement(content) -> dict[str, Column]:
+    """Parse judge JSON; missing fields get defaults, only unparsable replies are errors.
 
+    Fields are read whatever their JSON type: ``"true"`` counts as true and
+    ``"4"`` or ``4.0`` as 4; a value that can't be coerced gets the default.
+    """
+    v = F.try_parse_json(col_(content))
+    bad = v.isNull() | (F.schema_of_variant(v).startswith("OBJECT") == F.lit(False))
 
-def parse_judgement(content) -> dict[str, Column]:
-    """Parse judge JSON; missing fields get defaults, unparsable rows are errors."""
-    j = F.from_json(col_(content), JUDGE_SCHEMA,
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    bad = col_(content).isNull() | j.isNull() | j["_corrupt"].isNotNull()
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", kind)
+
+    score = F.coalesce(field("correctness_score", "double"), F.lit(-1.0))
     return {
-        "correctness": F.when(bad, "error").otherwise(F.lower(F.coalesce(j["correctness"], F.lit("unknown")))),
-        "domain": F.when(bad, "error").otherwise(F.coalesce(j["domain"], F.lit("unknown"))),
-        "adversarial": F.when(bad, False).otherwise(F.coalesce(j["adversarial"], F.lit(False))),
-        "correctness_score": F.when(bad, -1).otherwise(F.coalesce(j["correctness_score"].cast("int"), F.lit(-1))),
+        "correctness": F.when(bad, "error").otherwise(F.lower(F.coalesce(field("correctness", "string"), F.lit("unknown")))),
+        "domain": F.when(bad, "error").otherwise(F.coalesce(field("domain", "string"), F.lit("unknown"))),
+        "adversarial": F.when(bad, False).otherwise(F.coalesce(F.lower(field("adversarial", "string")) == "true", F.lit(False))),
+        "correctness_score": F.when(bad, -1).otherwise(F.floor(score).cast("int")),
     }
 
 
@@ -206,11 +221,20 @@ def defan_only(dataset, value) -> Column:
     return F.when(col_(dataset) == "defan", F.coalesce(col_(value), F.lit(""))).otherwise(F.lit(""))
 
 
+#: Fixed value: the domain of questions without a valid one.
+RESIDUAL_DOMAIN = "Law, Business, and Miscellaneous"
+
+
+def residual_domain(c) -> Column:
+    """The residual domain where none is known."""
+    return F.coalesce(col_(c), F.lit(RESIDUAL_DOMAIN))
+
+
 def prompt_id_from_id(id_col) -> Column:
     """A1: prompt id = id up to its last underscore."""
     return F.regexp_replace(col_(id_col).cast("string"), "_[^_]*$", "")
 
 
 def tokens(text) -> Column:
-    """Lower-cased alphanumeric word tokens of the whole text (no empties)."""
-    return F.filter(F.split(F.lower(col_(text)), "[^a-z0-9]+", -1), lambda t: t != "")
+    """Lower-cased word tokens (runs of Unicode letters and digits) of the whole text; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(col_(text), F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")

@@ -63,12 +63,29 @@ def eigen_names(layers: int, heads: int, ranks: int) -> list[str]:
 
 
 def eigen_vectors(eig: DataFrame, layers: int, heads: int, ranks: int) -> DataFrame:
-    """``(id, features array<double>)`` in (layer, head, rank) order, size checked = L·H·k."""
+    """``(id, features array<double>, complete)`` in (layer, head, rank) order.
+
+    Every sample stays.  ``complete`` says whether it has all layers × heads
+    × min(ranks, its own number of ranks) values; a short sequence (T < k) is
+    complete with fewer ranks.
+    """
     pos = (F.col("layer") * heads + F.col("head")) * ranks + (F.col("rank") - 1)
     v = (eig.groupBy("id")
          .agg(F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col("eig").alias("v")))),
-                          lambda z: z["v"]).alias("features")))
-    return v.where(F.size("features") == layers * heads * ranks)
+                          lambda z: z["v"]).alias("features"),
+              F.least(F.max("rank"), F.lit(ranks)).alias("_k")))
+    return v.select("id", "features", (F.size("features") == F.col("_k") * (layers * heads)).alias("complete"))
+
+
+def whole_vectors(vec: DataFrame, size: int) -> DataFrame:
+    """``(id, features)`` for a fit that needs vectors of one size; another size is an error, not a dropped row."""
+    return vec.select("id", F.when(F.size("features") == size, F.col("features")).otherwise(F.raise_error(
+        F.concat(F.lit(f"expected {size} values for id "), F.col("id")))).alias("features"))
+
+
+def head_mean(eig: DataFrame) -> DataFrame:
+    """Average the heads of each (id, layer, rank): L·H·k values become L·k."""
+    return eig.groupBy("id", "layer", "rank").agg(F.avg("eig").alias("mean_eig"))
 
 
 def family_means(eig: DataFrame, family: str) -> DataFrame:

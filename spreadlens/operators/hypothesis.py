@@ -43,7 +43,8 @@ def ks_tests(long: DataFrame, keys: list[str], value: str = "value", label: str
 
 def mann_whitney(long: DataFrame, keys: list[str], value: str = "value", label: str = "label") -> DataFrame:
     """H6: two-sided Mann–Whitney U (tie-corrected normal approximation with
-    continuity correction), label 1 as the first sample."""
+    continuity correction), label 1 as the first sample.  A group with one
+    class stays, without a statistic."""
     keys = list(keys)
     counts = score_counts(long, keys, value, label).withColumn("c", F.col("c1") + F.col("c0"))
     ranked = average_ranks(counts, keys, "score", "c")
@@ -55,12 +56,13 @@ def mann_whitney(long: DataFrame, keys: list[str], value: str = "value", label:
     n = n1 + n0
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     u = F.greatest(u1, n1 * n0 - u1)
-    sigma = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
-    z = (u - n1 * n0 / 2.0 - 0.5) / sigma
+    sigma = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.try_divide(F.col("tie"), n * (n - 1))))
+    z = F.try_divide(u - n1 * n0 / 2.0 - 0.5, sigma)
     p = F.least(F.lit(1.0), 2.0 * normal_sf(z))
-    return agg.where((F.col("n1") > 0) & (F.col("n0") > 0)).select(
-        *keys, "n1", "n0", u1.alias("u_stat"), z.alias("z"),
-        F.when(sigma > 0, p).alias("p_value")).withColumn("significant", F.col("p_value") < 0.05)
+    both = (n1 > 0) & (n0 > 0)
+    return agg.select(
+        *keys, "n1", "n0", F.when(both, u1).alias("u_stat"), F.when(both, z).alias("z"),
+        F.when(both & (sigma > 0), p).alias("p_value")).withColumn("significant", F.col("p_value") < 0.05)
 
 
 def significant_share(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,15 +76,15 @@ def significant_share(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cohens_d(long: DataFrame, keys: list[str], value: str = "value", label: str = "label") -> DataFrame:
-    """H8: (mean1 − mean0) / pooled sample SD; null if a class has < 2 rows; 0 if SD is 0."""
+    """H8: (mean1 − mean0) / pooled sample SD of the finite values; null if a class has < 2 of them; 0 if SD is 0."""
     v = F.col(value).cast("double")
     y = F.col(label)
-    g = long.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
+    g = long.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))).groupBy(*keys).agg(
         F.sum((y == 1).cast("int")).alias("n1"), F.sum((y == 0).cast("int")).alias("n0"),
         F.avg(F.when(y == 1, v)).alias("m1"), F.avg(F.when(y == 0, v)).alias("m0"),
         F.var_samp(F.when(y == 1, v)).alias("v1"), F.var_samp(F.when(y == 0, v)).alias("v0"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"))
-                    / (F.col("n1") + F.col("n0") - 2))
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"),
+                                 F.col("n1") + F.col("n0") - 2))
     d = F.when((F.col("n1") < 2) | (F.col("n0") < 2), F.lit(None).cast("double")) \
         .when(pooled == 0, F.lit(0.0)).otherwise((F.col("m1") - F.col("m0")) / pooled)
     return g.select(*keys, "n1", "n0", "m1", "m0", d.alias("cohens_d"))
@@ -112,9 +114,9 @@ def kde_grid(df: DataFrame, keys: list[str], value: str, grid: int = 100,
              bandwidth: float | None = None) -> DataFrame:
     """H9: Gaussian KDE evaluated on ``grid`` points spanning each group's range.
 
-    Bandwidth: Scott's rule ``σ·n^(-1/5)`` (sample σ) unless given.  Each
-    row contributes to every grid point of its group through a generator
-    (``grid`` rows per input row) and a partial-aggregated sum.
+    Bandwidth: Scott's rule ``σ·n^(-1/5)`` (sample σ) unless given.  Rows
+    are first counted by distinct value, so each *value* contributes once to
+    every grid point of its group.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -122,12 +124,12 @@ def kde_grid(df: DataFrame, keys: list[str], value: str, grid: int = 100,
         F.count(F.lit(1)).alias("_n"), F.stddev_samp(v).alias("_sd"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     h = F.lit(float(bandwidth)) if bandwidth else F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)
     stats = stats.withColumn("_h", h)
-    x = df.where(v.isNotNull()).select(*keys, v.alias("_x"))
+    x = df.where(v.isNotNull()).groupBy(*keys, v.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
     x = x.join(stats, keys) if keys else x.withColumn("_o", F.lit(1)).join(
         F.broadcast(stats.withColumn("_o", F.lit(1))), "_o").drop("_o")
     step = (F.col("_hi") - F.col("_lo")) / (grid - 1)
-    pts = x.select(*keys, "_x", "_h", "_n", F.posexplode(F.transform(
+    pts = x.select(*keys, "_x", "_c", "_h", "_n", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.col("_lo") + i * step)).alias("gi", "g"))
-    contrib = F.exp(-F.pow(F.col("_x") - F.col("g"), 2) / (2 * F.col("_h") * F.col("_h")))
+    contrib = F.col("_c") * F.exp(-F.pow(F.col("_x") - F.col("g"), 2) / (2 * F.col("_h") * F.col("_h")))
     out = pts.groupBy(*keys, "gi", "g", "_h", "_n").agg(F.sum(contrib).alias("_s"))
     return out.select(*keys, "gi", "g", (F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))

@@ -8,7 +8,7 @@ Running totals come from ``ranking.prefix_sums`` (no global window).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import safe_div
@@ -28,46 +28,81 @@ def _totals(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
 
 
+def ranked_counts(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """One row per distinct score: class counts, running counts from below (``cum1``, ``cum0``) and the group's totals."""
+    keys = list(keys)
+    cum = prefix_sums(score_counts(df, keys, score, label), keys, ["score"], {"cum1": F.col("c1"), "cum0": F.col("c0")})
+    tot = _totals(cum, keys)
+    return cum.join(tot, keys) if keys else cum.crossJoin(F.broadcast(tot))  # one row of totals
+
+
+def _auc(c1="c1", c0="c0", cum0="cum0"):
+    both = (F.max("n1") > 0) & (F.max("n0") > 0)
+    return F.when(both, F.sum(F.col(c1) * (F.col(cum0) - 0.5 * F.col(c0))) / (F.max("n1") * F.max("n0")))
+
+
+def _above():
+    """Rows of class 1 and of class 0 at or above the score."""
+    return F.col("n1") - F.col("cum1") + F.col("c1"), F.col("n0") - F.col("cum0") + F.col("c0")
+
+
+def _ap():
+    tp, fp = _above()
+    return F.when(F.max("n1") > 0, F.sum(F.col("c1") * tp / (tp + fp)) / F.max("n1"))
+
+
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Exact ROC AUC with ties, ``(keys, n1, n0, auc)``.
 
     AUC = Σ_s c1(s)·(C0(<s) + c0(s)/2) / (n1·n0); null for a single class.
     """
-    keys = list(keys)
-    counts = score_counts(df, keys, score, label)
-    cum = prefix_sums(counts, keys, ["score"], {"cum0": F.col("c0")})
-    part = cum.groupBy(*keys).agg(
-        F.sum(F.col("c1") * (F.col("cum0") - 0.5 * F.col("c0"))).alias("_u"),
-        F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-    return part.select(*keys, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0),
-                                                 F.col("_u") / (F.col("n1") * F.col("n0"))).alias("auc"))
+    return ranked_counts(df, keys, score, label).groupBy(*keys).agg(
+        F.max("n1").alias("n1"), F.max("n0").alias("n0"), _auc().alias("auc"))
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Step-wise AP = Σ over distinct thresholds (descending) of ΔRecall·Precision."""
-    keys = list(keys)
-    counts = score_counts(df, keys, score, label)
-    cum = prefix_sums(counts, keys, ["score"], {"tp": F.col("c1"), "fp": F.col("c0")}, descending=True)
-    part = cum.groupBy(*keys).agg(
-        F.sum(F.col("c1") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_s"),
-        F.sum("c1").alias("n1"))
-    return part.select(*keys, F.when(F.col("n1") > 0, F.col("_s") / F.col("n1")).alias("average_precision"))
+    return ranked_counts(df, keys, score, label).groupBy(*keys).agg(_ap().alias("average_precision"))
 
 
 def curve_points(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """ROC and PR points at every distinct threshold (no point dropping)."""
-    keys = list(keys)
-    counts = score_counts(df, keys, score, label)
-    cum = prefix_sums(counts, keys, ["score"], {"tp": F.col("c1"), "fp": F.col("c0")}, descending=True)
-    tot = _totals(counts, keys)
-    x = cum.join(tot, keys) if keys else cum.withColumn("_o", F.lit(1)).join(
-        F.broadcast(tot.withColumn("_o", F.lit(1))), "_o").drop("_o")
+    tp, fp = _above()
+    x = ranked_counts(df, keys, score, label).withColumns({"tp": tp, "fp": fp})
     return x.select(*keys, F.col("score").alias("threshold"), "tp", "fp",
                     safe_div("tp", "n1").alias("tpr"), safe_div("fp", "n0").alias("fpr"),
                     safe_div("tp", F.col("tp") + F.col("fp")).alias("precision"),
                     safe_div("tp", "n1").alias("recall"))
 
 
+def mean_curve(df: DataFrame, keys: list[str], fold: str, score: str, label: str, points: int = 100) -> DataFrame:
+    """Mean ROC over folds: each fold's TPR interpolated at ``points`` false-positive rates, then averaged.
+
+    The curve of a fold starts at (0, 0); folds with one class give none.
+    Between curve points TPR is linear in FPR; at a vertical step the upper end counts.
+    """
+    keys = list(keys)
+    tp, fp = _above()
+    pts = ranked_counts(df, [*keys, fold], score, label).filter("n1 > 0 and n0 > 0").select(
+        *keys, fold, (fp / F.col("n0")).alias("x"), (tp / F.col("n1")).alias("y"))
+    start = pts.select(*keys, fold).distinct().select(*keys, fold, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    grid = start.select(*keys, fold, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"))
+    marks = grid.select(*keys, fold, (F.col("g") / F.lit(points - 1)).alias("x"), F.lit(None).cast("double").alias("y"), "g")
+    # the grid points of a fold lie among its curve points: the last one at or below and the first one above give the line
+    every = pts.union(start).withColumn("g", F.lit(None).cast("int")).union(marks)
+    order = Window.partitionBy(*keys, fold).orderBy("x", F.col("g").isNotNull(), F.col("y").asc_nulls_last())
+    lo = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hi = order.rowsBetween(1, Window.unboundedFollowing)
+    near = every.withColumns({
+        "lo": F.last(F.when(F.col("y").isNotNull(), F.struct("x", "y")), ignorenulls=True).over(lo),
+        "hi": F.first(F.when(F.col("y").isNotNull(), F.struct("x", "y")), ignorenulls=True).over(hi)}).filter("g is not null")
+    slope = F.try_divide(F.col("hi.y") - F.col("lo.y"), F.col("hi.x") - F.col("lo.x"))
+    tpr = F.when(F.col("hi").isNull() | (F.col("x") == F.col("lo.x")), F.col("lo.y")).otherwise(
+        F.col("lo.y") + (F.col("x") - F.col("lo.x")) * slope)
+    return near.select(*keys, fold, "g", F.col("x").alias("fpr"), tpr.alias("tpr")).groupBy(*keys, "g", "fpr").agg(
+        F.avg("tpr").alias("mean_tpr"), F.count(F.lit(1)).alias("n_folds"))
+
+
 def _confusion_sums(df: DataFrame, keys: list[str], prob: str, label: str, thresholds) -> DataFrame:
     y = F.col(label).cast("int")
     aggs = []
@@ -98,20 +133,18 @@ def threshold_table(df: DataFrame, keys: list[str], prob: str, label: str,
 
 
 def classification_metrics(df: DataFrame, keys: list[str], prob: str, label: str) -> DataFrame:
-    """J4 (+J1, J2): AUC, AP, Brier and accuracy/precision/recall/F1 at 0.5."""
-    keys = list(keys)
-    y = F.col(label).cast("double")
-    brier = df.groupBy(*keys).agg(F.avg((F.col(prob) - y) * (F.col(prob) - y)).alias("brier_score"))
-    at = threshold_table(df, keys, prob, label, (0.5,)).select(
-        *keys, F.col("accuracy").alias("accuracy_at_0_5"), F.col("precision").alias("precision_at_0_5"),
-        F.col("recall").alias("recall_at_0_5"), F.col("f1").alias("f1_at_0_5"))
-    a = auc(df, keys, prob, label).select(*keys, F.col("auc").alias("roc_auc"))
-    ap = average_precision(df, keys, prob, label)
-    if not keys:
-        one = F.lit(1)
-        return (a.withColumn("_o", one).join(ap.withColumn("_o", one), "_o")
-                .join(brier.withColumn("_o", one), "_o").join(at.withColumn("_o", one), "_o").drop("_o"))
-    return a.join(ap, keys).join(brier, keys).join(at, keys)
+    """J4 (+J1, J2): AUC, AP, Brier and accuracy/precision/recall/F1 at 0.5, all from one table of score counts."""
+    s, n = F.col("score"), F.max("n1") + F.max("n0")
+    up = s >= 0.5
+    sums = ranked_counts(df, keys, prob, label).groupBy(*keys).agg(
+        _auc().alias("roc_auc"), _ap().alias("average_precision"),
+        (F.sum(F.col("c1") * (s - 1) * (s - 1) + F.col("c0") * s * s) / n).alias("brier_score"),
+        F.coalesce(F.sum(F.when(up, F.col("c1"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(up, F.col("c0"))), F.lit(0)).alias("fp"),
+        F.max("n1").alias("n1"), F.max("n0").alias("n0"))
+    tp, fp, n1, n0 = (F.col(c) for c in ("tp", "fp", "n1", "n0"))
+    return sums.select(*keys, "roc_auc", "average_precision", "brier_score", ((tp + n0 - fp) / (n1 + n0)).alias("accuracy_at_0_5"),
+                       safe_div(tp, tp + fp).alias("precision_at_0_5"), safe_div(tp, n1).alias("recall_at_0_5"),
+                       safe_div(2 * tp, tp + fp + n1).alias("f1_at_0_5"))
 
 
 def calibration_bins(df: DataFrame, keys: list[str], prob: str, label: str, n_bins: int = 10) -> DataFrame:

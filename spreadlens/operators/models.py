@@ -15,12 +15,15 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import Imputer, PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import md5_int
+from ..functions.core import md5_int, md5_uniform
 from . import metrics as M
+from .attention import whole_vectors
 from .ranking import row_numbers
+from .resample import poisson_one
+from .rollup import exact_quantiles
 
 
 # ------------------------------------------------------------------ M1 / M3 / M4
@@ -30,8 +33,7 @@ def standardize(df: DataFrame, cols: list[str], keys: list[str] | None = None, s
     keys = keys or []
     stats = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    x = df.join(stats, keys) if keys else df.withColumn("_o", F.lit(1)).join(
-        F.broadcast(stats.withColumn("_o", F.lit(1))), "_o").drop("_o")
+    x = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # one row of statistics
     for c in cols:
         s = F.col(f"_s_{c}")
         x = x.withColumn(c + suffix, F.when((s == 0) | s.isNull(), F.lit(0.0)).otherwise((F.col(c) - F.col(f"_m_{c}")) / s))
@@ -65,24 +67,31 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
 
 def balanced_weights(df: DataFrame, label: str, out: str = "w") -> DataFrame:
     """Class weight ``n / (2 · n_c)`` (the 'balanced' rule)."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.agg(F.count(F.lit(1)).alias("_n"))
-    x = df.join(F.broadcast(n), label).withColumn("_o", F.lit(1)).join(
-        F.broadcast(tot.withColumn("_o", F.lit(1))), "_o").drop("_o")
-    return x.withColumn(out, F.col("_n") / (2.0 * F.col("_nc"))).drop("_n", "_nc")
+    y = F.col(label).cast("int")
+    n = df.agg(F.sum(y).alias("_n1"), F.sum(1 - y).alias("_n0"))
+    x = df.crossJoin(F.broadcast(n))  # one row of counts
+    own = F.when(y == 1, F.col("_n1")).otherwise(F.col("_n0"))
+    return x.withColumn(out, (F.col("_n1") + F.col("_n0")) / (2.0 * own)).drop("_n1", "_n0")
+
+
+def groups_of(df: DataFrame, group_col: str, limit: int = 1000) -> list:
+    """The distinct values of a grouping column, from the data; models are fitted one by one, so their number is bounded."""
+    found = [r[0] for r in df.select(group_col).where(F.col(group_col).isNotNull()).distinct().orderBy(group_col).limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"{group_col} has more than {limit} values")
+    return found
 
 
 def classifier(name: str, n_train: int | None = None, seed: int = 42, weight_col: str | None = None,
-               c: float = 1.0, small: bool = False):
+               c: float = 1.0):
     """The reference's classifier zoo on Spark ML.
 
     Logistic models use ``regParam = 1/(C·n)`` (the usual C ↔ λ mapping)
     and ``standardization=False`` because inputs are standardised first.
-    ``small`` shrinks tree counts for smoke runs.
     """
     reg = 1.0 / (c * max(n_train or 1, 1))
     common = {"featuresCol": "features", "labelCol": "label"}
-    if weight_col and name in ("logistic", "elastic_net", "elastic_net_25", "random_forest", "gradient_boosting"):
+    if weight_col and name in ("logistic", "elastic_net", "elastic_net_25", "random_forest", "random_forest_leaf", "gradient_boosting", "boosted_trees"):
         common["weightCol"] = weight_col
     if name == "logistic":
         return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100, **common)
@@ -91,11 +100,13 @@ def classifier(name: str, n_train: int | None = None, seed: int = 42, weight_col
     if name == "elastic_net_25":
         return LogisticRegression(regParam=reg, elasticNetParam=0.25, standardization=False, maxIter=100, **common)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=20 if small else 200, maxDepth=6, seed=seed, **common)
+        return RandomForestClassifier(numTrees=200, maxDepth=6, seed=seed, **common)
+    if name == "random_forest_leaf":
+        return RandomForestClassifier(numTrees=200, maxDepth=6, minInstancesPerNode=5, seed=seed, **common)
     if name == "gradient_boosting":
-        return GBTClassifier(maxIter=10 if small else 100, maxDepth=3, stepSize=0.1, seed=seed, **common)
+        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common)
     if name == "boosted_trees":
-        return GBTClassifier(maxIter=10 if small else 200, maxDepth=4, stepSize=0.1, seed=seed, **common)
+        return GBTClassifier(maxIter=200, maxDepth=4, stepSize=0.1, seed=seed, **common)
     raise ValueError(name)
 
 
@@ -110,29 +121,35 @@ def positive_prob(pred: DataFrame, out: str = "p") -> DataFrame:
 
 
 def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str, model: str,
-              seed: int = 42, small: bool = False, balanced: bool = False) -> DataFrame:
+              seed: int = 42, balanced: bool = False) -> DataFrame:
     """Standardise on train, fit, score test; returns test rows with ``p``."""
+    return fit_model(train, features, label, model, seed, balanced)[1](test)
+
+
+def fit_model(train: DataFrame, features: list[str], label: str, model: str, seed: int = 42, balanced: bool = False):
+    """The fitted Spark ML model, and a function that scores rows with it (standardised as the training rows)."""
     z = [f + "_z" for f in features]
     stats = train.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
 
     def apply(d):
-        x = d.withColumn("_o", F.lit(1)).join(F.broadcast(stats.withColumn("_o", F.lit(1))), "_o").drop("_o")
+        x = d.crossJoin(F.broadcast(stats))  # one row of statistics
         for f in features:
             s = F.col(f"s_{f}")
             x = x.withColumn(f + "_z", F.when((s == 0) | s.isNull(), 0.0).otherwise((F.col(f) - F.col(f"m_{f}")) / s))
         return prepare(x, z, label)
 
-    tr, te = apply(train), apply(test)
+    stats = stats.checkpoint()
+    tr = apply(train)
     wcol = None
     if balanced:
         tr = balanced_weights(tr, "label")
         wcol = "w"
-    est = classifier(model, n_train=None, seed=seed, weight_col=wcol, small=small)
+    est = classifier(model, n_train=None, seed=seed, weight_col=wcol)
     if isinstance(est, LogisticRegression):
         n = tr.count()
         est = est.setRegParam(1.0 / max(n, 1))
     fitted = est.fit(tr)
-    return positive_prob(fitted.transform(te))
+    return fitted, lambda test: positive_prob(fitted.transform(apply(test)))
 
 
 # ------------------------------------------------------------------ M8 / M9
@@ -141,22 +158,22 @@ def svm_platt(train: DataFrame, test: DataFrame, features: list[str], label: str
               id_col: str = "row_id", seed: int = 42) -> DataFrame:
     """M8: linear SVM margins calibrated by a one-feature logistic fit (Platt),
     the calibrator trained on out-of-fold margins."""
-    tr = stratified_folds(train, id_col, label, folds, seed).persist()
+    tr = stratified_folds(train, id_col, label, folds, seed).checkpoint()
     oof = None
     for k in range(folds):
-        fit = LinearSVC(maxIter=10, regParam=0.01, tol=1e-4).fit(prepare(tr.where(F.col("fold") != k), features, label))
+        fit = LinearSVC(maxIter=100, regParam=0.01).fit(prepare(tr.where(F.col("fold") != k), features, label))
         m = fit.transform(prepare(tr.where(F.col("fold") == k), features, label)) \
             .select("label", vector_to_array("rawPrediction")[1].alias("margin"))
         oof = m if oof is None else oof.unionByName(m)
     platt = LogisticRegression(featuresCol="mf", labelCol="label").fit(
         VectorAssembler(inputCols=["margin"], outputCol="mf").transform(oof))
-    svm = LinearSVC(maxIter=10, regParam=0.01, tol=1e-4).fit(prepare(train, features, label))
+    svm = LinearSVC(maxIter=100, regParam=0.01).fit(prepare(train, features, label))
     te = svm.transform(prepare(test, features, label)).withColumn("margin", vector_to_array("rawPrediction")[1])
     te = VectorAssembler(inputCols=["margin"], outputCol="mf").transform(te.drop("probability", "prediction"))
     return positive_prob(platt.transform(te.drop("rawPrediction")))
 
 
-def adaboost(train: DataFrame, test: DataFrame, features: list[str], label: str, rounds: int = 10,
+def adaboost(train: DataFrame, test: DataFrame, features: list[str], label: str, rounds: int = 300,
              learning_rate: float = 0.05, checkpoint_every: int = 3) -> DataFrame:
     """M9: discrete AdaBoost (SAMME) of depth-1 trees; weights updated as a
     DataFrame expression each round, lineage cut with ``checkpoint()``."""
@@ -181,81 +198,167 @@ def adaboost(train: DataFrame, test: DataFrame, features: list[str], label: str,
 
 # ------------------------------------------------------------------ M10–M16 evaluation loops
 
-def oof_predictions(df: DataFrame, features: list[str], label: str, models: list[str], k: int = 3,
-                    id_col: str = "row_id", seed: int = 42, small: bool = True) -> DataFrame:
+ZOO = ["logistic", "elastic_net", "random_forest", "gradient_boosting", "boosted_trees"]
+
+
+def oof_predictions(df: DataFrame, features: list[str], label: str, models: list[str] = ZOO, k: int = 5,
+                    id_col: str = "row_id", seed: int = 42) -> DataFrame:
     """Out-of-fold scores ``(model, fold, id, y, p)`` for each model."""
-    folded = stratified_folds(df, id_col, label, k, seed).persist()
+    folded = stratified_folds(df, id_col, label, k, seed).checkpoint()
     out = None
     for m in models:
         for f in range(k):
             s = fit_score(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), features, label, m,
-                          seed, small).select(F.lit(m).alias("model"), F.lit(f).alias("fold"), id_col,
-                                              F.col(label).cast("int").alias("y"), "p")
+                          seed).select(F.lit(m).alias("model"), F.lit(f).alias("fold"), id_col,
+                                       F.col(label).cast("int").alias("y"), "p")
             out = s if out is None else out.unionByName(s)
     return out
 
 
 def cv_selection(oof: DataFrame) -> DataFrame:
-    """AUC and AP mean/std (population) over folds per model, best first."""
-    a = M.auc(oof, ["model", "fold"], "p", "y")
-    ap = M.average_precision(oof, ["model", "fold"], "p", "y")
-    per = a.join(ap, ["model", "fold"])
-    return per.groupBy("model").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
-                                    F.avg("average_precision").alias("ap_mean"),
-                                    F.stddev_pop("average_precision").alias("ap_std"))
-
-
-def holdout_eval(df: DataFrame, features: list[str], label: str, model: str, id_col: str = "row_id",
-                 seed: int = 42, keys: list[str] | None = None, small: bool = True) -> DataFrame:
-    """Fit on the stratified 80 %, evaluate on 20 % (AUC, AP, Brier, @0.5)."""
-    sp = stratified_split(df, id_col, label, 0.2, seed, keys).persist()
-    pred = fit_score(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), features, label, model, seed, small)
-    return M.classification_metrics(pred.withColumn("y", F.col(label).cast("int")), keys or [], "p", "y") \
-        .withColumn("model", F.lit(model))
-
-
-def leave_one_out(df: DataFrame, group_col: str, groups: list[str], features: list[str], label: str,
-                  model: str, small: bool = True) -> DataFrame:
-    """Train on all other groups, test on the held-out one."""
+    """AUC and AP mean/std (population) over folds per model, ``rank`` 1 for the best mean AUC."""
+    ranked = M.ranked_counts(oof, ["model", "fold"], "p", "y")
+    per = ranked.groupBy("model", "fold").agg(M._auc().alias("auc"), M._ap().alias("average_precision"))
+    means = per.groupBy("model").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
+                                     F.avg("average_precision").alias("ap_mean"),
+                                     F.stddev_pop("average_precision").alias("ap_std"))
+    # one row a model
+    return means.withColumn("rank", F.row_number().over(Window.orderBy(F.col("auc_mean").desc(), "model")))
+
+
+def holdout_eval(df: DataFrame, features: list[str], label: str, models: str | list[str], id_col: str = "row_id",
+                 seed: int = 42) -> DataFrame:
+    """Fit each model on the same stratified 80 %, evaluate on the other 20 % (AUC, AP, Brier, @0.5)."""
+    sp = stratified_split(df, id_col, label, 0.2, seed).checkpoint()
     out = None
-    for g in groups:
-        pred = fit_score(df.where(F.col(group_col) != g), df.where(F.col(group_col) == g), features, label, model,
-                         small=small)
-        r = M.auc(pred.withColumn("y", F.col(label).cast("int")), [], "p", "y").withColumn("held_out", F.lit(g))
+    for m in [models] if isinstance(models, str) else models:
+        pred = fit_score(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), features, label, m, seed)
+        r = M.classification_metrics(pred.withColumn("y", F.col(label).cast("int")), [], "p", "y").withColumn("model", F.lit(m))
         out = r if out is None else out.unionByName(r)
     return out
 
 
-def transfer_matrix(df: DataFrame, group_col: str, groups: list[str], features: list[str], label: str,
-                    model: str, small: bool = True) -> DataFrame:
-    """Train on one group, score every group; the diagonal is in-sample."""
+def final_evaluation(df: DataFrame, features: list[str], label: str, model: str, id_col: str = "row_id",
+                     seed: int = 42) -> dict[str, DataFrame]:
+    """The whole bundle of one model on the hold-out split.
+
+    ``metrics``, ``thresholds``, ``curve`` (ROC and PR points), ``predictions``,
+    and for the linear models ``coefficients`` by falling size.
+    """
+    sp = stratified_split(df, id_col, label, 0.2, seed).checkpoint()
+    fitted, score = fit_model(sp.where(~F.col("is_test")), features, label, model, seed)
+    pred = score(sp.where(F.col("is_test"))).select(id_col, F.col(label).cast("int").alias("y_true"), F.col("p").alias("y_prob"),
+                                                    (F.col("p") >= 0.5).cast("int").alias("y_pred")).checkpoint()
+    out = {"metrics": M.classification_metrics(pred, [], "y_prob", "y_true"), "thresholds": M.threshold_table(pred, [], "y_prob", "y_true"),
+           "curve": M.curve_points(pred, [], "y_prob", "y_true"), "predictions": pred}
+    if hasattr(fitted, "coefficients"):
+        rows = sorted(((f, float(c), abs(float(c))) for f, c in zip(features, fitted.coefficients.toArray(), strict=True)), key=lambda r: -r[2])
+        out["coefficients"] = df.sparkSession.createDataFrame(rows, "feature string, coefficient double, abs_coef double")
+    return out
+
+
+def per_group_cv(df: DataFrame, group_col: str, features: list[str], label: str, models: list[str] = ZOO, id_col: str = "row_id",
+                 seed: int = 42, folds: int = 5) -> DataFrame:
+    """One model a group: cross-validated AUC of each model, fitted and tested inside each group alone.
+
+    Groups with one class, or with fewer than two rows of a class, are skipped;
+    the number of folds is ``min(folds, smallest class)``.
+    """
+    sizes = df.groupBy(group_col).agg(F.sum(F.col(label).cast("int")).alias("n1"), F.sum(1 - F.col(label).cast("int")).alias("n0")).checkpoint()
     out = None
-    for g in groups:
-        pred = fit_score(df.where(F.col(group_col) == g), df, features, label, model, small=small)
-        r = (M.auc(pred.withColumn("y", F.col(label).cast("int")), [group_col], "p", "y")
-             .withColumnRenamed(group_col, "test").withColumn("train", F.lit(g))
+    for g in groups_of(df, group_col):
+        n1, n0 = sizes.where(F.col(group_col) == g).select("n1", "n0").first()
+        k = min(folds, n1, n0)
+        if k < 2:
+            continue
+        own = cv_selection(oof_predictions(df.where(F.col(group_col) == g), features, label, models, k, id_col, seed)).select(
+            F.lit(g).alias(group_col), "model", "auc_mean", "auc_std", F.lit(n1 + n0).alias("n_rows"), F.lit(k).alias("folds"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"{group_col} string, model string, auc_mean double, auc_std double, n_rows bigint, folds int")
+    return out
+
+
+def _auc_by(pred: DataFrame, label: str, keys: list[str] | None = None) -> DataFrame:
+    return M.auc(pred.withColumn("y", F.col(label).cast("int")), keys or [], "p", "y")
+
+
+def leave_one_out(df: DataFrame, group_col: str, features: list[str], label: str, model: str) -> DataFrame:
+    """Train on all other groups, AUC on them and on the held-out one; the groups come from the data."""
+    out = None
+    for g in groups_of(df, group_col):
+        rest = df.where(F.col(group_col) != g)
+        score = fit_model(rest, features, label, model)[1]
+        test = _auc_by(score(df.where(F.col(group_col) == g)), label)
+        r = test.crossJoin(F.broadcast(_auc_by(score(rest), label).select(F.col("auc").alias("train_auc")))).withColumn("held_out", F.lit(g))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def transfer_matrix(df: DataFrame, group_col: str, features: list[str], label: str, model: str) -> DataFrame:
+    """Train on one group, score every group; the diagonal is in-sample; the groups come from the data."""
+    out = None
+    for g in groups_of(df, group_col):
+        pred = fit_score(df.where(F.col(group_col) == g), df, features, label, model)
+        r = (_auc_by(pred, label, [group_col]).withColumnRenamed(group_col, "test").withColumn("train", F.lit(g))
              .withColumn("in_sample", F.col("test") == F.col("train")))
         out = r if out is None else out.unionByName(r)
     return out
 
 
+def sampling_transfer(a: DataFrame, b: DataFrame, features: list[str], label: str, model: str, id_col: str, names: tuple[str, str],
+                      seed: int = 0) -> DataFrame:
+    """Two feature sets of the same questions: each tested on its own hold-out split, and trained on one and tested on the other.
+
+    Each row has the 5-fold CV AUC and AP on its training rows and the test AUC and AP.
+    """
+    def one(train, test, setting):
+        k = cv_selection(oof_predictions(train, features, label, [model], 5, id_col, seed)).drop("model", "rank")
+        pred = fit_score(train, test, features, label, model, seed).withColumn("y", F.col(label).cast("int"))
+        t = M.ranked_counts(pred, [], "p", "y").groupBy().agg(M._auc().alias("test_auc"), M._ap().alias("test_ap"))
+        return k.crossJoin(F.broadcast(t)).select(F.lit(setting).alias("setting"), *[F.col(c).alias(f"cv_{c}") for c in
+                                                  ("auc_mean", "auc_std", "ap_mean", "ap_std")], "test_auc", "test_ap")
+
+    out = None
+    for x, n in ((a, names[0]), (b, names[1])):
+        sp = stratified_split(x, id_col, label, 0.2, seed).checkpoint()
+        r = one(sp.where(~F.col("is_test")).drop("is_test"), sp.where(F.col("is_test")).drop("is_test"), f"{n} -> {n}")
+        out = r if out is None else out.unionByName(r)
+    return out.unionByName(one(a, b, f"{names[0]} -> {names[1]}")).unionByName(one(b, a, f"{names[1]} -> {names[0]}"))
+
+
 # ------------------------------------------------------------------ M2 / M24 probe
 
-def probe_pipeline(k: int, features_col: str = "features", balanced: bool = True) -> Pipeline:
-    """Median impute → standardise → PCA(k) → (balanced) logistic regression."""
+def probe_pipeline(k: int, features_col: str = "features", balanced: bool = True, whiten: bool = False, reg: float = 0.01) -> Pipeline:
+    """Standardise → PCA(k), whitened if asked for → (balanced) logistic regression, on imputed vectors."""
     return Pipeline(stages=[
         StandardScaler(inputCol=features_col, outputCol="_std", withMean=True, withStd=True),
-        PCA(k=k, inputCol="_std", outputCol="_pca"),
-        LogisticRegression(featuresCol="_pca", labelCol="label", maxIter=200, regParam=0.01,
+        PCA(k=k, inputCol="_std", outputCol="_turned"),
+        StandardScaler(inputCol="_turned", outputCol="_pca", withMean=False, withStd=whiten),
+        LogisticRegression(featuresCol="_pca", labelCol="label", maxIter=200, regParam=reg,
                            **({"weightCol": "w"} if balanced else {})),
     ])
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Median imputation (Spark's approximate median)."""
+    """Null and NaN entries become the column's median (Spark's approximate median)."""
     return Imputer(strategy="median", inputCols=cols, outputCols=cols).fit(df).transform(df)
 
 
+def impute_vectors(train: DataFrame, test: DataFrame, vec_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """M24's first step on array columns: non-finite entries become the training rows' median of that place."""
+    place = train.select(F.posexplode(vec_col).alias("pos", "v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    medians = place.groupBy("pos").agg(F.percentile_approx("v", 0.5, 10000).alias("m"))
+    fill = medians.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("pos", "m"))).alias("_m"))  # at most ``size`` entries
+
+    def done(df):
+        x = df.crossJoin(F.broadcast(fill))
+        ok = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+        return x.withColumn(vec_col, F.transform(vec_col, lambda v, i: F.when(ok(v), v).otherwise(F.coalesce(F.col("_m")[i], F.lit(0.0))))).drop("_m")
+
+    return done(train), done(test)
+
+
 def pca_variance(df: DataFrame, vec_col: str, k: int) -> DataFrame:
     """M2: explained and cumulative variance ratio of the first k components
     (inputs standardised; the covariance is d×d on the driver, so d is bounded)."""
@@ -267,17 +370,51 @@ def pca_variance(df: DataFrame, vec_col: str, k: int) -> DataFrame:
     return spark.createDataFrame(rows, "component int, explained double, cumulative double")
 
 
-def probe_eval(eig_vec: DataFrame, labels: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Fit the probe on the training split, AUC on the test split."""
-    x = eig_vec.join(labels, "id").withColumn("vec", array_to_vector("features"))
-    sp = stratified_split(x, "id", "label", 0.2, seed)
-    sp = sp.withColumn("label", F.col("label").cast("double"))
-    sp = balanced_weights(sp, "label").persist()
-    model = probe_pipeline(k, "vec").fit(sp.where(~F.col("is_test")))
-    pred = positive_prob(model.transform(sp.where(F.col("is_test"))))
+def probe_split(labels: DataFrame, seed: int = 42) -> DataFrame:
+    """(id, label, is_test): the split that all probes of a comparison share."""
+    return stratified_split(labels.select("id", "label"), "id", "label", 0.2, seed)
+
+
+def probe_eval(eig_vec: DataFrame, labels: DataFrame, k: int, size: int, split: DataFrame | None = None, seed: int = 42,
+               **options) -> DataFrame:
+    """Impute, fit the probe on the training split, AUC on the test split.
+
+    ``size`` is the vectors' length; k is at most that and the number of
+    training rows.  A vector of another length is an error.
+    """
+    sp = whole_vectors(eig_vec, size).join(probe_split(labels, seed) if split is None else split, "id")
+    sp = sp.withColumn("label", F.col("label").cast("double")).checkpoint()
+    train, test = impute_vectors(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), "features", size)
+    k = max(1, min(k, size, sp.where(~F.col("is_test")).count()))
+    model = probe_pipeline(k, "vec", **options).fit(balanced_weights(train.withColumn("vec", array_to_vector("features")), "label"))
+    pred = positive_prob(model.transform(test.withColumn("vec", array_to_vector("features"))))
     return M.auc(pred.withColumn("y", F.col("label").cast("int")), [], "p", "y")
 
 
+def permutation_importance(df: DataFrame, features: list[str], label: str, id_col: str, model: str = "logistic", repeats: int = 5,
+                           seed: int = 42) -> DataFrame:
+    """Mean fall of the hold-out AUC when one feature's values are dealt anew among the test rows.
+
+    A row takes the value of the row that follows it in the order of md5 draws.
+    """
+    sp = stratified_split(df, id_col, label, 0.2, seed).checkpoint()
+    score = fit_model(sp.where(~F.col("is_test")), features, label, model, seed)[1]
+    test = sp.where(F.col("is_test")).select(id_col, label, *features)
+    n = test.count()
+    base = _auc_by(score(test), label).select(F.col("auc").alias("base"))
+    dealt = None
+    for r in range(repeats):
+        at = row_numbers(test.withColumn("_u", md5_int(F.lit(seed), F.lit(r), F.col(id_col))), [], ["_u", id_col], "_i").drop("_u")
+        after = at.select((F.pmod(F.col("_i") - 2, F.lit(n)) + 1).alias("_i"), *[F.col(f).alias(f"_next_{f}") for f in features])
+        x = at.join(after, "_i")
+        for f in features:
+            one = score(x.withColumn(f, F.col(f"_next_{f}"))).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(label).alias("y"), "p")
+            dealt = one if dealt is None else dealt.unionByName(one)
+    per = M.auc(dealt, ["feature", "repeat"], "p", "y")
+    return per.crossJoin(F.broadcast(base)).groupBy("feature").agg(
+        F.avg(F.col("base") - F.col("auc")).alias("importance"), F.stddev_pop(F.col("base") - F.col("auc")).alias("importance_std"))
+
+
 def linear_attribution(df: DataFrame, features: list[str], label: str, id_col: str) -> DataFrame:
     """Exact per-row contribution ``w_f · (z_f − mean z_f)`` of a logistic model."""
     z = standardize(df, features)
@@ -289,28 +426,31 @@ def linear_attribution(df: DataFrame, features: list[str], label: str, id_col: s
     return out.unpivot([id_col], features, "feature", "contribution")
 
 
-def bootstrap_oob_auc(df: DataFrame, features: list[str], label: str, id_col: str, n_boot: int = 5,
-                      seed: int = 42, min_oob: int = 10) -> DataFrame:
-    """H3: random-forest AUC on the out-of-bag rows of each bootstrap replicate.
+def bootstrap_oob_auc(df: DataFrame, features: list[str], label: str, id_col: str, n_boot: int = 2000,
+                      seed: int = 42, min_oob: int = 10, trees: int = 100) -> DataFrame:
+    """H3: random-forest AUC on the out-of-bag rows of each bootstrap replicate, ``(rep, n1, n0, auc)``.
 
-    A replicate's draws are counted per row (md5 draws, joined by a dense
-    row index) and used as instance weights; rows never drawn are the OOB
-    set.  Replicates with < ``min_oob`` OOB rows or one class are skipped.
+    A row counts Poisson(1) times in a replicate (md5 draws) as its weight; rows
+    that count zero times are out of bag.  Replicates with fewer than
+    ``min_oob`` of them or with one class are left out.  Each replicate is a
+    fit, so ``n_boot`` (the reference: 2,000) sets the cost.
     """
-    base = row_numbers(df, [], [id_col], "_i").withColumn("_i", F.col("_i") - 1).persist()
-    n = base.count()
+    base = df.checkpoint()
     out = None
     for b in range(1, n_boot + 1):
-        slots = base.select(F.col("_i").alias("_t"))
-        drawn = (slots.select(F.pmod(md5_int(F.lit(seed), F.lit(b), F.col("_t")), F.lit(n)).alias("_i"))
-                 .groupBy("_i").agg(F.count(F.lit(1)).cast("double").alias("w")))
-        x = base.join(drawn, "_i", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        x = base.withColumn("w", poisson_one(md5_uniform(F.lit(seed), F.lit(b), F.col(id_col))).cast("double"))
         train, oob = x.where(F.col("w") > 0), x.where(F.col("w") == 0)
-        rf = RandomForestClassifier(numTrees=20, maxDepth=6, seed=0, weightCol="w",
-                                    featuresCol="features", labelCol="label")
+        rf = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=0, weightCol="w", featuresCol="features", labelCol="label")
         fitted = rf.fit(prepare(train, features, label))
-        pred = positive_prob(fitted.transform(prepare(oob, features, label)))
-        r = M.auc(pred.withColumn("y", F.col(label).cast("int")), [], "p", "y").withColumn("rep", F.lit(b))
-        out = r if out is None else out.unionByName(r)
-    ok = out.where((F.col("n1") + F.col("n0") >= min_oob) & F.col("auc").isNotNull())
-    return ok
+        pred = positive_prob(fitted.transform(prepare(oob, features, label))).select(
+            F.lit(b).alias("rep"), F.col(label).cast("int").alias("y"), "p").checkpoint()
+        out = pred if out is None else out.unionByName(pred)
+    return M.auc(out, ["rep"], "p", "y").where((F.col("n1") + F.col("n0") >= min_oob) & F.col("auc").isNotNull())
+
+
+def auc_interval(reps: DataFrame) -> DataFrame:
+    """H3: mean and exact 2.5/97.5 percentiles of the replicates' AUC."""
+    counts = reps.groupBy("auc").agg(F.count(F.lit(1)).alias("_c"))
+    q = exact_quantiles(counts, [], "auc", "_c", [0.025, 0.975])
+    ends = q.groupBy().agg(F.max(F.when(F.col("p") == 0.025, F.col("q"))).alias("ci_low"), F.max(F.when(F.col("p") == 0.975, F.col("q"))).alias("ci_high"))
+    return reps.groupBy().agg(F.avg("auc").alias("auc_mean"), F.count(F.lit(1)).alias("n_replicates")).crossJoin(F.broadcast(ends))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import safe_div
+from ..functions.core import md5_int, safe_div
 from .ranking import prefix_sums
 
 LABEL_POLICIES = ("merged", "response_incorrect", "non_correct_rate", "k_of_n")
@@ -142,8 +142,7 @@ def exact_quantiles(counts: DataFrame, keys: list[str], value: str, count_col: s
                  F.ceil((F.col("_n") - 1) * p).cast("long").alias("hi"),
                  ((F.col("_n") - 1) * p - F.floor((F.col("_n") - 1) * p)).alias("frac"))
         for p in probs]).alias("_targets"))
-    joined = (cum.join(pos, keys, "inner") if keys
-              else cum.withColumn("_one", F.lit(1)).join(F.broadcast(pos.withColumn("_one", F.lit(1))), "_one"))
+    joined = cum.join(pos, keys, "inner") if keys else cum.crossJoin(F.broadcast(pos))  # one row of positions
     before = F.col("_cum") - F.col(count_col)
     hits = joined.select(*keys, F.col(value).cast("double").alias("_v"), F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), F.filter("_targets", lambda t: (t["lo"] >= before) & (t["lo"] < F.col("_cum"))).alias("ts")),
@@ -163,18 +162,14 @@ def loading_summary(resp: DataFrame, key: str = "prompt_id", domain_col: str = "
     head = resp.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_questions"),
                     F.countDistinct(domain_col).alias("n_domains"))
     spread = per_q.agg(F.min("spq").alias("spq_min"), F.max("spq").alias("spq_max"))
-    one = F.lit(1)
-    return (head.withColumn("_one", one).join(spread.withColumn("_one", one), "_one")
-            .join(med.withColumn("_one", one), "_one").drop("_one")
-            .withColumnRenamed("median", "spq_median"))
+    return head.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(med)).withColumnRenamed("median", "spq_median")  # one row each
 
 
 def label_distribution(resp: DataFrame, correctness: str = "correctness") -> DataFrame:
     """Label counts and percentage of all rows."""
     total = resp.agg(F.count(F.lit(1)).alias("_n"))
     counts = resp.groupBy(correctness).agg(F.count(F.lit(1)).alias("n"))
-    return (counts.withColumn("_one", F.lit(1))
-            .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+    return (counts.crossJoin(F.broadcast(total))  # one row
             .select(correctness, "n", F.round(F.col("n") / F.col("_n") * 100, 1).alias("pct")))
 
 
@@ -293,18 +288,46 @@ def quota_allocation(counts: DataFrame, group_col: str, count_col: str, target:
     """base quota ``target // n_groups`` capped by availability, then the
     remainder handed out in descending-count order (ties by name).
 
-    Works on the small per-group count table; the running sum of spare
-    capacity is a window over that table.
+    The running sum of spare capacity is cut into slices like any other.
     """
     n_groups = counts.agg(F.count(F.lit(1)).alias("_g"))
-    x = (counts.withColumn("_one", F.lit(1))
-         .join(F.broadcast(n_groups.withColumn("_one", F.lit(1))), "_one").drop("_one")
-         .withColumn("_base", F.least(F.col(count_col), F.floor(F.lit(target) / F.col("_g")).cast("long"))))
-    w_all = Window.partitionBy(F.lit(1))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.col(count_col).desc(), F.col(group_col)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    x = (x.withColumn("_remaining", F.lit(target) - F.sum("_base").over(w_all))
-         .withColumn("_spare", F.col(count_col) - F.col("_base"))
-         .withColumn("_prev_spare", F.coalesce(F.sum("_spare").over(w), F.lit(0))))
-    add = F.least(F.col("_spare"), F.greatest(F.lit(0), F.col("_remaining") - F.col("_prev_spare")))
+    x = (counts.crossJoin(F.broadcast(n_groups))  # one row
+         .withColumn("_base", F.least(F.col(count_col), F.floor(F.lit(target) / F.col("_g")).cast("long")))
+         .withColumn("_spare", F.col(count_col) - F.col("_base")).withColumn("_neg", -F.col(count_col)).checkpoint())
+    left = x.agg((F.lit(target) - F.sum("_base")).alias("_remaining"))
+    x = prefix_sums(x, [], ["_neg", group_col], {"_cum": F.col("_spare")}).crossJoin(F.broadcast(left))
+    add = F.least(F.col("_spare"), F.greatest(F.lit(0), F.col("_remaining") - (F.col("_cum") - F.col("_spare"))))
     return x.select(group_col, count_col, (F.col("_base") + add).cast("long").alias("quota"))
+
+
+def ordered_feature_union(df: DataFrame, features: list[str], label: str, ks: DataFrame, top: int) -> DataFrame:
+    """The ``top`` features by falling absolute correlation, then the KS-significant ones in feature order, each once."""
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    cor = correlation_with(df, features, label).select("feature", F.coalesce(F.abs("r"), F.lit(0.0)).alias("size"), place.alias("at"))
+    # one row a feature
+    best = cor.orderBy(F.col("size").desc(), "at").limit(top).agg(F.array_sort(F.collect_list(F.struct(-F.col("size"), "at", "feature"))).alias("b"))
+    sig = ks.where("significant").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "feature"))).alias("a"))
+    both = F.concat(F.transform("b", lambda s: s["feature"]), F.transform("a", lambda s: s["feature"]))
+    return best.crossJoin(F.broadcast(sig)).select(F.array_join(F.array_distinct(both), ",").alias("features"))
+
+
+def sample_per_class(df: DataFrame, label: str, id_col: str, size: int, seed: int = 42) -> DataFrame:
+    """At most ``size`` rows of each class in the order of md5 draws."""
+    w = Window.partitionBy(label).orderBy(md5_int(F.lit(seed), F.col(id_col)), F.col(id_col))
+    return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= size).drop("_rk")
+
+
+def results_summary(resp: DataFrame, feat: DataFrame, tests: DataFrame, labels: list[str], min_questions: int,
+                    by: str = "dataset", key: str = "prompt_id") -> DataFrame:
+    """Per dataset, questions read, analysed and skipped, domains with enough of them, response labels, question labels and the test."""
+    share = [F.round(F.avg((F.lower("correctness") == c).cast("double")) * 100, 1).alias(f"pct_{c}") for c in labels]
+    raw = resp.groupBy(by).agg(F.countDistinct(key).alias("n_questions"), F.count(F.lit(1)).alias("n_responses"),
+                               *[F.sum((F.lower("correctness") == c).cast("int")).alias(f"n_{c}") for c in labels], *share)
+    done = feat.groupBy(by).agg(F.count(F.lit(1)).alias("n_analysed"), F.sum((F.col("label") == 0).cast("int")).alias("n_label_correct"),
+                                F.sum((F.col("label") == 1).cast("int")).alias("n_label_hallucinated"),
+                                F.round(F.avg("label") * 100, 1).alias("pct_hallucinated"))
+    domains = (feat.groupBy(by, "domain").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy(by).agg(F.sum((F.col("n") >= min_questions).cast("int")).alias("n_domains_analysed"),
+                                F.sum((F.col("n") < min_questions).cast("int")).alias("n_domains_excluded")))
+    return (raw.join(done, by, "left").join(domains, by, "left").join(tests.select(by, "delta", "p_value"), by, "left")
+            .withColumn("n_skipped", F.col("n_questions") - F.coalesce("n_analysed", F.lit(0))))

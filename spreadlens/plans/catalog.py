@@ -50,7 +50,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def question_table(spark, sf) -> DataFrame:
     """E1 + E4/E5 + G1–G4 per question of the text cloud (SQL-checkable part of G12)."""
-    resp = FX.responses(spark, sf)
+    resp = FX.responses(spark, sf).drop("model_answer").checkpoint()
     counts = R.question_counts(resp)
     meta = R.question_metadata(resp).select("prompt_id", "dataset", F.col("domain_mode").alias("domain"),
                                             "domain_inconsistent", "adversarial")
@@ -75,6 +75,19 @@ def q_responses_loaded(spark, sf):
         F.coalesce("has_vector", F.lit(False)).alias("has_vector")))
 
 
+@query("responses_jsonl")
+def q_responses_jsonl(spark, sf):
+    """Responses appended as JSON lines to the shared folder, and loaded with derived columns."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tables import append_rows, load_responses
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/responses-{uuid.uuid4().hex}.jsonl"
+    resp = FX.responses(spark, sf)
+    append_rows(resp.select("id", "dataset", "question", "model_answer", "type", "domain", "correctness", "adversarial", "correctness_score"), path)
+    got = load_responses(spark, path, ["id", "dataset", "correctness"])
+    return got.select("id", "prompt_id", "dataset", "correctness", "adversarial", "correctness_score", "answer_len")
+
+
 @query("union_datasets")
 def q_union(spark, sf):
     """Vertical concat of per-source frames with missing columns filled."""
@@ -99,9 +112,9 @@ def q_domain_canonical(spark, sf):
 
 @query("answer_extract")
 def q_answer_extract(spark, sf):
-    """B2/B3/B4 over whole conversation texts."""
-    conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "text"])
-    return conv.select("conv_id", "turn", F.md5(TX.extract_boxed("text")).alias("boxed_md5"),
+    """B2/B3/B4 over whole conversation texts, plain and with the marks of benchmark answers."""
+    conv = FX.answer_texts(spark, sf)
+    return conv.select("conv_id", "turn", "form", F.md5(TX.extract_boxed("text")).alias("boxed_md5"),
                        F.md5(TX.extract_after_hashes("text")).alias("hashes_md5"),
                        TX.clean_answer("text").alias("clean"))
 
@@ -243,7 +256,9 @@ def q_semi(spark, sf):
 def q_lookup(spark, sf):
     """Majority over whitelisted domains per question, joined back (null if none)."""
     resp = FX.responses(spark, sf)
-    valid = resp.where(F.col("domain").isin(TX.VALID_DOMAINS[:4]))
+    # failed judgements carry no domain of the whitelist
+    resp = resp.withColumn("domain", F.when(F.col("correctness").isin("error", "unknown"), "N/A").otherwise(F.col("domain")))
+    valid = resp.where(F.col("domain").isin(TX.VALID_DOMAINS))
     maj = R.mode(valid, ["question"], "domain", "clean_domain")
     return resp.select("id", "question").join(maj, "question", "left").select("id", "clean_domain")
 
@@ -504,17 +519,11 @@ def q_quota(spark, sf):
 
 @query("ordered_feature_union")
 def q_union_feats(spark, sf):
-    """KS-significant features ∪ top-2 correlated, order kept, duplicates removed."""
-    rows = FX.lineitem_rows(spark, sf)
-    long = FX.feature_long(rows, FX.LINEITEM_FEATURES, ["dataset", "y"])
-    ks = H.ks_tests(long.withColumnRenamed("y", "label"), ["feature"], n_tests=len(FX.LINEITEM_FEATURES))
-    sig = ks.where("significant").agg(F.array_sort(F.collect_list("feature")).alias("a"))
-    cor = R.correlation_with(rows, FX.LINEITEM_FEATURES, "y")
-    top = (cor.orderBy(F.abs("r").desc(), "feature").limit(2)
-           .agg(F.collect_list(F.struct(-F.abs("r"), "feature")).alias("b"))
-           .select(F.transform(F.array_sort("b"), lambda s: s["feature"]).alias("b")))
-    j = sig.withColumn("_o", F.lit(1)).join(top.withColumn("_o", F.lit(1)), "_o")
-    return j.select(F.array_join(F.array_distinct(F.concat(F.coalesce("a", F.array().cast("array<string>")), "b")), ",").alias("features"))
+    """The 4 features most correlated with the label, then the KS-significant ones in feature order."""
+    qt = question_table(spark, sf).checkpoint()
+    feats = GEO + ["score_mean", "len_mean"]
+    return R.ordered_feature_union(qt, feats, "label", H.ks_tests(
+        FX.feature_long(qt, feats, ["label"]), ["feature"], n_tests=len(feats)), 4)
 
 
 # ------------------------------------------------------------------ G: geometry
@@ -627,8 +636,9 @@ def q_mwu(spark, sf):
 
 @query("significant_heads")
 def q_sig_heads(spark, sf):
-    """H7: share of heads with p < 0.05 per dataset."""
+    """H7: share of heads with p < 0.05 per dataset; one dataset holds a single class, and its heads count too."""
     eig = FX.eigen_long(spark, sf)
+    eig = eig.unionByName(eig.where(F.col("label") == 1).withColumn("dataset", F.lit("OneClass")))
     per = eig.groupBy("id", "dataset", "label", "layer", "head").agg(F.avg("eig").alias("value"))
     return rounded(H.significant_share(H.mann_whitney(per, ["dataset", "layer", "head"]), ["dataset"]))
 
@@ -662,11 +672,11 @@ def q_perm(spark, sf):
 
 @query("bootstrap_mean_diff")
 def q_boot(spark, sf):
-    """H4/H5: pooled + per-dataset bootstrap of the λ_max gap (B = 200)."""
+    """H4/H5: pooled + per-dataset bootstrap of the λ_max gap (B = 200), with a dataset of one class."""
     eig = FX.eigen_long(spark, sf)
     lm = A.family_means(eig, "lambda_max").join(eig.select("id", "dataset", "label").distinct(), "id")
     pooled = lm.withColumn("dataset", F.lit("Pooled"))
-    both = lm.unionByName(pooled)
+    both = lm.unionByName(pooled).unionByName(lm.where(F.col("label") == 1).withColumn("dataset", F.lit("OneClass")))
     return rounded(RS.bootstrap_mean_diff(both, ["dataset"], "id", "lambda_max_mean", "label", n_boot=200))
 
 
@@ -676,9 +686,9 @@ def q_boot(spark, sf):
 def q_auc(spark, sf):
     """Exact AUC and AP of the scored line items per dataset."""
     p = FX.predictions(spark, sf)
-    a = M.auc(p, ["dataset"], "y_prob", "y_true")
-    ap = M.average_precision(p, ["dataset"], "y_prob", "y_true")
-    return rounded(a.join(ap, "dataset"))
+    both = M.ranked_counts(p, ["dataset"], "y_prob", "y_true").groupBy("dataset").agg(
+        F.max("n1").alias("n1"), F.max("n0").alias("n0"), M._auc().alias("auc"), M._ap().alias("average_precision"))
+    return rounded(both)
 
 
 @query("roc_points")
@@ -740,17 +750,28 @@ def q_folds(spark, sf):
     return stratified_folds(FX.lineitem_rows(spark, sf), "row_id", "y", 5, 42).select("row_id", "y", "fold")
 
 
-def _holdout(model):
+def _holdout(models):
     def run(spark, sf):
         from ..operators.models import holdout_eval
-        return rounded(holdout_eval(FX.lineitem_rows(spark, sf), LI, "y", model, keys=None))
+        return rounded(holdout_eval(FX.lineitem_rows(spark, sf), LI, "y", models))
     return run
 
 
+def model_rows(spark, sf) -> DataFrame:
+    """The question table as the rows of the model queries (the reference fits on questions)."""
+    return question_table(spark, sf).withColumn("row_id", F.col("prompt_id")).checkpoint()
+
+
 QUERIES["logistic_holdout"] = _holdout("logistic")          # M5/M12
-QUERIES["elastic_net_holdout"] = _holdout("elastic_net")    # M5
+QUERIES["elastic_net_holdout"] = _holdout(["elastic_net", "elastic_net_25"])    # M5
 QUERIES["forest_holdout"] = _holdout("random_forest")       # M6
-QUERIES["boosting_holdout"] = _holdout("gradient_boosting")  # M7
+
+
+@query("boosting_holdout")
+def q_boosting(spark, sf):
+    """M7: 100 boosting rounds of depth 3 and 200 of depth 4, on the question table."""
+    from ..operators.models import holdout_eval
+    return rounded(holdout_eval(model_rows(spark, sf), GEO, "label", ["gradient_boosting", "boosted_trees"]))
 
 
 @query("svm_platt_auc")
@@ -758,124 +779,167 @@ def q_svm(spark, sf):
     """M8: calibrated linear SVM, AUC on the hold-out split."""
     from ..operators.models import standardize, stratified_split, svm_platt
     rows = standardize(FX.lineitem_rows(spark, sf), LI)
-    sp = stratified_split(rows, "row_id", "y", 0.2, 42).persist()
+    sp = stratified_split(rows, "row_id", "y", 0.2, 42).checkpoint()
     pred = svm_platt(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), [c + "_z" for c in LI], "y")
     return rounded(M.auc(pred.withColumn("yy", F.col("y").cast("int")), [], "p", "yy"))
 
 
+#: Boosting rounds of the registered query; every round is a distributed fit (the operator's default is 300).
+ADABOOST_ROUNDS = 20
+
+
 @query("adaboost_auc")
 def q_ada(spark, sf):
-    """M9: AdaBoost of stumps (6 rounds), AUC on the hold-out split."""
+    """M9: AdaBoost of stumps, AUC on the hold-out split."""
     from ..operators.models import adaboost, stratified_split
     sp = stratified_split(FX.lineitem_rows(spark, sf), "row_id", "y", 0.2, 42)
-    pred = adaboost(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), LI, "y", rounds=6)
+    pred = adaboost(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), LI, "y", rounds=ADABOOST_ROUNDS)
     return rounded(M.auc(pred.withColumn("yy", F.col("y").cast("int")), [], "p", "yy"))
 
 
 @query("cv_model_selection")
 def q_cv(spark, sf):
-    """Out-of-fold AUC/AP mean ± std per classifier (3 folds)."""
-    from ..operators.models import cv_selection, oof_predictions
-    oof = oof_predictions(FX.lineitem_rows(spark, sf), LI, "y", ["logistic", "elastic_net", "random_forest"], k=3)
-    return rounded(cv_selection(oof))
+    """Out-of-fold AUC/AP mean ± std and rank of every classifier over 5 folds of the question table."""
+    from ..operators.models import ZOO, cv_selection, oof_predictions
+    return rounded(cv_selection(oof_predictions(model_rows(spark, sf), GEO, "label", ZOO[:4], 5)))
+
+
+@query("classifier_bakeoff")
+def q_bakeoff(spark, sf):
+    """The classifiers side by side on one split of the question table."""
+    from ..operators.models import holdout_eval
+    return rounded(holdout_eval(model_rows(spark, sf), GEO, "label", ["logistic", "elastic_net", "random_forest", "random_forest_leaf"]))
+
+
+@query("final_evaluation")
+def q_final(spark, sf):
+    """The bundle of one model: hold-out metrics, threshold rows, curve points and coefficients, one per row."""
+    from ..operators.models import final_evaluation
+    b = final_evaluation(FX.lineitem_rows(spark, sf), LI, "y", "logistic")
+    wide = b["metrics"]
+    metrics = wide.unpivot([], wide.columns, "name", "value").select(F.lit("metrics").alias("part"), "name", F.col("value").cast("double").alias("value"))
+    thr = b["thresholds"].select(F.lit("thresholds").alias("part"), F.concat(F.lit("f1@"), F.col("threshold").cast("string")).alias("name"), F.col("f1").alias("value"))
+    curve = b["curve"].select(F.lit("curve").alias("part"), F.lit("points").alias("name"), F.lit(1.0).alias("value")).groupBy("part", "name").agg(F.sum("value").alias("value"))
+    coef = b["coefficients"].select(F.lit("coefficients").alias("part"), F.col("feature").alias("name"), F.col("coefficient").alias("value"))
+    return rounded(metrics.unionByName(thr).unionByName(curve).unionByName(coef))
+
+
+ABLATION = {"centroid": ["D_cos", "D_cos_var"], "pairs": ["D_pair", "sig2_S"], "geometry": GEO, "length and score": ["score_mean", "len_mean"],
+            "all": GEO + ["score_mean", "len_mean"]}
 
 
 @query("feature_ablation")
 def q_ablation(spark, sf):
-    """Feature subsets × classifier, out-of-fold AUC."""
+    """Feature subsets × classifiers, 5-fold out-of-fold AUC on the question table."""
     from ..operators.models import cv_selection, oof_predictions
-    rows = FX.lineitem_rows(spark, sf)
+    rows = model_rows(spark, sf)
     out = None
-    for name, feats in {"price_only": ["extendedprice"], "rates": ["discount", "tax"], "all": LI}.items():
-        r = cv_selection(oof_predictions(rows, feats, "y", ["logistic"], k=2)).withColumn("subset", F.lit(name))
+    for name, feats in ABLATION.items():
+        r = cv_selection(oof_predictions(rows, feats, "label", ["logistic", "elastic_net"], 5)).withColumn("subset", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return rounded(out)
 
 
 @query("per_dataset_clf")
 def q_per_ds(spark, sf):
-    """Hold-out evaluation per dataset (one plan keyed by dataset)."""
-    from ..operators.models import holdout_eval
-    rows = FX.lineitem_rows(spark, sf)
-    return rounded(holdout_eval(rows, LI, "y", "logistic", keys=["dataset"]))
+    """One model per line status, cross-validated inside it."""
+    from ..operators.models import per_group_cv
+    return rounded(per_group_cv(FX.lineitem_rows(spark, sf), "dataset", LI, "y", ["logistic"], folds=3))
 
 
 @query("leave_one_dataset_out")
 def q_lobo(spark, sf):
-    """Leave-one-benchmark-out AUC on the question table."""
+    """Leave-one-benchmark-out AUC on the question table, for two feature sets."""
     from ..operators.models import leave_one_out
-    qt = question_table(spark, sf).persist()
-    return rounded(leave_one_out(qt, "dataset", ["ds0", "ds1", "ds2", "ds3", "ds4"], GEO, "label", "logistic"))
+    qt = model_rows(spark, sf)
+    out = [leave_one_out(qt, "dataset", ABLATION[n], "label", "logistic").withColumn("subset", F.lit(n)) for n in ("geometry", "centroid")]
+    return rounded(out[0].unionByName(out[1]))
 
 
 @query("transfer_matrix")
 def q_transfer(spark, sf):
     """Train on one line status, AUC on each."""
     from ..operators.models import transfer_matrix
-    return rounded(transfer_matrix(FX.lineitem_rows(spark, sf), "dataset", ["F", "O"], LI, "y", "logistic"))
+    return rounded(transfer_matrix(FX.lineitem_rows(spark, sf), "dataset", LI, "y", "logistic"))
 
 
 @query("layerwise_probe")
 def q_layer_probe(spark, sf):
-    """Probe AUC per layer vs all layers (eigen vectors)."""
-    from ..operators.models import probe_eval
-    eig = FX.eigen_long(spark, sf)
+    """Probe AUC per layer vs all layers (eigen vectors), on one split."""
+    from ..operators.models import probe_eval, probe_split
+    eig = FX.eigen_long(spark, sf).checkpoint()
     labels = eig.select("id", "label").distinct()
+    split = probe_split(labels).checkpoint()
+    layers = [r[0] for r in eig.select("layer").distinct().orderBy("layer").collect()]
     out = None
-    for layer in [None, 0, 1, 2, 3]:
-        e = eig if layer is None else eig.where(F.col("layer") == layer)
-        vec = A.eigen_vectors(e.withColumn("layer", F.lit(0)) if layer is not None else e, 1 if layer is not None else 4, 4, 4)
-        r = probe_eval(vec, labels, k=4).withColumn("layer", F.lit("all" if layer is None else str(layer)))
+    for layer in [None, *layers]:
+        e = eig if layer is None else eig.where(F.col("layer") == layer).withColumn("layer", F.lit(0))
+        n = len(layers) if layer is None else 1
+        r = probe_eval(A.eigen_vectors(e, n, 4, 4), labels, 4, n * 16, split).withColumn("layer", F.lit("all" if layer is None else str(layer)))
         out = r if out is None else out.unionByName(r)
     return rounded(out)
 
 
 @query("topk_vs_baseline")
 def q_topk_baseline(spark, sf):
-    """Top-4 vs top-2 Laplacian features vs the attention-score baseline."""
-    from ..operators.models import probe_eval
-    att = FX.attention(spark, sf).persist()
-    lab = FX.attention_labels(spark, sf)
-    top = A.top_k_eigenvalues(A.laplacian_diagonal(att), 4).persist()
-    r4 = probe_eval(A.eigen_vectors(top, 2, 2, 4), lab.select("id", "label"), k=4).withColumn("variant", F.lit("top4"))
-    r2 = probe_eval(A.eigen_vectors(A.top_of_top(top, 2), 2, 2, 2), lab.select("id", "label"), k=4).withColumn("variant", F.lit("top2"))
-    score = A.attention_score(att).groupBy("id").agg(F.avg("attention_score").alias("s")).join(lab, "id")
+    """Top-4 vs top-2 Laplacian features vs the attention-score baseline, all on the test rows of one split."""
+    from ..operators.models import probe_eval, probe_split
+    att = FX.attention(spark, sf).checkpoint()
+    lab = FX.attention_labels(spark, sf).select("id", "label")
+    # sequences shorter than the others have fewer eigenvalues a head: no probe can read them, so no variant counts them
+    top = A.top_k_eigenvalues(A.laplacian_diagonal(att), 4).checkpoint()
+    whole = A.eigen_vectors(top, 2, 2, 4).where(F.size("features") == 16).select("id")
+    lab = lab.join(whole, "id", "left_semi").checkpoint()
+    split = probe_split(lab).checkpoint()
+    top = top.join(whole, "id", "left_semi")
+    r4 = probe_eval(A.eigen_vectors(top, 2, 2, 4), lab, 4, 16, split).withColumn("variant", F.lit("top4"))
+    r2 = probe_eval(A.eigen_vectors(A.top_of_top(top, 2), 2, 2, 2), lab, 4, 8, split).withColumn("variant", F.lit("top2"))
+    score = (A.attention_score(att).groupBy("id").agg(F.avg("attention_score").alias("s"))
+             .join(split.where("is_test").select("id", F.col("label").cast("int").alias("label")), "id"))
     base = M.auc(score, [], "s", "label").withColumn("variant", F.lit("attention_score"))
     return rounded(r4.unionByName(r2).unionByName(base))
 
 
 @query("grid_search")
 def q_grid(spark, sf):
-    """CrossValidator over penalty strength × l1 ratio (2 folds, AUC)."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    from ..operators.models import prepare, stratified_folds, standardize
-    rows = standardize(FX.lineitem_rows(spark, sf), LI)
-    data = prepare(stratified_folds(rows, "row_id", "y", 2, 42), [c + "_z" for c in LI], "y")
-    lr = LogisticRegression(standardization=False, maxIter=50)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
-                        foldCol="fold", numFolds=2, parallelism=2)
-    model = cv.fit(data)
-    rows_out = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
-                for pm, m in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(rows_out, "reg_param double, l1_ratio double, cv_auc double")
+    """CV AUC over PCA components × whitening × class weights × penalty of the probe (2 folds, eigen vectors)."""
+    from ..operators.models import balanced_weights, positive_prob, probe_pipeline, stratified_folds
+    from pyspark.ml.functions import array_to_vector
+    eig = FX.eigen_long(spark, sf)
+    vec = A.whole_vectors(A.eigen_vectors(eig, 4, 4, 4), 64).join(eig.select("id", "label").distinct(), "id")
+    data = balanced_weights(stratified_folds(vec, "id", "label", 2, 42), "label").withColumn("label", F.col("label").cast("double")).checkpoint()
+    data = data.withColumn("vec", array_to_vector("features"))
+    out = None
+    for k in (4, 16):
+        for whiten in (False, True):
+            for balanced in (False, True):
+                for reg in (0.01, 0.1):
+                    for f in (0, 1):
+                        fit = probe_pipeline(k, "vec", balanced, whiten, reg).fit(data.where(F.col("fold") != f))
+                        p = positive_prob(fit.transform(data.where(F.col("fold") == f))).select(
+                            F.lit(k).alias("k"), F.lit(whiten).alias("whiten"), F.lit(balanced).alias("balanced"), F.lit(reg).alias("reg"),
+                            F.lit(f).alias("fold"), F.col("label").cast("int").alias("y"), "p")
+                        out = p if out is None else out.unionByName(p)
+    keys = ["k", "whiten", "balanced", "reg"]
+    return rounded(M.auc(out.checkpoint(), [*keys, "fold"], "p", "y").groupBy(*keys).agg(F.avg("auc").alias("cv_auc")))
 
 
 @query("two_sampling_transfer")
 def q_two_sampling(spark, sf):
-    """Features from two embeddings; train on one, test on the other."""
-    from ..operators.models import fit_score
+    """Features of the same questions from two embeddings; in-domain on held-out questions, and both directions."""
+    from ..operators.models import sampling_transfer
     resp = FX.responses(spark, sf)
     counts = R.question_counts(resp).select("prompt_id", "label")
     base = resp.select("prompt_id", "id")
-    a = G.cloud_dispersion(base.join(FX.text_vectors(resp, 64), "id"), ["prompt_id"]).join(counts, "prompt_id").persist()
-    b = G.cloud_dispersion(base.join(FX.text_vectors(resp, 32), "id"), ["prompt_id"]).join(counts, "prompt_id").persist()
-    p_ab = fit_score(a, b, GEO, "label", "logistic").withColumn("direction", F.lit("64->32"))
-    p_aa = fit_score(a, a, GEO, "label", "logistic").withColumn("direction", F.lit("64->64"))
-    both = p_ab.unionByName(p_aa).withColumn("y", F.col("label").cast("int"))
-    return rounded(M.auc(both, ["direction"], "p", "y"))
+    a, b = (G.cloud_dispersion(base.join(FX.text_vectors(resp, d), "id"), ["prompt_id"]).join(counts, "prompt_id").checkpoint() for d in (64, 32))
+    return rounded(sampling_transfer(a, b, GEO, "label", "logistic", "prompt_id", ("64", "32")))
+
+
+@query("permutation_importance")
+def q_importance(spark, sf):
+    """Fall of the hold-out AUC when a feature's values are dealt anew (3 repeats)."""
+    from ..operators.models import permutation_importance
+    return rounded(permutation_importance(FX.lineitem_rows(spark, sf), LI, "y", "row_id", repeats=3))
 
 
 @query("linear_attribution")
@@ -895,12 +959,15 @@ def q_pca(spark, sf):
     return rounded(pca_variance(vec, "v", 8))
 
 
+#: Bootstrap replicates of the registered query; every replicate is a distributed fit (the operator's default is 2,000).
+OOB_REPLICATES = 3
+
+
 @query("bootstrap_oob_auc")
 def q_boot_auc(spark, sf):
-    """H3: out-of-bag RF AUC over 3 bootstrap replicates of the question table."""
-    from ..operators.models import bootstrap_oob_auc
-    qt = question_table(spark, sf).persist()
-    return rounded(bootstrap_oob_auc(qt, GEO, "label", "prompt_id", n_boot=3))
+    """H3: mean and interval of the out-of-bag AUC of random forests over bootstrap replicates of the question table."""
+    from ..operators.models import auc_interval, bootstrap_oob_auc
+    return rounded(auc_interval(bootstrap_oob_auc(model_rows(spark, sf), GEO, "label", "prompt_id", n_boot=OOB_REPLICATES)))
 
 
 # ------------------------------------------------------------------ W: streaming (batch form)
@@ -956,6 +1023,141 @@ def q_peak(spark, sf):
     return rounded(G.density_peak(pts, ["prompt_id"], "z1", "z2", grid=20, bandwidth=0.25))
 
 
+@query("projection_2d_views")
+def q_projection_views(spark, sf):
+    """G16 → G17/G18/H12: hull area, median centroid and density peak of each question in the projection of the whole vectors."""
+    pts = G.project_2d(FX.dense_cloud(spark, sf)).checkpoint()
+    hull = G.hull_area(pts, ["prompt_id"])
+    peak = G.density_peak(pts, ["prompt_id"], "z1", "z2", grid=20, bandwidth=0.25)
+    out = hull.join(peak, "prompt_id")
+    for c in ("z1", "z2"):
+        cnt = pts.groupBy("prompt_id", c).agg(F.count(F.lit(1)).alias("_c"))
+        out = out.join(R.median_from_counts(cnt, ["prompt_id"], c, "_c").withColumnRenamed("median", f"median_{c}"), "prompt_id")
+    return rounded(out)
+
+
+@query("graph_spectrum_moments")
+def q_spectrum_moments(spark, sf):
+    """Σλ and Σλ² of every question's similarity graph (the sums of degrees and of squared entries)."""
+    return rounded(G.cloud_structure(FX.dense_cloud(spark, sf), ["prompt_id"], tau=0.2, moments=True).select("prompt_id", *G.MOMENT_COLS))
+
+
+@query("sequential_blocks")
+def q_blocks(spark, sf):
+    """Features of fixed blocks of responses."""
+    from .features import block_features
+    cloud = FX.dense_cloud(spark, sf).withColumn("block", F.concat_ws("-", "prompt_id", (F.col("id").cast("long") % 3).cast("string"))).checkpoint()
+    return rounded(block_features(cloud, "block", tau=0.2))
+
+
+@query("family_means_by_rank_and_layer")
+def q_families(spark, sf):
+    """Means by rank and by layer."""
+    eig = FX.eigen_long(spark, sf)
+    parts = [A.family_means(eig, f).select("id", F.lit(f).alias("family"), F.col(f).alias("place"), "mean_eig") for f in ("rank", "layer")]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query("head_average")
+def q_head_average(spark, sf):
+    """Eigenvalues averaged over the heads of each layer."""
+    return rounded(A.head_mean(FX.eigen_long(spark, sf)))
+
+
+@query("eigen_long_again")
+def q_eigen_long(spark, sf):
+    """I4: long → wide → long."""
+    names = A.eigen_names(4, 4, 4)
+    return rounded(A.eigen_long_from_wide(A.eigen_wide(FX.eigen_long(spark, sf), names), names))
+
+
+@query("flipped_permutation")
+def q_flipped(spark, sf):
+    """One-sided permutation test of a measure that falls for bad answers, with its sign flipped (B = 200)."""
+    qt = question_table(spark, sf).withColumn("neg", -F.col("D_pair"))
+    return rounded(RS.permutation_test(qt, ["dataset"], "prompt_id", "neg", "label", n_perm=200))
+
+
+@query("residual_domain")
+def q_residual(spark, sf):
+    """Majority domain of each question; questions without a valid one get the residual domain."""
+    resp = FX.responses(spark, sf).withColumn("domain", F.when(F.col("doc_id") % 3 == 0, F.col("domain")).otherwise("N/A"))
+    maj = R.mode(resp.where(F.col("domain").isin(TX.VALID_DOMAINS)), ["question"], "domain", "clean")
+    return resp.select("id", "question").join(maj, "question", "left").select("id", TX.residual_domain("clean").alias("domain_clean"))
+
+
+@query("imputed_median")
+def q_impute(spark, sf):
+    """Missing tax entries become the median (an observed value)."""
+    from ..operators.models import impute_median
+    rows = FX.lineitem_rows(spark, sf).select("row_id", F.when(F.col("quantity") > 25, F.col("tax")).alias("tax"))
+    return rounded(impute_median(rows, ["tax"]))
+
+
+@query("crosstab_type_correctness")
+def q_crosstab_type(spark, sf):
+    """Type × correctness shares."""
+    return rounded(R.crosstab_share(FX.responses(spark, sf), "type", "correctness", TX.LABEL_ORDER))
+
+
+@query("dataset_feature_means")
+def q_feature_means(spark, sf):
+    """Per-dataset means of the label and the features."""
+    return rounded(question_table(spark, sf).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), *[
+        F.avg(c).alias(c) for c in ["label", *GEO, "score_mean", "len_mean"]]))
+
+
+@query("benchmark_questions")
+def q_benchmarks(spark, sf):
+    """Raw rows of eight benchmark formats in the common question form, a seeded subset of each."""
+    from ..sources import benchmarks as B
+    return B.seeded_subset(B.all_questions(FX.raw_benchmarks(spark, sf)), "dataset", "question", 20, 42)
+
+
+@query("mean_roc_folds")
+def q_mean_roc(spark, sf):
+    """Mean ROC over 5 md5 folds of the scored line items, at 100 false-positive rates."""
+    p = FX.predictions(spark, sf).withColumn("fold", (md5_int(F.lit("fold"), F.col("row_id")) % 5).cast("int"))
+    return rounded(M.mean_curve(p, ["dataset"], "fold", "y_prob", "y_true"))
+
+
+@query("roc_band")
+def q_roc_band(spark, sf):
+    """Bootstrap band of the ROC of D_cos on the question table (B = 50)."""
+    return rounded(RS.bootstrap_roc_band(question_table(spark, sf), [], "prompt_id", "D_cos", "label", n_boot=50))
+
+
+@query("preservation_ratio")
+def q_preservation(spark, sf):
+    """AUC of each line status against the pooled AUC of its own scores."""
+    p = FX.predictions(spark, sf)
+    noisy = p.withColumn("y_prob", F.round((F.col("y_prob") + md5_uniform(F.lit("noise"), F.col("row_id"))) / 2, 3))
+    return rounded(M.transfer_ratio(M.auc(noisy, ["dataset"], "y_prob", "y_true").select("dataset", "auc"),
+                                    M.auc(p, ["dataset"], "y_prob", "y_true").select("dataset", "auc"), ["dataset"]))
+
+
+@query("entropy_vs_dispersion")
+def q_scatter(spark, sf):
+    """The two coordinates and the class name of each question."""
+    qt = question_table(spark, sf)
+    return rounded(qt.select("prompt_id", "D_cos", "D_pair", F.when(F.col("label") == 0, "Correct").otherwise("Hallucinated (incl. refused)").alias("group")))
+
+
+@query("pairplot_sample")
+def q_pairplot(spark, sf):
+    """At most 20 questions of each class in the order of a seeded hash, geometric features only."""
+    return rounded(R.sample_per_class(question_table(spark, sf), "label", "prompt_id", 20, 42).select("prompt_id", "label", *GEO))
+
+
+@query("results_summary")
+def q_results(spark, sf):
+    """The closing summary of each dataset, one row a dataset."""
+    resp = FX.responses(spark, sf).drop("model_answer").checkpoint()
+    qt = question_table(spark, sf).checkpoint()
+    perm = RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label", n_perm=200)
+    return rounded(R.results_summary(resp, qt, perm, TX.LABEL_ORDER, 15))
+
+
 @query("describe_questions")
 def q_describe_q(spark, sf):
     """E16 on the question table's geometric features."""
@@ -964,15 +1166,17 @@ def q_describe_q(spark, sf):
 
 @query("stats_summary")
 def q_stats_summary(spark, sf):
-    """Per dataset: questions, hallucination rate, KS-significant features, best KS feature."""
-    qt = question_table(spark, sf).persist()
+    """Per dataset: questions, hallucination rate, KS-significant features, best KS feature, δ, permutation p, AUC interval of D_cos (B = 200)."""
+    qt = question_table(spark, sf).checkpoint()
     long = FX.feature_long(qt, GEO, ["dataset", "prompt_id", "label"])
     ks = H.ks_tests(long, ["dataset", "feature"], n_tests=len(GEO))
     agg_ks = ks.groupBy("dataset").agg(F.sum(F.col("significant").cast("int")).alias("n_significant"),
                                        F.max_by("feature", F.struct("ks_stat", "feature")).alias("best_ks_feature"),
                                        F.max("ks_stat").alias("best_ks_stat"))
     base = qt.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_questions"), F.avg("label").alias("rate"))
-    return rounded(base.join(agg_ks, "dataset", "left"))
+    perm = RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label", n_perm=200).select("dataset", "delta", "p_value")
+    boot = RS.bootstrap_auc(qt, ["dataset"], "prompt_id", "D_cos", "label", n_boot=200)
+    return rounded(base.join(agg_ks, "dataset", "left").join(perm, "dataset", "left").join(boot, "dataset", "left"))
 
 
 @query("domain_stats")
@@ -983,6 +1187,13 @@ def q_domain_stats(spark, sf):
     return rounded(R.domain_stats(feat))
 
 
+@query("domain_counts")
+def q_domain_counts(spark, sf):
+    """E7, the part without clusters: per-domain questions, hallucinated ones, and their rate."""
+    return rounded(question_table(spark, sf).groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n_questions"), F.sum("label").alias("n_hallucinated"), F.avg("label").alias("rate")))
+
+
 @query("label_policies")
 def q_label_policies(spark, sf):
     """§1 label rules side by side: merged, non-correct rate, k-of-n (k = 8)."""

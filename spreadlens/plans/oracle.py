@@ -8,6 +8,8 @@ derivations repeat ``spreadlens.sources.fixtures`` clause by clause.
 
 from __future__ import annotations
 
+import math
+
 from ..functions.text import DOMAIN_PATTERNS, LABEL_ORDER, VALID_DOMAINS
 
 LINEITEM_FEATURES = ["quantity", "extendedprice", "discount", "tax"]
@@ -63,12 +65,13 @@ RESPONSES = f"""responses_fx AS (
 def text_vec(name: str = "text_vec", dims: int = 64) -> list[str]:
     p = name + "_"
     return [
-        f"{p}tok AS (SELECT id, unnest(string_split_regex(lower(model_answer), '[^a-z0-9]+')) AS t FROM responses_fx)",
+        f"{p}tok AS (SELECT id, unnest(string_split_regex(lower(model_answer), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM responses_fx)",
         f"{p}cnt AS (SELECT id, CAST({md5i('t')} % {dims} AS INTEGER) AS pos, CAST(count(*) AS DOUBLE) AS c "
         f"FROM {p}tok WHERE t <> '' GROUP BY ALL)",
         f"{p}nrm AS (SELECT id, sqrt(sum(c * c)) AS nrm FROM {p}cnt GROUP BY id)",
         f"{name} AS (SELECT r.dataset, r.prompt_id, c.id, c.pos, c.c / greatest(n.nrm, 1e-12) AS v "
-        f"FROM {p}cnt c JOIN {p}nrm n ON c.id = n.id JOIN responses_fx r ON r.id = c.id)",
+        f"FROM {p}cnt c JOIN {p}nrm n ON c.id = n.id JOIN responses_fx r ON r.id = c.id "
+        f"UNION ALL SELECT dataset, prompt_id, id, 0, 0.0 FROM responses_fx WHERE id NOT IN (SELECT id FROM {p}nrm))",
     ]
 
 
@@ -130,21 +133,24 @@ def judge_raw_cte() -> str:
             f"CAST(({k} % 5) + 1 AS VARCHAR) || '}}'")
     content = ("CASE WHEN event_type = 'error' THEN '{\"correctness\": \"incorrect\", \"domain\": \"STEM\", \"adversarial\": tru' "
                f"WHEN event_type = 'signup' THEN '{{\"domain\": \"Humanities\", \"correctness_score\": ' || CAST({k} AS VARCHAR) || '}}' "
+               "WHEN event_id % 97 = 0 THEN '{\"correctness\": \"correct\", \"adversarial\": \"true\", \"correctness_score\": \"4\"}' "
+               "WHEN event_id % 89 = 0 THEN '{\"correctness\": null, \"domain\": \"STEM\", \"correctness_score\": 4.0}' "
+               "WHEN event_id % 83 = 0 THEN '[\"correct\"]' "
                f"ELSE {full} END")
     return f"judge_raw AS (SELECT event_id AS id, {content} AS content FROM events)"
 
 
 JUDGE_PARSED = """judge_parsed AS (
   SELECT id,
-         CASE WHEN NOT json_valid(content) THEN 'error'
+         CASE WHEN bad THEN 'error'
               ELSE lower(coalesce(json_extract_string(content, '$.correctness'), 'unknown')) END AS correctness,
-         CASE WHEN NOT json_valid(content) THEN 'error'
+         CASE WHEN bad THEN 'error'
               ELSE coalesce(json_extract_string(content, '$.domain'), 'unknown') END AS domain,
-         CASE WHEN NOT json_valid(content) THEN false
-              ELSE coalesce(CAST(json_extract(content, '$.adversarial') AS BOOLEAN), false) END AS adversarial,
-         CASE WHEN NOT json_valid(content) THEN -1
-              ELSE coalesce(CAST(json_extract(content, '$.correctness_score') AS INTEGER), -1) END AS correctness_score
-  FROM judge_raw)"""
+         CASE WHEN bad THEN false
+              ELSE coalesce(lower(json_extract_string(content, '$.adversarial')) = 'true', false) END AS adversarial,
+         CASE WHEN bad THEN -1
+              ELSE coalesce(CAST(floor(TRY_CAST(json_extract_string(content, '$.correctness_score') AS DOUBLE)) AS INTEGER), -1) END AS correctness_score
+  FROM (SELECT *, NOT (json_valid(content) AND json_type(CASE WHEN json_valid(content) THEN content END) = 'OBJECT') AS bad FROM judge_raw))"""
 
 
 def geometry(prefix: str, vec: str) -> list[str]:
@@ -307,6 +313,9 @@ def build() -> dict[str, str]:
              correctness_score, answer_len, r.id IN (SELECT id FROM text_vec) AS has_vector
       FROM responses_fx r""")
 
+    O["responses_jsonl"] = with_([RESPONSES], """
+      SELECT id, regexp_replace(id, '_[^_]*$', '') AS prompt_id, dataset, correctness, adversarial, correctness_score, answer_len FROM responses_fx""")
+
     O["union_datasets"] = with_([RESPONSES], """
       SELECT id, dataset, answer_len, CAST(NULL AS VARCHAR) AS correctness FROM responses_fx WHERE dataset = 'ds0'
       UNION ALL SELECT id, dataset, CAST(NULL AS INTEGER), correctness FROM responses_fx WHERE dataset <> 'ds0'""")
@@ -320,7 +329,10 @@ def build() -> dict[str, str]:
     first_line = f"split_part({py_strip('text')}, chr(10), 1)"
     clean = py_strip(f"split_part({first_line}, 'Question:', 1)")
     O["answer_extract"] = f"""
-      SELECT conv_id, turn, md5({boxed}) AS boxed_md5, md5({hashes}) AS hashes_md5, {clean} AS clean FROM conversations"""
+      SELECT conv_id, turn, form, md5({boxed}) AS boxed_md5, md5({hashes}) AS hashes_md5, {clean} AS clean FROM (
+        SELECT conv_id, turn, unnest(range(0, 4))::INTEGER AS form, unnest([text, text || chr(10) || '#### ' || h || ' ' || chr(10),
+               'so \\boxed{{' || h || '}} and \\boxed{{2}}', chr(10) || ' ' || h || ' Question: ' || text]) AS text
+        FROM (SELECT *, split_part(text, ' ', 1) AS h FROM conversations))"""
 
     from ..functions import text as TX
 
@@ -421,7 +433,8 @@ def build() -> dict[str, str]:
         SELECT question, domain AS clean_domain FROM (
           SELECT question, domain, row_number() OVER (PARTITION BY question ORDER BY cnt DESC, domain) AS rk
           FROM (SELECT question, domain, count(*) AS cnt FROM responses_fx
-                WHERE domain IN {tuple(VALID_DOMAINS[:4])} GROUP BY ALL)) WHERE rk = 1) m
+                WHERE correctness NOT IN ('error', 'unknown') AND domain IN ('STEM', 'Humanities', 'Social Sciences',
+                      'Medicine & Health', 'Law, Business, and Miscellaneous') GROUP BY ALL)) WHERE rk = 1) m
       ON r.question = m.question""")
 
     O["upsert_judgements"] = with_([RESPONSES], """
@@ -616,11 +629,13 @@ def build() -> dict[str, str]:
                   CASE WHEN sigma > 0 THEN least(1.0, 2.0 * {normal_sf('z')}) END AS p_value FROM mw_z),
     mw_out AS (SELECT *, p_value < 0.05 AS significant FROM mw)"""
     O["mann_whitney_heads"] = rnd(with_([EIGEN, per_head, mwu], "SELECT * FROM mw_out"), ["u_stat", "z", "p_value"])
-    O["significant_heads"] = rnd(with_([EIGEN, per_head, mwu], """
+    O["significant_heads"] = rnd(with_([EIGEN.replace("eigen AS", "eigen0 AS", 1),
+        "eigen AS (SELECT * FROM eigen0 UNION ALL SELECT id, 'OneClass', label, layer, head, rank, eig FROM eigen0 WHERE label = 1)", per_head,
+        mwu, "cells AS (SELECT DISTINCT dataset, layer, head FROM ph)"], """
       SELECT dataset, CAST(sum(CAST(coalesce(significant, false) AS INTEGER)) AS BIGINT) AS n_significant,
              CAST(sum(CAST(p_value IS NOT NULL AS INTEGER)) AS BIGINT) AS n_finite, count(*) AS n_cells,
              sum(CAST(coalesce(significant, false) AS INTEGER)) / count(*) AS share_significant
-      FROM mw_out GROUP BY dataset"""), ["share_significant"])
+      FROM cells LEFT JOIN mw_out USING (dataset, layer, head) GROUP BY dataset"""), ["share_significant"])
 
     O["cohens_d_rank"] = rnd(with_([EIGEN], """
       SELECT rank, n1, n0, m1, m0,
@@ -629,7 +644,7 @@ def build() -> dict[str, str]:
           SELECT rank, CAST(sum(CAST(label = 1 AS INTEGER)) AS BIGINT) AS n1, CAST(sum(CAST(label = 0 AS INTEGER)) AS BIGINT) AS n0,
                  avg(CASE WHEN label = 1 THEN eig END) AS m1, avg(CASE WHEN label = 0 THEN eig END) AS m0,
                  var_samp(CASE WHEN label = 1 THEN eig END) AS v1, var_samp(CASE WHEN label = 0 THEN eig END) AS v0
-          FROM eigen WHERE eig IS NOT NULL AND NOT isnan(eig) GROUP BY rank))"""), ["m1", "m0", "cohens_d"])
+          FROM eigen WHERE eig IS NOT NULL AND isfinite(eig) GROUP BY rank))"""), ["m1", "m0", "cohens_d"])
 
     O["kde_lineitem"] = rnd(with_([LI_ROWS], """
       , st AS (SELECT dataset, y, count(*) AS n, stddev_samp(discount) AS sd, min(discount) AS lo, max(discount) AS hi,
@@ -661,19 +676,27 @@ def build() -> dict[str, str]:
              stddev_pop(n.d) AS null_std, o.delta
       FROM nul n JOIN obs o ON n.dataset = o.dataset GROUP BY o.dataset, o.delta"""), ["p_value", "null_mean", "null_std", "delta"])
 
+    def poisson(u: str) -> str:
+        total, parts = 0.0, []
+        for k in range(12):
+            total += math.exp(-1) / math.factorial(k)
+            parts.append(f"CAST({u} >= {total!r} AS INTEGER)")
+        return "(" + " + ".join(parts) + ")"
+
     O["bootstrap_mean_diff"] = rnd(with_([EIGEN, f"""
       lm AS (SELECT e.id, avg(eig) AS v, any_value(dataset) AS dataset, any_value(label) AS y FROM eigen e WHERE rank = 1 GROUP BY e.id),
-      both_ AS (SELECT * FROM lm UNION ALL SELECT id, v, 'Pooled', y FROM lm),
-      idx AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM both_),
-      draws AS (SELECT x.dataset, r.rep, ({md5i("137", "r.rep", "x.i")} % x.n) AS j
-                FROM idx x, (SELECT unnest(range(1, 201)) AS rep) r),
-      per AS (SELECT d.dataset, d.rep, avg(CASE WHEN s.y = 1 THEN s.v END) - avg(CASE WHEN s.y = 0 THEN s.v END) AS delta
-              FROM draws d JOIN idx s ON s.dataset = d.dataset AND s.i = d.j GROUP BY d.dataset, d.rep),
+      both_ AS (SELECT * FROM lm UNION ALL SELECT id, v, 'Pooled', y FROM lm UNION ALL SELECT id, v, 'OneClass', y FROM lm WHERE y = 1),
+      draws AS (SELECT x.*, r.rep, {md5u("137", "r.rep", "x.id")} AS u FROM both_ x, (SELECT unnest(range(1, 201)) AS rep) r),
+      w AS (SELECT *, {poisson('u')} AS w FROM draws),
+      per AS (SELECT dataset, rep, sum(CASE WHEN y = 1 THEN w * v END) / nullif(sum(CASE WHEN y = 1 THEN w END), 0)
+                     - sum(CASE WHEN y = 0 THEN w * v END) / nullif(sum(CASE WHEN y = 0 THEN w END), 0) AS delta
+              FROM w GROUP BY dataset, rep),
       ok AS (SELECT * FROM per WHERE delta IS NOT NULL),
-      obs AS (SELECT dataset, avg(CASE WHEN y = 1 THEN v END) - avg(CASE WHEN y = 0 THEN v END) AS delta_obs FROM both_ GROUP BY dataset)"""], """
-      SELECT o.dataset, o.delta_obs, quantile_cont(k.delta, 0.025) AS ci_low, quantile_cont(k.delta, 0.975) AS ci_high,
-             avg(CAST(k.delta <= 0 AS DOUBLE)) AS p_value, count(*) AS n_replicates
-      FROM obs o JOIN ok k ON o.dataset = k.dataset GROUP BY o.dataset, o.delta_obs"""), ["delta_obs", "ci_low", "ci_high", "p_value"])
+      obs AS (SELECT dataset, avg(CASE WHEN y = 1 THEN v END) - avg(CASE WHEN y = 0 THEN v END) AS delta_obs,
+                     CAST(sum(CAST(y = 1 AS INTEGER)) AS BIGINT) AS n_pos, CAST(sum(CAST(y = 0 AS INTEGER)) AS BIGINT) AS n_neg FROM both_ GROUP BY dataset)"""], """
+      SELECT o.dataset, o.delta_obs, o.n_pos, o.n_neg, quantile_cont(k.delta, 0.025) AS ci_low, quantile_cont(k.delta, 0.975) AS ci_high,
+             avg(CAST(k.delta <= 0 AS DOUBLE)) AS p_value, count(k.delta) AS n_replicates
+      FROM obs o LEFT JOIN ok k ON o.dataset = k.dataset GROUP BY o.dataset, o.delta_obs, o.n_pos, o.n_neg"""), ["delta_obs", "ci_low", "ci_high", "p_value"])
 
     O["auc_by_dataset"] = rnd(with_([LI_ROWS, PREDS] + auc_sql("preds", ["dataset"], "y_prob", "y_true") + ap_sql("preds", ["dataset"], "y_prob", "y_true"),
                                     "SELECT a.*, ap.average_precision FROM auc a JOIN ap ON a.dataset = ap.dataset"), ["auc", "average_precision"])
@@ -759,6 +782,84 @@ def build() -> dict[str, str]:
              max(value) AS max, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
              quantile_cont(value, 0.75) AS q75
       FROM ql WHERE value IS NOT NULL GROUP BY feature"""), ["mean", "std", "min", "max", "q25", "q50", "q75"])
+    O["graph_spectrum_moments"] = rnd(with_([DENSE_VEC], """
+      , w AS (SELECT a.prompt_id, a.id AS i, b.id AS j, greatest(sum(a.v * b.v), 0) AS w FROM dense_vec a JOIN dense_vec b
+              ON a.prompt_id = b.prompt_id AND a.pos = b.pos AND a.id <> b.id GROUP BY ALL),
+      d AS (SELECT prompt_id, i, sum(w) AS d, sum(w * w) AS s FROM w GROUP BY ALL)
+      SELECT prompt_id, sum(d) AS lam_sum, sum(d * d) + sum(s) AS lam_sq_sum FROM d GROUP BY prompt_id"""), ["lam_sum", "lam_sq_sum"])
+    O["head_average"] = rnd(with_([EIGEN], "SELECT id, layer, rank, avg(eig) AS mean_eig FROM eigen GROUP BY ALL"), ["mean_eig"])
+    O["family_means_by_rank_and_layer"] = rnd(with_([EIGEN], """
+      SELECT id, 'rank' AS family, rank AS place, avg(eig) AS mean_eig FROM eigen GROUP BY ALL
+      UNION ALL SELECT id, 'layer', layer, avg(eig) FROM eigen GROUP BY ALL"""), ["mean_eig"])
+    O["eigen_long_again"] = rnd(with_([EIGEN], "SELECT id, layer, head, rank, eig FROM eigen"), ["eig"])
+    O["flipped_permutation"] = O["permutation_test"].replace("D_cos END", "neg END").replace("q.D_cos, r.rep", "q.neg, r.rep").replace(
+        "WHERE q.D_cos IS NOT NULL", "WHERE q.neg IS NOT NULL").replace("FROM qtable WHERE D_cos IS NOT NULL", "FROM qneg WHERE neg IS NOT NULL").replace(
+        "FROM qtable q,", "FROM qneg q,").replace("obs AS (SELECT dataset", "qneg AS (SELECT *, -D_pair AS neg FROM qtable),\n      obs AS (SELECT dataset", 1)
+    O["residual_domain"] = with_([RESPONSES], """
+      SELECT r.id, coalesce(m.d, 'Law, Business, and Miscellaneous') AS domain_clean FROM responses_fx r LEFT JOIN (
+        SELECT question, domain AS d FROM (
+          SELECT question, domain, row_number() OVER (PARTITION BY question ORDER BY cnt DESC, domain) AS rk
+          FROM (SELECT question, domain, count(*) AS cnt FROM responses_fx WHERE doc_id % 3 = 0 GROUP BY ALL)) WHERE rk = 1) m
+      ON r.question = m.question""")
+    O["crosstab_type_correctness"] = O["crosstab_domain_correctness"].replace("SELECT domain, ", "SELECT type, ").replace("GROUP BY domain", "GROUP BY type")
+    O["dataset_feature_means"] = rnd(with_(QTABLE, "SELECT dataset, count(*) AS n, " + ", ".join(
+        f"avg({c}) AS {c}" for c in ["label", *GEO, "score_mean", "len_mean"]) + " FROM qtable GROUP BY dataset"), ["label", *GEO, "score_mean", "len_mean"])
+    O["entropy_vs_dispersion"] = rnd(with_(QTABLE, """
+      SELECT prompt_id, D_cos, D_pair, CASE WHEN label = 0 THEN 'Correct' ELSE 'Hallucinated (incl. refused)' END AS "group" FROM qtable"""), ["D_cos", "D_pair"])
+    O["pairplot_sample"] = rnd(with_(QTABLE, f"""
+      SELECT prompt_id, label, {', '.join(GEO)} FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {md5i("42", "prompt_id")}, prompt_id) AS rk FROM qtable)
+      WHERE rk <= 20"""), GEO)
+    O["domain_counts"] = rnd(with_(QTABLE, """
+      SELECT domain, count(*) AS n_questions, CAST(sum(label) AS BIGINT) AS n_hallucinated, avg(label) AS rate FROM qtable GROUP BY domain"""), ["rate"])
+    O["preservation_ratio"] = rnd(with_([LI_ROWS, PREDS, f"""noisy AS (SELECT dataset, y_true, round((y_prob + {md5u("'noise'", "row_id")}) / 2, 3) AS y_prob FROM preds)"""]
+        + auc_sql("noisy", ["dataset"], "y_prob", "y_true", "na") + auc_sql("preds", ["dataset"], "y_prob", "y_true", "pa"), """
+      SELECT na.dataset, na.auc AS auc_transfer, pa.auc AS auc_in_domain, na.auc / pa.auc AS preservation FROM na JOIN pa ON na.dataset = pa.dataset"""),
+        ["auc_transfer", "auc_in_domain", "preservation"])
+    six = GEO + ["score_mean", "len_mean"]
+    q6 = "qlong6 AS (" + " UNION ALL ".join(f"SELECT prompt_id, label, '{f}' AS feature, {i} AS ord, CAST({f} AS DOUBLE) AS value FROM qtable" for i, f in enumerate(six)) + ")"
+    O["ordered_feature_union"] = with_(QTABLE + [q6] + ks_sql("qlong6", ["feature"], 6), """
+      , places AS (SELECT DISTINCT feature, ord FROM qlong6),
+      c AS (SELECT feature, any_value(ord) AS ord, abs(corr(value, label)) AS r FROM qlong6 GROUP BY feature),
+      b AS (SELECT feature, 0 AS part, row_number() OVER (ORDER BY r DESC, ord) AS k FROM c QUALIFY k <= 4),
+      u AS (SELECT * FROM b UNION ALL SELECT k.feature, 1, p.ord FROM ks_out k JOIN places p USING (feature) WHERE k.significant AND k.feature NOT IN (SELECT feature FROM b))
+      SELECT string_agg(feature, ',' ORDER BY part, k) AS features FROM u""")
+    O["roc_band"] = rnd(with_(QTABLE + [f"""
+      dr AS (SELECT q.prompt_id, q.D_cos AS s, q.label AS y, r.rep, {md5u("137", "r.rep", "q.prompt_id")} AS u FROM qtable q, (SELECT unnest(range(1, 51)) AS rep) r),
+      dw AS (SELECT rep, s, sum({poisson('u')} * y) AS c1, sum({poisson('u')} * (1 - y)) AS c0 FROM dr GROUP BY ALL),
+      cv AS (SELECT rep, sum(c1) OVER w AS tp, sum(c0) OVER w AS fp, sum(c1) OVER (PARTITION BY rep) AS n1, sum(c0) OVER (PARTITION BY rep) AS n0
+             FROM dw WINDOW w AS (PARTITION BY rep ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+      ok2 AS (SELECT * FROM cv WHERE n1 > 0 AND n0 > 0),
+      gr AS (SELECT rep, g FROM (SELECT DISTINCT rep FROM ok2), (SELECT unnest(range(0, 200)) AS g)),
+      tp AS (SELECT gr.rep, gr.g, CASE WHEN gr.g = 0 THEN 0.0 WHEN gr.g = 199 THEN 1.0
+                    ELSE coalesce(max(CASE WHEN ceil(ok2.fp / ok2.n0 * 199 - 1e-9) <= gr.g THEN ok2.tp / ok2.n1 END), 0.0) END AS tpr
+             FROM gr JOIN ok2 ON gr.rep = ok2.rep GROUP BY gr.rep, gr.g)"""],
+        "SELECT g / 199.0 AS fpr, quantile_cont(tpr, 0.025) AS tpr_low, quantile_cont(tpr, 0.975) AS tpr_high FROM tp GROUP BY g"), ["fpr", "tpr_low", "tpr_high"])
+    O["results_summary"] = rnd(with_(QTABLE, f"""
+      , pt AS ({O['permutation_test']}),
+      raw AS (SELECT dataset, count(DISTINCT prompt_id) AS n_questions, count(*) AS n_responses,
+                     {', '.join(f"CAST(sum(CAST(lower(correctness) = '{c}' AS INTEGER)) AS BIGINT) AS n_{c}" for c in LABEL_ORDER)},
+                     {', '.join(f"round(avg(CAST(lower(correctness) = '{c}' AS DOUBLE)) * 100, 1) AS pct_{c}" for c in LABEL_ORDER)}
+              FROM responses_fx GROUP BY dataset),
+      dn AS (SELECT dataset, count(*) AS n_analysed, CAST(sum(CAST(label = 0 AS INTEGER)) AS BIGINT) AS n_label_correct,
+                    CAST(sum(CAST(label = 1 AS INTEGER)) AS BIGINT) AS n_label_hallucinated, round(avg(label) * 100, 1) AS pct_hallucinated FROM qtable GROUP BY dataset),
+      dm AS (SELECT dataset, CAST(sum(CAST(n >= 15 AS INTEGER)) AS BIGINT) AS n_domains_analysed, CAST(sum(CAST(n < 15 AS INTEGER)) AS BIGINT) AS n_domains_excluded
+             FROM (SELECT dataset, domain, count(*) AS n FROM qtable GROUP BY ALL) GROUP BY dataset)
+      SELECT raw.*, dn.* EXCLUDE (dataset), dm.* EXCLUDE (dataset), pt.delta, pt.p_value, raw.n_questions - coalesce(dn.n_analysed, 0) AS n_skipped
+      FROM raw LEFT JOIN dn USING (dataset) LEFT JOIN dm USING (dataset) LEFT JOIN pt USING (dataset)"""),
+        [*[f"pct_{c}" for c in LABEL_ORDER], "pct_hallucinated", "delta", "p_value"])
+    q = "p_name || ' #' || CAST(p_partkey AS VARCHAR)"
+    none = "CAST(NULL AS VARCHAR[])"
+    O["benchmark_questions"] = f"""
+      WITH a AS (
+        SELECT text AS question, {none} AS choices, CAST(item_id AS VARCHAR) AS reference_answer, 'gsm8k' AS dataset, 'math' AS topic_label, '' AS type FROM benchmark
+        UNION ALL SELECT {q}, {none}, '["' || p_brand || '","' || p_type || '"]', 'nq_open', '', '' FROM part
+        UNION ALL SELECT {q}, {none}, p_brand, 'truthfulqa', CASE WHEN p_size > 5 THEN p_type ELSE '' END, '' FROM part
+        UNION ALL SELECT {q}, {none}, p_brand, 'triviaqa', '', '' FROM part
+        UNION ALL SELECT {q}, {none}, p_brand, 'defan', CASE WHEN p_size > 9 THEN p_type ELSE '' END, p_type FROM part
+        UNION ALL SELECT {q}, [p_brand, p_type, p_name, 'none'], ['A', 'B', 'C', 'D'][p_size % 4 + 1], 'mmlu', p_type, '' FROM part
+        UNION ALL SELECT {q}, {none}, CAST(p_size AS VARCHAR), 'math', p_type, '' FROM part
+        UNION ALL SELECT 'Context: ' || p_type || chr(10) || chr(10) || 'Question: ' || {q}, {none}, p_brand, 'halueval', '', '' FROM part)
+      SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {md5i("42", "question")}, question) AS rk FROM a) WHERE rk <= 20"""
     O["label_policies"] = rnd(with_([RESPONSES, COUNTS], """
       SELECT r.prompt_id, r.non_correct_rate, r.label_k_of_n, c.label AS label_merged FROM
         (SELECT prompt_id, avg(CAST(lower(correctness) <> 'correct' AS DOUBLE)) AS non_correct_rate,

@@ -61,14 +61,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hashed_bow(dims: int):
     """Arrow-batched helper: whole text → L2-normalised hashed bag of words.
 
-    Tokens are the lower-cased ``[a-z0-9]+`` runs; a token's bucket is the
-    first 7 hex digits of its md5 modulo ``dims`` (the same value DuckDB
-    computes).  Per batch, tokens are factorised so md5 runs once per
-    distinct token, and counts come from one ``bincount``.  Texts without
-    tokens give null.  The UDF is marked non-deterministic only so the
+    Tokens are the lower-cased runs of Unicode letters and digits; a token's
+    bucket is the first 7 hex digits of its md5 modulo ``dims`` (the same
+    value DuckDB computes).  Per batch, tokens are factorised so md5 runs
+    once per distinct token, and counts come from one ``bincount``.  Texts
+    without tokens, null included, give the zero vector.  The UDF is marked non-deterministic only so the
     optimiser does not duplicate it into a pushed-down filter.
     """
-    word = re.compile(r"[a-z0-9]+")
+    word = re.compile(r"[^\W_]+")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
@@ -77,7 +77,7 @@ def _hashed_bow(dims: int):
         flat = list(itertools.chain.from_iterable(lists))
         n = len(lists)
         if not flat:
-            return pd.Series([None] * n, dtype=object)
+            return pd.Series([[0.0] * dims] * n, dtype=object)
         codes, uniq = pd.factorize(np.asarray(flat, dtype=object))
         hashed = np.fromiter((int(hashlib.md5(u.encode("utf-8")).hexdigest()[:7], 16) % dims for u in uniq),
                              dtype=np.int64, count=len(uniq))
@@ -85,7 +85,7 @@ def _hashed_bow(dims: int):
         counts = np.bincount(doc * dims + hashed[codes], minlength=n * dims).reshape(n, dims).astype(np.float64)
         norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
         vecs = counts / np.maximum(norms, 1e-12)[:, None]
-        return pd.Series([list(v) if k > 0 else None for v, k in zip(vecs, lens)], dtype=object)
+        return pd.Series(list(vecs), dtype=object)
 
     return embed.asNondeterministic()
 
@@ -94,18 +94,16 @@ def text_vectors(resp: DataFrame, dims: int = TEXT_DIMS) -> DataFrame:
     """G15 (re-aimed): hashed bag-of-words embedding of the whole answer text.
 
     A narrow, per-row map (no shuffle): each response's vector depends on
-    its own text only.  Output: ``id, e array<double>``; texts without any
-    token are dropped.
+    its own text only.  Output: ``id, e array<double>``, one row per response.
     """
-    return (resp.select("id", _hashed_bow(dims)(F.col("model_answer")).alias("e"))
-            .where(F.col("e").isNotNull()))
+    return resp.select("id", _hashed_bow(dims)(F.col("model_answer")).alias("e"))
 
 
 def text_vectors_sql(resp: DataFrame, dims: int = TEXT_DIMS) -> DataFrame:
     """The same embedding with built-in expressions only (explode + two aggregations)."""
-    tok = resp.select("id", F.explode(tokens("model_answer")).alias("t"))
-    counts = (tok.groupBy("id", (md5_int("t") % dims).cast("int").alias("b"))
-              .agg(F.count(F.lit(1)).cast("double").alias("c")))
+    tok = resp.select("id", F.explode_outer(tokens("model_answer")).alias("t"))
+    counts = (tok.groupBy("id", F.coalesce((md5_int("t") % dims).cast("int"), F.lit(0)).alias("b"))
+              .agg(F.count("t").cast("double").alias("c")))
     dense = (counts.groupBy("id")
              .agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"))
              .select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
@@ -116,9 +114,7 @@ def text_vectors_sql(resp: DataFrame, dims: int = TEXT_DIMS) -> DataFrame:
 def text_cloud(spark: SparkSession, sf_dir: str, dims: int = TEXT_DIMS) -> DataFrame:
     """Responses with their text vectors: ``dataset, prompt_id, id, e``."""
     resp = responses(spark, sf_dir)
-    return (resp.select("dataset", "prompt_id", "id",
-                        _hashed_bow(dims)(F.col("model_answer")).alias("e"))
-            .where(F.col("e").isNotNull()))
+    return resp.select("dataset", "prompt_id", "id", _hashed_bow(dims)(F.col("model_answer")).alias("e"))
 
 
 def dense_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +224,9 @@ def judge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit('{"correctness": "incorrect", "domain": "STEM", "adversarial": tru'))
                .when(F.col("event_type") == "signup",
                      F.concat(F.lit('{"domain": "Humanities", "correctness_score": '), k.cast("string"), F.lit("}")))
+               .when(F.col("event_id") % 97 == 0, F.lit('{"correctness": "correct", "adversarial": "true", "correctness_score": "4"}'))
+               .when(F.col("event_id") % 89 == 0, F.lit('{"correctness": null, "domain": "STEM", "correctness_score": 4.0}'))
+               .when(F.col("event_id") % 83 == 0, F.lit('["correct"]'))
                .otherwise(full))
     return ev.select(F.col("event_id").alias("id"), content.alias("content"))
 
@@ -237,3 +236,31 @@ def paraphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     return part.select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("answer"),
                        F.col("p_name").alias("question"), F.col("p_type").alias("domain"))
+
+
+def raw_benchmarks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Rows in the own columns of eight benchmarks, from parts and benchmark items."""
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    question = F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("question")
+    items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return {
+        "gsm8k": items.select(F.col("text").alias("question"), F.concat(F.lit("first 1 + 1\n#### "), F.col("item_id").cast("string"), F.lit(" ")).alias("answer")),
+        "nq_open": part.select(question, F.array("p_brand", "p_type").alias("answer")),
+        "truthfulqa": part.select(question, F.col("p_brand").alias("best_answer"), F.when(F.col("p_size") > 5, F.col("p_type")).alias("category")),
+        "triviaqa": part.select(question, F.struct(F.col("p_brand").alias("value")).alias("answer")),
+        "defan": part.select(question, F.col("p_brand").alias("answer"), F.col("p_type").alias("type"), F.when(F.col("p_size") > 9, F.col("p_type")).alias("domain")),
+        "mmlu": part.select(question, F.array("p_brand", "p_type", "p_name", F.lit("none")).alias("choices"), (F.col("p_size") % 4).cast("int").alias("answer"),
+                            F.col("p_type").alias("subject")),
+        "math": part.select(question.alias("problem"), F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.lit("} holds")).alias("solution"),
+                            F.col("p_type").alias("type")),
+        "halueval": part.select(F.col("p_type").alias("knowledge"), question, F.col("p_brand").alias("right_answer")),
+    }
+
+
+def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(conv_id, turn, text)``: turns as they are, and with the marks that answers of benchmarks carry."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    head = F.split_part("text", F.lit(" "), F.lit(1))
+    marks = F.array(F.col("text"), F.concat("text", F.lit("\n#### "), head, F.lit(" \n")), F.concat(F.lit("so \\boxed{"), head, F.lit("} and \\boxed{2}")),
+                    F.concat(F.lit("\n "), head, F.lit(" Question: "), F.col("text")))
+    return conv.select("conv_id", "turn", F.posexplode(marks).alias("form", "text"))

@@ -6,8 +6,6 @@ and project early so column pruning reaches the scan.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,30 +37,14 @@ RESPONSE_SCHEMA = T.StructType([
 ])
 
 
-BALANCE_MIN_BYTES = 4 << 20
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Scan a driver table, projecting ``columns`` so pruning reaches the reader.
 
-    A Parquet file written as a single row group scans as one task.  When a
-    large table arrives in fewer splits than the cluster has cores, the scan
-    is spread round-robin once so that row-level work (hashing, text) runs
-    in parallel; with many input splits (the normal case at scale) nothing
-    is added.
+    Any path that Spark's readers open will do; the number of scan tasks
+    follows from the files and ``spark.sql.files.maxPartitionBytes``.
     """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    try:
-        size = os.path.getsize(path)
-    except OSError:
-        size = 0
-    cores = spark.sparkContext.defaultParallelism
-    if size >= BALANCE_MIN_BYTES and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def require_columns(df: DataFrame, required: list[str] | None) -> DataFrame:
@@ -74,9 +56,9 @@ def require_columns(df: DataFrame, required: list[str] | None) -> DataFrame:
 
 
 def with_response_defaults(df: DataFrame) -> DataFrame:
-    """A1: derive ``prompt_id`` (id up to its last underscore) and ``answer_len`` when absent."""
-    if "prompt_id" not in df.columns:
-        df = df.withColumn("prompt_id", prompt_id_from_id("id"))
+    """A1: derive ``prompt_id`` (id up to its last underscore) and ``answer_len`` where absent or null."""
+    derived = prompt_id_from_id("id")
+    df = df.withColumn("prompt_id", F.coalesce("prompt_id", derived) if "prompt_id" in df.columns else derived)
     if "answer_len" not in df.columns:
         df = df.withColumn("answer_len", F.length(F.coalesce(F.col("model_answer").cast("string"), F.lit(""))))
     return df
@@ -93,17 +75,19 @@ def load_responses(spark: SparkSession, path: str, required_cols: list[str] | No
     return with_response_defaults(require_columns(df, required_cols))
 
 
-def load_dataframe(spark: SparkSession, path: str, **csv_options) -> DataFrame:
-    """A4: dispatch on the file suffix (parquet / csv / jsonl); other suffixes are errors."""
+def load_dataframe(spark: SparkSession, path: str, schema: T.StructType | None = None, **csv_options) -> DataFrame:
+    """A4: dispatch on the file suffix (parquet / csv / jsonl); other suffixes are errors.
+
+    JSON and CSV without a ``schema`` are read twice, the first time to infer it (CSV columns are then strings).
+    """
     low = path.lower().rstrip("/")
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if low.endswith(".csv"):
-        opts = {"header": "true"}
-        opts.update(csv_options)
-        return spark.read.options(**opts).csv(path)
+        return reader.options(**({"header": "true"} | csv_options)).csv(path)
     if low.endswith(".jsonl") or low.endswith(".json"):
-        return spark.read.json(path)
+        return reader.json(path)
     raise ValueError(f"Unsupported file type: {path}")
 
 
@@ -123,19 +107,46 @@ def append_rows(df: DataFrame, path: str, fmt: str = "json") -> None:
     w.format(fmt).save(path)
 
 
-def write_version(df: DataFrame, root: str, version: int, fmt: str = "parquet") -> str:
-    """Write the full state to a new versioned folder and move the pointer.
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[tuple[str, str]]:
+    """(name after the prefix, path) of the folders under ``path``, on any file system; none if ``path`` is missing."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [(f.getPath().getName(), f.getPath().toString()) for f in fs.listStatus(root) if f.isDirectory()]
+    return sorted((n[len(prefix):], p) for n, p in found if n.startswith(prefix))
+
+
+def committed_versions(spark: SparkSession, root: str, upto: int | None = None) -> list[tuple[int, str]]:
+    """Versions under ``root`` whose job has committed (Spark's ``_SUCCESS`` is its last, atomic step), in order."""
+    jvm = spark._jvm
+    out = []
+    for n, path in _folders(spark, root, "v="):
+        done = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done) and (upto is None or int(n) <= upto):
+            out.append((int(n), path))
+    return out
 
-    The path being read is never overwritten; readers follow ``CURRENT``.
-    """
-    target = os.path.join(root, f"v{version:06d}")
-    df.write.mode("overwrite").format(fmt).save(target)
-    spark = df.sparkSession
-    pointer = os.path.join(root, "CURRENT")
-    spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(pointer)
+
+def write_version(df: DataFrame, root: str, version: int, partition_by: str | None = None) -> str:
+    """Write a version into a folder of its own; a version being read is never touched, a retry replaces its own."""
+    target = f"{root.rstrip('/')}/v={version:09d}"
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(target)
     return target
 
 
-def read_current(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
-    target = spark.read.text(os.path.join(root, "CURRENT")).first()[0]
-    return spark.read.format(fmt).load(target)
+def read_current(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame | None:
+    """The latest committed version, or None if there is none; any other failure is an error."""
+    have = committed_versions(spark, root, upto)
+    return spark.read.parquet(have[-1][1]) if have else None
+
+
+def read_buckets(spark: SparkSession, root: str, upto: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+    """Rows of the latest committed version of each ``bucket=`` folder (of those in ``only``), or None if there are none."""
+    latest: dict[str, str] = {}
+    for _, path in committed_versions(spark, root, upto):
+        latest.update(_folders(spark, path, "bucket="))
+    paths = [p for b, p in sorted(latest.items()) if only is None or int(b) in only]
+    return spark.read.parquet(*paths) if paths else None

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..operators.rollup import question_counts
 from ..session import ensure_checkpoint_dir
+from ..sources.tables import read_buckets, write_version
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -69,33 +70,44 @@ def window_rates_batch(events: DataFrame, key: str, flag: F.Column, ts_col: str
                     (F.col("n_flagged") / F.col("n")).alias("rate")))
 
 
-def upsert_batches(state_root: str, key: str = "id"):
+STATE_BUCKETS = 64
+
+
+def upsert_batches(state_root: str, key: str = "id", buckets: int = STATE_BUCKETS):
     """A ``foreachBatch`` function upserting judgements into ``state_root``.
 
-    Each micro-batch: latest judgement per id wins (``max_by`` on the batch
-    id/time), merged with the current state by a full outer join +
-    coalesce, written as a new version; the touched questions are
-    re-scored into ``state_root/scores``.
+    The state lies in hash buckets of the key.  Each micro-batch: the latest
+    judgement per id wins (``max_by`` on the time); the buckets it touches are
+    merged with their last committed version by a full outer join + coalesce
+    and written as a new version, others stay where they are.  The touched
+    questions are re-scored into ``state_root/scores/epoch=…``.  A retried epoch
+    starts from the versions before it and replaces what it wrote, so nothing
+    is counted twice; a state that can't be read is an error, never an empty one.
     """
-    from ..sources.tables import read_current, write_version
+    root = state_root.rstrip("/")
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy(key).agg(*[F.max_by(c, "judged_at").alias(c) for c in batch.columns
-                                          if c not in (key, "judged_at")])
-        try:
-            current = read_current(spark, state_root)
-        except Exception:  # first batch: no state yet
-            current = None
+        latest = batch.groupBy(key).agg(*[F.max_by(c, "judged_at").alias(c) for c in batch.columns if c not in (key, "judged_at")])
+        latest = latest.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")).checkpoint()
+        touched = [r["bucket"] for r in latest.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        current = read_buckets(spark, f"{root}/data", upto=epoch, only=touched)
         if current is None:
             merged = latest
         else:
             cols = [c for c in current.columns if c != key]
             merged = (current.alias("o").join(latest.alias("n"), key, "full_outer")
-                      .select(key, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in cols]))
-        write_version(merged, state_root, epoch + 1)
-        touched = latest.select("prompt_id").distinct()
-        fresh = read_current(spark, state_root).join(touched, "prompt_id", "left_semi")
-        question_counts(fresh).write.mode("append").parquet(os.path.join(state_root, "scores", f"epoch={epoch}"))
+                      .select(key, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in cols])
+                      .withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")))
+        write_version(merged, f"{root}/data", epoch + 1, "bucket")
+        fresh = read_buckets(spark, f"{root}/data", upto=epoch + 1)
+        if fresh is not None:
+            scored = question_counts(fresh.join(latest.select("prompt_id").distinct(), "prompt_id", "left_semi"))
+            scored.write.mode("overwrite").parquet(f"{root}/scores/epoch={epoch}")
 
     return run
+
+
+def read_state(spark: SparkSession, state_root: str) -> DataFrame | None:
+    """The whole current state that ``upsert_batches`` keeps."""
+    return read_buckets(spark, f"{state_root.rstrip('/')}/data")

@@ -1,8 +1,10 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from spreadlens.sources import tables
 from spreadlens.streaming import intake as S
 
 SF = "/root/testdata/sf0.001"
@@ -28,16 +30,58 @@ def test_dedup_and_rolling_rates_stream(spark):
     assert got == spark.read.parquet(os.path.join(SF, "events.parquet")).count()
 
 
-def test_upsert_batches(spark):
+SCHEMA = "id string, prompt_id string, correctness string, correctness_score int, answer_len int, judged_at int"
+
+
+def test_upsert_batches_retry_and_scores(spark):
+    root = tempfile.mkdtemp(prefix="state-", dir="/tmp")
+    run = S.upsert_batches(root, buckets=4)
+    run(spark.createDataFrame([("a_1", "a", "correct", 5, 3, 1), ("a_2", "a", "refused", 1, 3, 1), ("b_1", "b", "correct", 5, 3, 1)], SCHEMA), 0)
+    second = spark.createDataFrame([("a_2", "a", "refused", 1, 3, 1), ("a_2", "a", "incorrect", 2, 3, 2), ("a_3", "a", "correct", 4, 3, 2)], SCHEMA)
+    for _ in range(2):  # the second run is a retried epoch
+        run(second, 1)
+        state = {r.id: r.correctness for r in S.read_state(spark, root).collect()}
+        assert state == {"a_1": "correct", "a_2": "incorrect", "a_3": "correct", "b_1": "correct"}
+        scores = spark.read.parquet(f"{root}/scores/epoch=1").collect()
+        assert [(r.prompt_id, r.n_samples, r.n_correct) for r in scores] == [("a", 3, 2)]
+
+
+def test_a_state_that_cannot_be_read_is_an_error(spark):
     root = tempfile.mkdtemp(prefix="state-", dir="/tmp")
-    run = S.upsert_batches(root)
-    b1 = spark.createDataFrame([("a_1", "a", "correct", 5, 1), ("a_2", "a", "refused", 1, 1)],
-                               "id string, prompt_id string, correctness string, correctness_score int, judged_at int")
-    b1 = b1.withColumn("answer_len", F.lit(3))
-    run(b1, 0)
-    b2 = spark.createDataFrame([("a_2", "a", "incorrect", 2, 2)],
-                               "id string, prompt_id string, correctness string, correctness_score int, judged_at int")
-    run(b2.withColumn("answer_len", F.lit(3)), 1)
-    from spreadlens.sources.tables import read_current
-    state = {r.id: r.correctness for r in read_current(spark, root).collect()}
-    assert state == {"a_1": "correct", "a_2": "incorrect"}
+    run = S.upsert_batches(root, buckets=1)
+    first = spark.createDataFrame([("a_1", "a", "correct", 5, 3, 1)], SCHEMA)
+    run(first, 0)
+    folder = f"{root}/data/v=000000001/bucket=0"
+    for f in os.listdir(folder):
+        if f.endswith(".parquet"):
+            with open(os.path.join(folder, f), "wb") as out:
+                out.write(b"broken")
+    with pytest.raises(Exception, match="(?i)parquet|malformed|corrupt"):
+        run(spark.createDataFrame([("a_9", "a", "correct", 5, 3, 2)], SCHEMA), 1)
+
+
+def test_versions_without_commit_are_not_read(spark):
+    root = tempfile.mkdtemp(prefix="versions-", dir="/tmp")
+    assert tables.read_current(spark, root) is None
+    tables.write_version(spark.range(3), root, 1)
+    tables.write_version(spark.range(5), root, 2)
+    os.remove(f"{root}/v=000000002/_SUCCESS")
+    assert tables.read_current(spark, root).count() == 3
+
+
+def test_jsonl_csv_and_append(spark):
+    root = tempfile.mkdtemp(prefix="files-", dir="/tmp")
+    rows = spark.createDataFrame([("q_a_1", "d", "text", "correct", True, 4), ("q_a_2", "d", None, None, None, None)],
+                                 "id string, dataset string, model_answer string, correctness string, adversarial boolean, correctness_score int")
+    tables.append_rows(rows, f"{root}/r.jsonl")
+    tables.append_rows(rows.limit(1), f"{root}/r.jsonl")
+    got = tables.load_responses(spark, f"{root}/r.jsonl", ["id", "dataset"])
+    assert sorted((r.id, r.prompt_id or "", r.answer_len, r.correctness_score) for r in got.collect()) == [
+        ("q_a_1", "q_a", 4, 4), ("q_a_1", "q_a", 4, 4), ("q_a_2", "q_a", 0, None)]
+    assert tables.load_dataframe(spark, f"{root}/r.jsonl", tables.RESPONSE_SCHEMA).count() == 3
+    tables.append_rows(rows, f"{root}/r.csv", "csv")
+    assert tables.load_dataframe(spark, f"{root}/r.csv").count() == 2
+    with pytest.raises(ValueError, match="missing|Missing"):
+        tables.load_responses(spark, f"{root}/r.jsonl", ["nothing"])
+    with pytest.raises(ValueError, match="Unsupported"):
+        tables.load_dataframe(spark, f"{root}/r.xlsx")
