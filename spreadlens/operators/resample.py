@@ -57,12 +57,13 @@ def permutation_test(df: DataFrame, keys: list[str], id_col: str, value: str, la
               .groupBy(*keys, "rep").agg((F.sum("_v") + F.max("_s_below")).alias("_s1")))
     null = with_obs(inside).select(*keys, "_m1", "_m0", (
         F.try_divide(F.col("_s1"), F.col("_n1")) - F.try_divide(F.col("_total") - F.col("_s1"), F.col("_n0"))).alias("delta"))
-    j = null.withColumn("_obs", F.col("_m1") - F.col("_m0")).where(F.col("_obs").isNotNull())
-    return j.groupBy(*keys, "_obs").agg(
+    found = null.withColumn("_obs", F.col("_m1") - F.col("_m0")).groupBy(*keys).agg(
         # replicates that reproduce the observed split tie with it up to rounding
         ((F.sum((F.col("delta") >= F.col("_obs") - TIE_EPS).cast("int")) + 1) / (n_perm + 1)).alias("p_value"),
-        F.avg("delta").alias("null_mean"), F.stddev_pop("delta").alias("null_std"),
-    ).withColumnRenamed("_obs", "delta")
+        F.avg("delta").alias("null_mean"), F.stddev_pop("delta").alias("null_std"))
+    # a group with one class stays, without a test
+    seen = obs.select(*keys, (F.col("_m1") - F.col("_m0")).alias("delta"))
+    return seen.join(found, keys, "left") if keys else seen.crossJoin(F.broadcast(found))
 
 
 def poisson_one(u: Column, top: int = 12) -> Column:

@@ -54,7 +54,8 @@ def question_table(spark, sf) -> DataFrame:
     counts = R.question_counts(resp)
     meta = R.question_metadata(resp).select("prompt_id", "dataset", F.col("domain_mode").alias("domain"),
                                             "domain_inconsistent", "adversarial")
-    geo = G.cloud_dispersion(FX.text_cloud(spark, sf), ["prompt_id"]).drop("n")
+    # rounded, so that values that are equal but for the order of summation tie in every rank
+    geo = G.cloud_dispersion(FX.text_cloud(spark, sf), ["prompt_id"]).select("prompt_id", *[F.round(c, 9).alias(c) for c in GEO])
     return meta.join(counts, "prompt_id").join(geo, "prompt_id")
 
 
@@ -280,8 +281,8 @@ def q_matched(spark, sf):
     """The same questions under two embeddings, Pearson and Spearman of D_cos."""
     resp = FX.responses(spark, sf)
     base = resp.select("dataset", "prompt_id", "id")
-    a = G.cloud_dispersion(base.join(FX.text_vectors(resp, 64), "id"), ["prompt_id"]).select("prompt_id", F.col("D_cos").alias("a"))
-    b = G.cloud_dispersion(base.join(FX.text_vectors(resp, 32), "id"), ["prompt_id"]).select("prompt_id", F.col("D_cos").alias("b"))
+    a = G.cloud_dispersion(base.join(FX.text_vectors(resp, 64), "id"), ["prompt_id"]).select("prompt_id", F.round("D_cos", 9).alias("a"))
+    b = G.cloud_dispersion(base.join(FX.text_vectors(resp, 32), "id"), ["prompt_id"]).select("prompt_id", F.round("D_cos", 9).alias("b"))
     j = a.join(b, "prompt_id")
     return rounded(spearman_pearson(j, "a", "b", "prompt_id"))
 
@@ -758,8 +759,12 @@ def _holdout(models):
 
 
 def model_rows(spark, sf) -> DataFrame:
-    """The question table as the rows of the model queries (the reference fits on questions)."""
-    return question_table(spark, sf).withColumn("row_id", F.col("prompt_id")).checkpoint()
+    """The question table as the rows of the model queries (the reference fits on questions).
+
+    The pair features of a question with one response are missing; they become the median (B22).
+    """
+    from ..operators.models import impute_median
+    return impute_median(question_table(spark, sf).withColumn("row_id", F.col("prompt_id")).checkpoint(), GEO)
 
 
 QUERIES["logistic_holdout"] = _holdout("logistic")          # M5/M12
@@ -927,11 +932,12 @@ def q_grid(spark, sf):
 @query("two_sampling_transfer")
 def q_two_sampling(spark, sf):
     """Features of the same questions from two embeddings; in-domain on held-out questions, and both directions."""
-    from ..operators.models import sampling_transfer
+    from ..operators.models import impute_median, sampling_transfer
     resp = FX.responses(spark, sf)
     counts = R.question_counts(resp).select("prompt_id", "label")
     base = resp.select("prompt_id", "id")
-    a, b = (G.cloud_dispersion(base.join(FX.text_vectors(resp, d), "id"), ["prompt_id"]).join(counts, "prompt_id").checkpoint() for d in (64, 32))
+    a, b = (impute_median(G.cloud_dispersion(base.join(FX.text_vectors(resp, d), "id"), ["prompt_id"]).join(counts, "prompt_id").checkpoint(), GEO)
+            for d in (64, 32))
     return rounded(sampling_transfer(a, b, GEO, "label", "logistic", "prompt_id", ("64", "32")))
 
 
@@ -1111,7 +1117,8 @@ def q_feature_means(spark, sf):
 def q_benchmarks(spark, sf):
     """Raw rows of eight benchmark formats in the common question form, a seeded subset of each."""
     from ..sources import benchmarks as B
-    return B.seeded_subset(B.all_questions(FX.raw_benchmarks(spark, sf)), "dataset", "question", 20, 42)
+    q = B.seeded_subset(B.all_questions(FX.raw_benchmarks(spark, sf)), "dataset", "question", 20, 42)
+    return q.withColumn("choices", F.array_join("choices", "|"))
 
 
 @query("mean_roc_folds")

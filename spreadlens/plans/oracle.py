@@ -214,7 +214,8 @@ qmeta AS (SELECT m.*, d.domain_mode, m.n_unique_domains > 1 AS domain_inconsiste
 QTABLE = [RESPONSES, META, COUNTS] + text_vec() + geometry("tg_", "text_vec") + [
     """qtable AS (
   SELECT m.prompt_id, m.dataset, m.domain_mode AS domain, m.domain_inconsistent, m.adversarial,
-         c.* EXCLUDE (prompt_id), g.D_cos, g.D_cos_var, g.D_pair, g.sig2_S
+         c.* EXCLUDE (prompt_id), round(g.D_cos, 9) AS D_cos, round(g.D_cos_var, 9) AS D_cos_var, round(g.D_pair, 9) AS D_pair,
+         round(g.sig2_S, 9) AS sig2_S
   FROM qmeta m JOIN qcounts c ON m.prompt_id = c.prompt_id JOIN tg_geo g ON g.prompt_id = m.prompt_id)"""]
 
 
@@ -445,7 +446,7 @@ def build() -> dict[str, str]:
 
     O["matched_pairs_corr"] = rnd(with_(
         [RESPONSES] + text_vec("tva", 64) + text_vec("tvb", 32) + geometry("ga_", "tva") + geometry("gb_", "tvb") + [
-            """mp AS (SELECT a.prompt_id, a.D_cos AS a, b.D_cos AS b FROM ga_geo a JOIN gb_geo b ON a.prompt_id = b.prompt_id)""",
+            """mp AS (SELECT a.prompt_id, round(a.D_cos, 9) AS a, round(b.D_cos, 9) AS b FROM ga_geo a JOIN gb_geo b ON a.prompt_id = b.prompt_id)""",
             """mpr AS (SELECT *, (rank() OVER (ORDER BY a) + rank() OVER (ORDER BY a) + count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra,
                              (rank() OVER (ORDER BY b) + rank() OVER (ORDER BY b) + count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM mp)"""],
         "SELECT corr(a, b) AS pearson, corr(ra, rb) AS spearman, count(*) AS n FROM mpr"), ["pearson", "spearman"])
@@ -859,7 +860,7 @@ def build() -> dict[str, str]:
         UNION ALL SELECT {q}, [p_brand, p_type, p_name, 'none'], ['A', 'B', 'C', 'D'][p_size % 4 + 1], 'mmlu', p_type, '' FROM part
         UNION ALL SELECT {q}, {none}, CAST(p_size AS VARCHAR), 'math', p_type, '' FROM part
         UNION ALL SELECT 'Context: ' || p_type || chr(10) || chr(10) || 'Question: ' || {q}, {none}, p_brand, 'halueval', '', '' FROM part)
-      SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {md5i("42", "question")}, question) AS rk FROM a) WHERE rk <= 20"""
+      SELECT * EXCLUDE (rk) REPLACE (array_to_string(choices, '|') AS choices) FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {md5i("42", "question")}, question) AS rk FROM a) WHERE rk <= 20"""
     O["label_policies"] = rnd(with_([RESPONSES, COUNTS], """
       SELECT r.prompt_id, r.non_correct_rate, r.label_k_of_n, c.label AS label_merged FROM
         (SELECT prompt_id, avg(CAST(lower(correctness) <> 'correct' AS DOUBLE)) AS non_correct_rate,
