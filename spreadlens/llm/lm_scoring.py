@@ -148,6 +148,47 @@ def log_probability(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndar
     return out
 
 
+class Scorer:
+    """``log_probability`` for many words: embeddings weighted by position beforehand, and no array of all log probabilities."""
+
+    #: Words scored together; their class scores fit into a core's cache.
+    CHUNK = 1 << 13
+
+    def __init__(self, p: dict):
+        self.p = p
+        self.tables = [p["emb"] * p["pos"][k] for k in range(2 * SIDE)]
+        # hidden values lie in [-1, 1], so this bounds every score; under it exp can't overflow without a shift
+        reach = max(np.abs(p["cls"]).sum(0).max() + np.abs(p["cb"]).max(), (np.abs(p["sym"]).sum(1) + np.abs(p["sb"])).max())
+        self.shift = reach > 80
+
+    def chosen(self, scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Log softmax of one column a row; overwrites ``scores``."""
+        if self.shift:
+            scores -= scores.max(1, keepdims=True)
+        own = scores[np.arange(len(which)), which]
+        return own - np.log(np.exp(scores, out=scores).sum(1))
+
+    def __call__(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        p = self.p
+        out = np.empty(len(target))
+        for a in range(0, len(target), self.CHUNK):
+            c, t = context[a:a + self.CHUNK], target[a:a + self.CHUNK]
+            h = self.tables[0][c[:, 0]]
+            for k in range(1, 2 * SIDE):
+                h += self.tables[k][c[:, k]]
+            h += p["b"]
+            np.tanh(h, out=h)
+            scores = h @ p["cls"]
+            scores += p["cb"]
+            lp = self.chosen(scores, t // WITHIN)
+            for cls, at in by_class(t):
+                scores = h[at] @ p["sym"][cls]
+                scores += p["sb"][cls]
+                lp[at] += self.chosen(scores, t[at] % WITHIN)
+            out[a:a + self.CHUNK] = lp
+        return out
+
+
 def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> dict:
     """Gradients of the mean negative log probability; ``emb`` as (rows, values)."""
     n = len(target)
@@ -275,22 +316,24 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY):
     return sc.broadcast((v, p))
 
 
-def score_batch(col: pa.Array, v: Vocabulary, p: dict) -> tuple[np.ndarray, np.ndarray]:
+def score_batch(col: pa.Array, v: Vocabulary, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and sum of log probabilities of each text."""
     count, total = np.zeros(len(col), np.int64), np.zeros(len(col))
     for i, j, h, doc in word_hashes(col):
         s = v.symbols(h)
         for a in range(0, len(s), 1 << 16):
             at = np.arange(a, min(len(s), a + (1 << 16)))
-            lp = log_probability(p, contexts(s, doc, at), s[at])
+            lp = scorer(contexts(s, doc, at), s[at])
             total[i:j] += np.bincount(doc[at], lp, j - i)
             count[i:j] += np.bincount(doc[at], minlength=j - i)
     return count, total
 
 
 def _score(batches, model):
+    vocabulary, weights = model.value
+    scorer = Scorer(weights)
     for b in batches:
-        n, total = score_batch(b.column(1), *model.value)
+        n, total = score_batch(b.column(1), vocabulary, scorer)
         mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
         yield common.batch(RESULT, b.column(0), pa.array(n), pa.array(total), mean)
 

@@ -107,7 +107,10 @@ def test_scores_equal_a_word_by_word_sum_and_training_helps(spark):
     v, p = lm_scoring.fit(odd, rounds=2, every=4).value
     rows = {r["doc_id"]: r["text"] for r in docs.limit(20).collect()}
     import pyarrow as pa
-    n, total = lm_scoring.score_batch(pa.array(list(rows.values()), pa.string()), v, p)
+    scorer = lm_scoring.Scorer(p)
+    n, total = lm_scoring.score_batch(pa.array(list(rows.values()), pa.string()), v, scorer)
+    scorer.shift = not scorer.shift
+    assert np.allclose(lm_scoring.score_batch(pa.array(list(rows.values()), pa.string()), v, scorer)[1], total, rtol=1e-5)
     for text, k, s in zip(rows.values(), n.tolist(), total.tolist(), strict=True):
         (_, _, h, doc), = lm_scoring.word_hashes(pa.array([text]))
         sym = v.symbols(h)
