@@ -2,6 +2,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -19,7 +20,7 @@ def _norm(df):
     for rec in df[cols].itertuples(index=False):
         row = []
         for v in rec:
-            if v is None or (isinstance(v, float) and math.isnan(v)):
+            if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
                 row.append("~")
             elif isinstance(v, float):
                 row.append(str(int(v)) if v.is_integer() else f"{v:.5f}")
