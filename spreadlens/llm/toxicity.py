@@ -13,7 +13,7 @@ Only a text's label is known, so training starts from random windows and goes
 on with the highest windows under the current weights.  A fifth of the sample
 is kept out of it to fit the calibration.
 
-Defined results: a text without words, null included, scores 0; null ids
+Defined results: a text without words, null included, scores 0; null ids (held_out null)
 never are training rows; an id with several labels counts as toxic if any row
 says so; a sample without both classes gives the constant share of toxic rows;
 repeated rows get equal scores; longer texts have more windows, none cut off.
@@ -111,7 +111,7 @@ def words_of(texts: list[str]) -> Words:
         before = np.cumsum([0] + [len(g) for g, _ in lists])
         grams.append((np.concatenate([g for g, _ in lists]), np.concatenate([*[f[:-1] + b for (_, f), b in zip(lists, before)], before[-1:]])))
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return Words(first, at, (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), grams)
+    return Words(first, at.astype(np.int32), (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), grams)
 
 
 def windows_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +120,12 @@ def windows_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
     count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
     text = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    place = w.first[text][:, None] + k[:, None] * STRIDE + np.arange(WINDOW)
+    place = (w.first[text] + k * STRIDE).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
     inside = place < w.first[text + 1][:, None]
-    return np.where(inside, w.at[np.where(inside, place, 0)] if len(w.at) else -1, -1), text
+    place[~inside] = 0
+    index = w.at[place] if len(w.at) else np.full(place.shape, -1, np.int32)
+    index[~inside] = -1
+    return index, text
 
 
 # ------------------------------------------------------------------ network
@@ -276,6 +279,18 @@ def logits(p: dict, w: Words, index: np.ndarray, size: int = 2048) -> np.ndarray
     return np.concatenate([forward(p, gates, index[i:i + size]) for i in range(0, len(index), size)])
 
 
+def logits_by_slice(p: dict, w: Words, index: np.ndarray, size: int = 4096) -> np.ndarray:
+    """``logits`` that holds the gate inputs of one slice's words at a time, for texts with many distinct words."""
+    out = np.empty(len(index), np.float32)
+    for i in range(0, len(index), size):
+        which, at = np.unique(index[i:i + size], return_inverse=True)
+        pad = int(which[0] == -1)
+        gates = np.zeros((2, len(which) - pad + 1, 3 * HIDDEN), np.float32)
+        gates[:, :-1] = word_vectors(p, w, which[pad:])[0] @ p["x"] + p["xb"]
+        out[i:i + size] = forward(p, gates, at.reshape(-1, index.shape[1]) - pad)
+    return out
+
+
 def highest(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """The highest window logit of each of ``n`` texts; -inf without windows (windows are in the order of texts)."""
     out = np.full(n, -np.inf)
@@ -321,7 +336,7 @@ def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None
     opt = Optimiser(p)
     for rnd in range(ROUNDS):
         if rnd:
-            score = logits(p, w, index)
+            score = logits_by_slice(p, w, index)
             order = np.lexsort((-score, text))
         picks, label = [], []
         for d in learn.tolist():
@@ -343,7 +358,7 @@ def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None
             for i in range(0, len(turn), BATCH):
                 k = turn[i:i + BATCH]
                 opt.apply(step(p, w, index[pick[k]], lab[k], weight[k], rng)[1])
-    top = highest(logits(p, w, index), text, len(texts))
+    top = highest(logits_by_slice(p, w, index), text, len(texts))
     fit = kept_out & np.isfinite(top)
     if len(set(y[fit].tolist())) < 2:
         fit = np.isfinite(top)
