@@ -38,8 +38,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens, and digests of the ids and of the decoded text (``bpe.encode`` gives the ids themselves)."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """doc_id, number of tokens, digests of the ids and of the decoded text, and the ids (little-endian uint32)."""
+    return bpe.tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

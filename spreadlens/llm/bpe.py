@@ -26,8 +26,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
@@ -43,7 +44,13 @@ CACHE_WORDS = 200_000
 CHUNK_SYMBOLS = 1 << 18
 NO_RANK = np.int32(2**31 - 1)
 
+#: Bytes of a Parquet row group, which its writer holds in memory, in tables with token ids.
+ROW_GROUP_BYTES = 16 << 20
+
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+#: Token ids are little-endian unsigned integers of 32 bits, one after the other.
+TOKENS = f"{DIGESTS}, ids binary"
+IDS = "doc_id bigint, ids binary"
 
 
 def byte_characters() -> list[str]:
@@ -211,41 +218,46 @@ class Encoder:
         return v.token_bytes[ranges(v.token_at[ids], v.token_len[ids])].tobytes().decode("utf-8", "replace")
 
 
-def _encoded(col: pa.Array, encoder: Encoder) -> Iterator[np.ndarray]:
-    texts = common.to_strings(col)
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-    for i, j in common.pieces(ends):
-        yield from encoder.encode(texts[i:j])
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """doc_id and token ids of ``common.PIECE_BYTES`` of texts at a time, so that no more ids are held at once."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        for i, j in common.pieces(np.concatenate([[0], np.cumsum(size, dtype=np.int64)])):
+            yield b.column(0).slice(i, j - i), encoder.encode(common.to_strings(b.column(1).slice(i, j - i)))
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+def _packed(ids: np.ndarray) -> bytes:
+    """Token ids as little-endian unsigned integers of 32 bits."""
+    return ids.astype("<u4").tobytes()
 
 
-def _digest(batches, vocabulary):
+def _digest(batches, vocabulary, with_ids):
     encoder = Encoder(vocabulary.value)
-    for b in batches:
-        n, ids_sha, text_sha = [], [], []
-        for ids in _encoded(b.column(1), encoder):
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            text_sha.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-        yield common.batch(DIGESTS, b.column(0), n, ids_sha, text_sha)
+    for doc_id, parts in _encoded(batches, encoder):
+        raw = [_packed(ids) for ids in parts]
+        columns = [doc_id, [len(ids) for ids in parts], [hashlib.sha256(r).hexdigest() for r in raw],
+                   [hashlib.sha256(encoder.decode(ids).encode()).hexdigest() for ids in parts]]
+        yield common.batch(TOKENS, *columns, raw) if with_ids else common.batch(DIGESTS, *columns)
 
 
 def _ids(batches, vocabulary):
     encoder = Encoder(vocabulary.value)
-    for b in batches:
-        parts = [ids.astype(np.int32) for ids in _encoded(b.column(1), encoder)]
-        yield common.batch("doc_id bigint, ids array<int>", b.column(0), _lists(parts))
+    for doc_id, parts in _encoded(batches, encoder):
+        yield common.batch(IDS, doc_id, [_packed(ids) for ids in parts])
 
 
 def _texts(batches, vocabulary):
     encoder = Encoder(vocabulary.value)
     for b in batches:
-        yield common.batch("doc_id bigint, text string", b.column(0),
-                           [encoder.decode(np.array(x or [], np.int64)) for x in b.column(1).to_pylist()])
+        raw, offsets = common.text_buffer(b.column(1))
+        for i, j in common.pieces(offsets):
+            yield common.batch("doc_id bigint, text string", b.column(0).slice(i, j - i),
+                               [encoder.decode(raw[offsets[k]:offsets[k + 1]].view("<u4")) for k in range(i, j)])
+
+
+def small_row_groups(spark: SparkSession) -> None:
+    """Limit Parquet row groups for this session's writes."""
+    spark.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
 
 
 def _broadcast(df: DataFrame, path: str):
@@ -255,15 +267,22 @@ def _broadcast(df: DataFrame, path: str):
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode each whole text; number of tokens and digests of both results (``DIGESTS``)."""
-    return common.documents(docs).mapInArrow(partial(_digest, vocabulary=_broadcast(docs, path)), DIGESTS)
+    return common.documents(docs).mapInArrow(partial(_digest, vocabulary=_broadcast(docs, path), with_ids=False), DIGESTS)
+
+
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """``digests`` and the token ids themselves (``TOKENS``); Parquet files that the session writes get row groups of ``ROW_GROUP_BYTES``."""
+    small_row_groups(docs.sparkSession)
+    return common.documents(docs).mapInArrow(partial(_digest, vocabulary=_broadcast(docs, path), with_ids=True), TOKENS)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the token ids of each whole text."""
-    return common.documents(docs).mapInArrow(partial(_ids, vocabulary=_broadcast(docs, path)), "doc_id bigint, ids array<int>")
+    """doc_id and the token ids of each whole text (``IDS``); Parquet files that the session writes get row groups of ``ROW_GROUP_BYTES``."""
+    small_row_groups(docs.sparkSession)
+    return common.documents(docs).mapInArrow(partial(_ids, vocabulary=_broadcast(docs, path)), IDS)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id and the text of each row of token ids (null: empty)."""
-    rows = common.take(tokens, doc_id="bigint", ids="array<int>")
+    """doc_id and the text of each row of token ids as ``encode`` gives them (null: empty)."""
+    rows = common.take(tokens, doc_id="bigint", ids="binary")
     return rows.mapInArrow(partial(_texts, vocabulary=_broadcast(tokens, path)), "doc_id bigint, text string")

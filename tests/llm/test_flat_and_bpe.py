@@ -74,6 +74,25 @@ def test_digests_on_spark(spark, tools):
     assert bpe.digests(df.limit(0), PATH).count() == 0
 
 
+def test_token_ids_come_back_in_small_batches(spark, tools, monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    lib, own = tools
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in dict(corpus_pipeline.STAGES)["bpe_tokens"](spark, df, "").collect():
+        want = lib.encode(dict(rows)[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n_tokens"] == len(want)
+        assert hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3, 4]), pa.array(["ab " * 20, None, "c " * 200, ""])], ["doc_id", "text"])
+    monkeypatch.setattr(bpe.common.pieces, "__defaults__", (64,))
+    got = list(bpe._encoded(iter([batch]), own))
+    assert [d.to_pylist() for d, _ in got] == [[1, None], [3], [4]]
+    assert [own.decode(x) for _, p in got for x in p] == ["ab " * 20, "", "c " * 200, ""]
+
+
 def test_spans_end_with_texts():
     texts = [b"ab c", b"", b"d  ef", b"gh"]
     buf = np.frombuffer(b"".join(texts), np.uint8)
