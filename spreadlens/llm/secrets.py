@@ -4,7 +4,7 @@ Two first-order character models, one of random strings and one of ordinary
 identifiers, are trained from labelled samples: generated random strings and
 rulers, identifiers joined from common words, and the letter-only words of at
 most ``SAMPLE_ROWS`` documents (``SAMPLE_BYTES`` of whole texts).  A run of
-``MIN_CHARS`` or more key characters outside the base spans is a secret if its
+``MIN_CHARS`` or more key characters outside the base spans, which are cut out of longer runs, is a secret if its
 mean log-likelihood ratio reaches ``MARGIN``.
 
 Defined results: null text counts as empty and has no spans; spans are code
@@ -119,18 +119,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((s, k, e) for s, e, k in found)
 
 
+def outside(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the pieces of key runs outside the sorted base spans, of ``MIN_CHARS`` or more characters."""
+    k = reach = 0
+    for m in KEY_RUN.finditer(text):
+        at, stop = m.span()
+        at = max(at, reach)
+        while k < len(base) and base[k][0] < stop:
+            if base[k][0] - at >= MIN_CHARS:
+                yield at, base[k][0]
+            reach = max(reach, base[k][2])
+            at = max(at, reach)
+            k += 1
+        if stop - at >= MIN_CHARS:
+            yield at, stop
+
+
 def all_spans(texts: list[str], table: np.ndarray, margin: float = MARGIN) -> Iterator[tuple[list, list]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
-    runs: list[tuple[int, int, int]] = []
-    strings: list[str] = []
-    for i, t in enumerate(texts):
-        taken = base[i]
-        for m in KEY_RUN.finditer(t):
-            s, e = m.span()
-            if not any(a < e and s < b for a, _, b in taken):
-                runs.append((i, s, e))
-                strings.append(m[0])
+    runs = [(i, s, e) for i, t in enumerate(texts) for s, e in outside(t, base[i])]
+    strings = [texts[i][s:e] for i, s, e in runs]
     more: dict[int, list] = {}
     for (i, s, e), r in zip(runs, ratio(table, strings), strict=True):
         if r >= margin:
