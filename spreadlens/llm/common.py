@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Bytes of text that a kernel looks at together (a longer text forms a piece of its own).
 PIECE_BYTES = 1 << 20
+#: A text over this part of a sample's bytes is taken only if others leave room.
+BOUND_SHARE = 16
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -107,20 +109,24 @@ def to_strings(col: pa.Array) -> list[str]:
 
 
 def text_sample(docs: DataFrame, rows: int, size: int) -> list[str]:
-    """At most ``rows`` whole texts of together at most ``size`` bytes, in the order of a hash of the id."""
+    """At most ``rows`` whole texts of together at most ``size`` bytes, in the order of a hash of the id (``bounded_ids``)."""
     chosen = bounded_ids(documents(docs).select("doc_id", (F.octet_length("text") + 64).alias("size")).filter("doc_id is not null and size is not null")
                          .groupBy("doc_id").agg(F.max("size").alias("size")), rows, size)
     return [t for _, t in texts_of(docs, chosen)]
 
 
 def bounded_ids(sized: DataFrame, rows: int, size: int) -> list[int]:
-    """The first ``rows`` ids of ``sized`` (doc_id, size) in the order of a hash whose sizes sum to at most ``size``."""
+    """At most ``rows`` ids of ``sized`` (doc_id, size) in the order of a hash, whose sizes sum to at most ``size``.
+
+    A row that doesn't fit into what is left is passed over.  Rows over a ``BOUND_SHARE``-th of ``size`` come after all
+    others, so that no long text takes the room of many; those over ``size`` can't be taken.
+    """
     out, total = [], 0
-    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():  # at most ``rows`` rows
-        total += r["size"]
-        if total > size:
-            break
-        out.append(r["doc_id"])
+    long = F.col("size") > size // BOUND_SHARE
+    for r in sized.filter(F.col("size") <= size).orderBy(long, F.xxhash64("doc_id"), "doc_id").limit(rows).collect():  # at most ``rows`` rows
+        if total + r["size"] <= size:
+            total += r["size"]
+            out.append(r["doc_id"])
     return out
 
 

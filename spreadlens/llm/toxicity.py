@@ -7,15 +7,17 @@ window.  All overlapping windows of a whole text are scored; the text's score
 is the calibrated score of its highest window.
 
 Training: at most ``SAMPLE_ROWS`` labelled rows a class and ``SAMPLE_BYTES``
-of text (whole texts, in the order of a hash of the id) are taken to the
-driver; this bound on the labelled sample is all that doesn't cover all data.
+of text (whole texts, in the order of a hash of the id; half the bytes a
+class, texts over a sixteenth of that last, texts over it never) are taken to
+the driver; this bound on the labelled sample is all that doesn't cover all data.
 Only a text's label is known, so training starts from random windows and goes
 on with the highest windows under the current weights.  A fifth of the sample
 is kept out of it to fit the calibration.
 
 Defined results: a text without words, null included, scores 0; null ids (held_out null)
 never are training rows; an id with several labels counts as toxic if any row
-says so; a sample without both classes gives the constant share of toxic rows;
+says so; a sample without both classes gives the constant share of toxic rows
+among all labelled ones;
 repeated rows get equal scores; longer texts have more windows, none cut off.
 """
 
@@ -326,6 +328,7 @@ def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None
     y = labels.astype(np.float32)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
+        share = share if toxic_share is None else toxic_share
         return p | {"scale": np.array([0.0, np.log((share + 1e-6) / (1 - share + 1e-6))])}
     w = words_of(texts)
     index, text = windows_of(w)

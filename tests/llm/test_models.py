@@ -69,6 +69,24 @@ def test_one_class_and_no_labels(spark):
     assert toxicity.remove_toxic(docs, clean).columns == docs.columns
 
 
+def test_a_text_over_the_bound_is_passed_over(spark):
+    from pyspark.sql import functions as F
+
+    from spreadlens.llm import common
+
+    some = spark.range(400).filter(~toxicity.held_out("id")).withColumn("toxic", (F.col("id") % 2).cast("int")).orderBy(F.xxhash64("id"))
+    rows = [(r["id"], r["toxic"]) for r in some.collect()]
+    first = {next(i for i, t in rows if t == k) for k in (0, 1)}  # the first of each class in the order of the hash
+    for n in (20_000, 9_000):  # over the bound of a class, and nearly all of it
+        docs = spark.createDataFrame([(i, "word " * (n // 5) if i in first else f"word{i}") for i, _ in rows], "doc_id bigint, text string")
+        labels = spark.createDataFrame(rows, "doc_id bigint, toxic int")
+        texts, marks, share = toxicity.training_sample(docs, labels, size=20_000)
+        assert 0 < share < 1 and (marks == 0).sum() > 50 and (marks == 1).sum() > 50 and max(map(len, texts)) < 1_000
+        assert sum(len(t) + 64 for t in texts) <= 20_000
+        assert len(common.text_sample(docs, 300, 10_000)) > 50
+    assert toxicity.train(["a"], np.array([1]), toxic_share=0.1)["scale"][1] < 0
+
+
 # ---------------------------------------------------------------- language model
 
 
