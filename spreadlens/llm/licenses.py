@@ -6,7 +6,8 @@ sequence of identifiers, are matched against the runs of identifiers of
 neighbouring sentences, the first rule that fits at a place taking it.
 
 Defined results: null and empty texts have no sentences; a sentence repeated
-is found again each time; text between two known sentences breaks a sequence;
+is found again each time; text between two known sentences breaks a sequence,
+a list marker ("1.", "a)") is no sentence and breaks none;
 null ids stay; repeated rows give equal rows; whole texts are read.
 """
 
@@ -88,6 +89,8 @@ RESULT = "doc_id bigint, n_sentences bigint, n_known bigint, n_found bigint, lic
 
 #: A sentence ends at a line's end, or at a full stop, question or exclamation mark before white space.
 SENTENCE = re.compile(r"\S(?:[^\n.!?]|[.!?](?!\s))*[.!?]*")
+#: A list marker before a sentence, digits or a letter: "1. ", "2) ", "(a) "; also behind a comment's signs.
+MARKER = re.compile(r"[\W_]*(?:[0-9]+|[A-Za-z])[.)](?:\s+|$)")
 TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -99,36 +102,28 @@ class Rules:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: list = RULES):
         self.known = {normalise(s): name for name, all_of in sentences.items() for s in all_of.split("|")}
         self.rules = [(name, tuple(seq)) for name, seq in rules]
-        self.begins = {k[:12] for k in self.known}
         # the first words of every known sentence, by how many there are: a sentence over several lines is put together
         self.prefixes = {" ".join(k.split(" ")[:n]) for k in self.known for n in range(1, k.count(" ") + 1)}
 
     def sentences(self, text: str) -> Iterator[tuple[int, int, str | None]]:
-        """(start, end, identifier) of each sentence; lines that only together are known form one sentence."""
-        open_at, open_words = 0, ""
+        """(start, end, identifier) of each sentence; lines that only together are known form one sentence, the longest."""
+        parts: list[tuple[int, int, str, str]] = []  # start, end, words, words behind a list marker
         for m in SENTENCE.finditer(text):
-            words = normalise(m[0])
-            if not words:
-                continue
-            if open_words:
-                both = f"{open_words} {words}"
-                if both in self.known:
-                    yield open_at, m.end(), self.known[both]
-                    open_words = ""
-                    continue
-                if both in self.prefixes:
-                    open_words = both
-                    continue
-                yield open_at, m.start(), None
-                open_words = ""
-            if words in self.known:
-                yield m.start(), m.end(), self.known[words]
-            elif " " in words and words[:12] in self.begins and words in self.prefixes:
-                open_at, open_words = m.start(), words
-            else:
-                yield m.start(), m.end(), None
-        if open_words:
-            yield open_at, len(text), None
+            if words := normalise(m[0]):
+                mark = MARKER.match(m[0])
+                parts.append((m.start() + (mark.end() if mark else 0), m.end(), words, normalise(m[0][mark.end():]) if mark else words))
+        i = 0
+        while i < len(parts):
+            start, end, _, words = parts[i]
+            name, last, j = self.known.get(words), i, i + 1
+            while words in self.prefixes and j < len(parts):
+                words = f"{words} {parts[j][2]}"
+                if words in self.known:
+                    name, last, end = self.known[words], j, parts[j][1]
+                j += 1
+            if parts[i][3]:
+                yield start, end, name
+            i = last + 1
 
     def match(self, ids: list[str | None]) -> Iterator[tuple[str, int, int]]:
         """(licence, first, last + 1) of the rules found in a sequence of identifiers."""

@@ -146,6 +146,75 @@ def test_licence_rules(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+BSD = """Copyright (c) 2020, X
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{}Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+{}Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program. If not, see <https://www.gnu.org/licenses/>."""
+APACHE = """Licensed under the Apache License, Version 2.0{}(the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See
+the License for the specific language governing permissions and
+limitations under the License."""
+ISC = """Permission
+to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_licence_texts_as_they_are_set():
+    rules = licenses.Rules()
+
+    def whole(text, first, last):
+        return [(text.index(first), text.index(last) + len(last))]
+
+    for marks in (("1. ", "2. ", "3. "), ("1) ", "2) ", "3) "), ("(a) ", "(b) ", "(c) "), ("a. ", "b. ", "c. "), ("* ", "* ", "* "), (" * 1. ", " * 2. ", " * 3. ")):
+        two, three = BSD.format(*marks[:2]), (BSD + ENDORSE).format(*marks)
+        assert rules.scan(two)[2] == [(*whole(two, "Redistribution and", "with the distribution.")[0], "BSD-2-Clause")]
+        assert rules.scan(three)[2] == [(*whole(three, "Redistribution and", "written permission.")[0], "BSD-3-Clause")]
+    for lead in ("", "# ", "// ", " * "):
+        texts = {"GPL-3.0-or-later": (GPL, 4, "along with this program."), "ISC": (ISC, 1, "all copies.")}
+        for gap in (" ", "\n"):
+            for name, (text, known, last) in (texts | {"Apache-2.0": (APACHE.format(gap), 4, "under the License.")}).items():
+                text = "\n".join(lead + line for line in text.split("\n"))
+                assert rules.scan(text)[1] == known
+                (start, end, found), = rules.scan(text)[2]
+                assert found == name and start <= len(lead) and text[start:end].endswith(last) and last not in text[end:]
+    assert rules.scan("Licensed under the GNU General Public License, version\n3.")[0] == 1
+    assert [x[2] for x in rules.sentences("This work is licensed under the GNU General Public License, version\n3.")] == ["gpl3_ref"]
+    assert [x[2] for x in rules.sentences("Licensed\nunder the\nReleased under the MIT License.\n1.\nThe")] == [None, None, "mit_ref", None]
+
+
 def test_licence_rules_equal_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = {"CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
