@@ -7,10 +7,10 @@ a tanh layer, and a softmax in two steps (class of 64 symbols, then symbol), so
 its probabilities sum to one.  A document's score is the sum of the log
 probabilities of all its words, each masked in turn.
 
-Training uses every ``EVERY``-th word of every document as a target (a rate,
-so it grows with the corpus).  In each of ``ROUNDS`` rounds all partitions train
-from the same weights on their own targets in numpy, and the results are
-averaged, weighted by their targets; weights are about 1 MB.
+Training takes every word of every document as a target once: each of ``ROUNDS``
+rounds has every ``EVERY``-th word, and each round other ones.  In a round all
+partitions train from the same weights on their own targets in numpy, and the
+results are averaged, weighted by their targets; weights are about 1 MB.
 
 Defined results: a text without words, null included, has no tokens, sum 0 and
 a null mean; an empty table gives no rows; null ids stay; repeated rows count in
@@ -35,8 +35,9 @@ KNOWN = (CLASSES - 1) * WITHIN
 SYMBOLS = CLASSES * WITHIN
 #: Words on each side, embedding size.
 SIDE, DIM = 2, 32
-EVERY = 32
 ROUNDS, STEP, RATE = 4, 512, 0.1
+#: A round's targets are every so-many-th word; with as many rounds every word is a target once.
+EVERY = ROUNDS
 PIECE = 1 << 19
 #: Words whose counts a task sums before it hands them on.
 COUNTED = 1 << 21
@@ -44,7 +45,7 @@ BLOCKS = 8
 
 RESULT = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double"
 COUNTS = "word bigint, n bigint"
-EXAMPLES = "n bigint, symbols binary"
+EXAMPLES = "phase int, n bigint, symbols binary"
 WEIGHTS = "block int, n double, vals binary"
 
 WORD = np.zeros(256, bool)
@@ -240,7 +241,7 @@ def contexts(symbols: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray
 
 # ------------------------------------------------------------------ on Spark
 
-def _examples(batches, vocabulary, every):
+def _examples(batches, vocabulary, every, phases):
     v = vocabulary.value
     for b in batches:
         for _, _, h, doc in word_hashes(b.column(1)):
@@ -248,10 +249,12 @@ def _examples(batches, vocabulary, every):
                 continue
             s = v.symbols(h)
             place = np.arange(len(s)) - np.searchsorted(doc, doc)
-            at = np.flatnonzero((place + h[np.searchsorted(doc, doc)].astype(np.int64)) % every == 0)
-            rows = np.concatenate([s[at][:, None], contexts(s, doc, at)], 1).astype("<u2")
-            if len(at):
-                yield common.batch(EXAMPLES, [len(at)], [rows.tobytes()])
+            turn = (place + h[np.searchsorted(doc, doc)].astype(np.int64)) % every
+            for phase in range(phases):
+                at = np.flatnonzero(turn == phase)
+                if len(at):
+                    rows = np.concatenate([s[at][:, None], contexts(s, doc, at)], 1).astype("<u2")
+                    yield common.batch(EXAMPLES, [phase], [len(at)], [rows.tobytes()])
 
 
 def pack(p: dict) -> np.ndarray:
@@ -270,7 +273,7 @@ def _local_training(batches, start, rate, seed):
     """Train on chunks as they come, then hand on the weights, multiplied by the number of targets, in blocks."""
     p, square, seen = None, None, 0
     for b in batches:
-        for raw in b.column(1).to_pylist():
+        for raw in b.column(2).to_pylist():
             if p is None:
                 p = {k: v.copy() for k, v in start.value.items()}
                 square = {k: np.full_like(v, 1e-6) for k, v in p.items()}
@@ -303,15 +306,15 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY):
     sc = docs.sparkSession.sparkContext
     v = vocabulary(docs)
     words = sc.broadcast(v)
-    examples = common.checkpointed(common.documents(docs).mapInArrow(partial(_examples, vocabulary=words, every=every), EXAMPLES))
+    examples = common.checkpointed(common.documents(docs).mapInArrow(partial(_examples, vocabulary=words, every=every, phases=min(every, rounds)), EXAMPLES))
     p = init(v)
     for r in range(rounds):
-        trained = examples.mapInArrow(partial(_local_training, start=sc.broadcast(p), rate=RATE / (1 + r), seed=r), WEIGHTS)
+        trained = examples.filter(F.col("phase") == r % every).mapInArrow(partial(_local_training, start=sc.broadcast(p), rate=RATE / (1 + r), seed=r), WEIGHTS)
         # in two steps, so that no task reads the weights of all partitions
         some = trained.repartition(BLOCKS * 8, "block", F.pmod(F.xxhash64("vals"), F.lit(8))).mapInArrow(_sums, WEIGHTS)
         sums = sorted((x["block"], x["n"], bytes(x["vals"])) for x in some.repartition(BLOCKS, "block").mapInArrow(_sums, WEIGHTS).collect())
         if not sums:
-            break
+            continue
         p = unpack(np.concatenate([np.frombuffer(raw, np.float32) / n for _, n, raw in sums]), p)
     return sc.broadcast((v, p))
 

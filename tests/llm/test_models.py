@@ -142,6 +142,24 @@ def test_scores_equal_a_word_by_word_sum_and_training_helps(spark):
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
 
+def test_every_word_is_a_target_once_at_the_registered_settings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    v = lm_scoring.vocabulary(docs)
+
+    class Held:
+        value = v
+
+    import pyarrow as pa
+    texts = pa.array([r["text"] for r in docs.limit(30).collect()], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    got = list(lm_scoring._examples(iter([batch]), Held, lm_scoring.EVERY, min(lm_scoring.EVERY, lm_scoring.ROUNDS)))
+    targets = np.concatenate([np.frombuffer(x, "<u2").reshape(-1, 1 + 2 * lm_scoring.SIDE)[:, 0] for b in got for x in b.column(2).to_pylist()])
+    words = np.concatenate([v.symbols(h) for _, _, h, _ in lm_scoring.word_hashes(texts)])
+    assert sorted(targets.tolist()) == sorted(words.tolist())
+    base, learnt = (lm_scoring.score(docs, **k).toPandas() for k in ({"rounds": 0}, {}))
+    assert learnt.log_likelihood.sum() / learnt.n_tokens.sum() > base.log_likelihood.sum() / base.n_tokens.sum() + 0.1
+
+
 def test_counts_cover_all_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     v = lm_scoring.vocabulary(docs)
