@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .chat import END, NEXT, SAYS, TURN
+from .collocations import COVERED, LEAST, LONGEST, SCORE, TOP
 from .decontaminate import NGRAM
 from .embed_dedup import THRESHOLD
 from .sharding import BUCKETS, SHARDS
+from .url_filter import GLOBS, RULES, by_strength
 
 #: Words, windows and hits by position; items shorter than the window are one window.
 DECONTAMINATION = f"""
@@ -72,9 +74,51 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM b GROUP BY conv_id
 """
 
+STRONGEST = [RULES[i] for i in reversed(by_strength(RULES))]
+
+
+def glob_sql(glob: str) -> str:
+    """A glob over host, path and query in SQL; the globs in use have no character that LIKE reads otherwise."""
+    parts = zip(("'.' || host", "path", "query"), glob.split("\x00"), strict=True)
+    return " AND ".join(f"({c}) LIKE '{p.replace('*', '%')}'" for c, p in parts if p != "*") or "true"
+
+
+#: Every phrase of up to four words within its piece, its cuts, and the most frequent longer candidate around it.
+COLLOCATIONS = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, w[i:i + k - 1] AS w, k, count(*)::BIGINT AS f
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p CROSS JOIN range(1, {LONGEST + 1}) t(k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE f >= {LEAST}),
+x AS (SELECT lang, w[i:i + m - 1] AS w, max(f) AS longer
+      FROM (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS i FROM c CROSS JOIN range(2, {LONGEST}) t(m) WHERE m < k) GROUP BY ALL),
+free AS (SELECT c.* FROM c LEFT JOIN x USING (lang, w) WHERE c.k >= 2 AND (longer IS NULL OR 100 * longer::HUGEINT < {COVERED} * f::HUGEINT)),
+cut AS (SELECT lang, w, f, unnest(range(1, k)) AS h FROM free),
+s AS (SELECT cut.lang, cut.w, cut.f AS a, h, l.f AS l, r.f AS r, ({SCORE}::HUGEINT * cut.f // (l.f::HUGEINT + r.f))::BIGINT AS score
+      FROM cut JOIN c l ON l.lang = cut.lang AND l.w = cut.w[1:h] JOIN c r ON r.lang = cut.lang AND r.w = cut.w[h + 1:]),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, h) = 1),
+ranked AS (SELECT *, array_to_string(w, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {TOP}
+"""
+
+#: Rules by host suffix and path prefix, the longest first; the method's globs as patterns over host, path and query.
+URLS = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM u),
+j AS (SELECT *, CASE {" ".join(f"WHEN ('.' || host) LIKE '%.{r.host}' AND starts_with(path, '{r.path}') THEN {i}" for i, r in enumerate(STRONGEST))} END AS i FROM p)
+SELECT page_id, host, path, {[r.name for r in STRONGEST]}[i + 1] AS rule,
+       coalesce({[r.verdict for r in STRONGEST]}[i + 1], CASE WHEN {" OR ".join(f"({glob_sql(g)})" for g in GLOBS)} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j
+"""
+
 SQL: dict[str, str] = {
     "op4_decontamination": DECONTAMINATION,
     "op6_embedding_near_dedup": EMBEDDINGS,
     "op7_sharding": SHARDING,
     "op8_chat_formatting": CHAT,
+    "op11_phrase_collocations": COLLOCATIONS,
+    "op12_url_filters": URLS,
 }
