@@ -1,8 +1,8 @@
 """Mining of phrase collocations from sorted count streams (operator 11).
 
-Words are counted first; a fixed-size bitmap of the frequent ones lets a second pass leave out every window that holds
-a rare word.  What is counted there is one window of up to ``LONGEST`` words a word, cut at the first rare
-word or the end of its piece.  From then on counts are streams in sorted order, as in external language-model estimation:
+Two passes over the texts find, in bitmaps of a fixed size, the words and then the pairs of words that may be frequent (a
+clear bit is proof of the contrary).  The third counts one window of up to ``LONGEST`` words for each word, cut where a pair is
+rare or the piece ends.  From then on counts are exact streams in sorted order, as in external language-model estimation:
 
 * in prefix order, the windows that begin with a phrase follow each other, so one pass over the sorted stream sums the
   counts of all phrases (``fold``);
@@ -42,14 +42,19 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer one that holds it has at least this percentage of its count.
 COVERED = 80
 SCORE = 2_000_000
-#: Bits of the map of frequent words; beyond it more rare words pass and are left out after counting.
-MAP_BITS = 27
+#: Words and pairs are counted in 2 ** 32 buckets first, cut into ranges; buckets share the bits of a map.  More words than
+#: that fill the map, then rare ones pass too and are left out after counting.
+MAP_BITS, RANGE_BITS = 27, 8
+RANGES = 1 << RANGE_BITS
+#: Words or pairs whose buckets a task counts together.
+COUNTED = 1 << 22
 #: Bytes of text whose windows a task counts together.
 TOGETHER = 8 << 20
 #: A language's best phrases are found in so many parts first.
 PARTS = 64
 
-WORDS = "lang string, word string, n bigint"
+BLOBS = "range int, places binary, n binary"
+BITS = "range int, bits binary"
 WINDOWS = "lang string, words string, n bigint"
 FOLDED = "words array<string>, n bigint, edge boolean"
 RUNS = "words array<string>, n bigint, parts array<bigint>, extension bigint, open boolean"
@@ -107,82 +112,126 @@ def text(a: pa.Array) -> pa.Array:
     return a.cast(pa.binary()).cast(pa.string())
 
 
-def _word_counts(batches):
-    """Counts of the words of a part of the texts; a null word counts them all."""
-    for lang, words, _ in word_stream(batches):
-        n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-        own = pa.array([lang] * 1, pa.string()).take(pa.array(np.zeros(len(n) + 1, np.int64)))
-        yield common.batch(WORDS, own, pa.concat_arrays([text(words.dictionary), pa.nulls(1, pa.string())]), pa.array(np.append(n, n.sum())))
+# ------------------------------------------------------------------ what may be frequent
 
-
-def word_bits(lang: str, words: pa.Array) -> np.ndarray:
-    """The place in the bitmap of each word of a language."""
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, other ones in each language."""
     raw, offsets = common.text_buffer(words)
-    h = flat.span_hashes(raw, offsets[:-1], offsets[1:])
-    own = np.frombuffer(lang.encode(), np.uint8)
+    own = np.frombuffer(b"." + lang.encode(), np.uint8)
     with np.errstate(over="ignore"):
-        h = flat.mix(h + flat.span_hashes(own, np.array([0]), np.array([len(own)]))[0] * flat.BASE)
-    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        salt = flat.span_hashes(own, np.array([0]), np.array([len(own)]))[0] * flat.BASE
+        return flat.mix(flat.span_hashes(raw, offsets[:-1], offsets[1:]) + salt)
 
 
-def _frequent_bits(batches):
-    for b in batches:
-        langs = b.column(0)
-        for lang in pc.unique(langs).to_pylist():
-            # Spark numbers bits from 1
-            yield common.batch("bit bigint", pa.array(word_bits(lang, b.column(1).filter(pc.equal(langs, lang))) + 1))
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of each word with the next one."""
+    with np.errstate(over="ignore"):
+        return flat.mix(h[:-1] * flat.BASE + h[1:])
 
 
-def frequent_map(words: DataFrame) -> np.ndarray:
-    """The bits of ``words`` as bytes, put together on Spark 4 kB at a time; 2 ** (MAP_BITS - 3) bytes at any input size."""
-    bits = words.mapInArrow(_frequent_bits, "bit bigint")
-    blocks = bits.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for r in blocks.toLocalIterator():  # at most 2 ** (MAP_BITS - 15) rows
-        part = np.frombuffer(r["bits"], np.uint8)
-        out[(r["block"] - 1) * len(part):r["block"] * len(part)] = part
-    return out
+def may_be(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set (most significant bit of a byte first)."""
+    at = hashes >> np.uint64(64 - MAP_BITS)
+    return (bits[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 128 > 0
 
 
-def is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which bits are set, least significant bit of a byte first."""
-    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+def _blobs(hashes: list[np.ndarray], least: int):
+    """Counts of 32-bit buckets, cut by range: sorted places within the range, and counts up to ``least``."""
+    keys, n = np.unique((np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+    n = np.minimum(n, least).astype(np.min_scalar_type(2 * least))
+    cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(32 - RANGE_BITS))
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        i, j = cuts[r], cuts[r + 1]
+        yield common.batch(BLOBS, [r], [keys[i:j].tobytes()], [n[i:j].tobytes()])
 
 
-def _windows(batches, frequent, longest):
-    """Counts of the windows that begin at each frequent word, as texts joined by tabs."""
+def _bucket_counts(batches, frequent, least):
+    """Counts of the buckets of single words or, given the words that may be frequent, of pairs of such words."""
+    held, size = [], 0
     for lang, words, goes_on in word_stream(batches):
-        known = is_set(frequent.value, word_bits(lang, words.dictionary))
-        rank = np.cumsum(known)  # 0 stands for no word
-        ids = np.where(known, rank, 0)[words.indices.to_numpy()]
-        n = len(ids)
-        columns = [ids]
-        alive = ids > 0
-        for k in range(1, longest):
-            more = np.zeros(n, bool)
-            more[:n - k] = goes_on[k:] & (ids[k:] > 0)
-            alive = alive & more
-            nxt = np.zeros(n, ids.dtype)
-            nxt[:n - k] = ids[k:]
-            columns.append(np.where(alive, nxt, 0))
-        begins = ids > 0
-        table = np.stack([c[begins] for c in columns], 1)
-        if not len(table):
+        h = word_hashes(lang, words.dictionary)
+        at = words.indices.to_numpy()
+        if frequent is None:
+            got = h[at]
+        else:
+            known = may_be(frequent.value, h)[at]
+            got = pair_hashes(h[at])[goes_on[1:] & known[1:] & known[:-1]]
+        held.append(got)
+        size += len(got)
+        if size >= COUNTED:
+            yield from _blobs(held, least)
+            held, size = [], 0
+    if size:
+        yield from _blobs(held, least)
+
+
+def _frequent_bits(batches, least):
+    """The bitmap of each range's buckets with a count of ``least``, from blobs sorted by range; memory doesn't grow with them."""
+    def bits():
+        near = (total.reshape(-1, 1 << (32 - MAP_BITS)) >= least).any(1)
+        return common.batch(BITS, [now], [np.packbits(near).tobytes()])
+
+    now, total = None, np.zeros(1 << (32 - RANGE_BITS), np.min_scalar_type(2 * least))
+    for b in batches:
+        for r, keys, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if r != now:
+                if now is not None:
+                    yield bits()
+                now = r
+                total[:] = 0
+            at = np.frombuffer(keys, np.uint32) & np.uint32(len(total) - 1)
+            total[at] = np.minimum(total[at] + np.frombuffer(n, total.dtype), least)
+    if now is not None:
+        yield bits()
+
+
+def frequent_map(texts: DataFrame, least: int, words=None):
+    """A broadcast bitmap of 2 ** MAP_BITS bits: clear for words (or pairs of ``words``) that are rarer than ``least``."""
+    blobs = texts.mapInArrow(partial(_bucket_counts, frequent=words, least=least), BLOBS)
+    bits = blobs.repartition(RANGES, "range").sortWithinPartitions("range").mapInArrow(partial(_frequent_bits, least=least), BITS)
+    out = np.zeros((RANGES, 1 << (MAP_BITS - RANGE_BITS - 3)), np.uint8)
+    for r in bits.collect():  # RANGES rows, 2 ** (MAP_BITS - 3) bytes in all
+        out[r["range"]] = np.frombuffer(r["bits"], np.uint8)
+    return texts.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+# ------------------------------------------------------------------ windows
+
+def _windows(batches, words, pairs, longest):
+    """Counts of the windows that begin at each word that may be frequent, as texts joined by tabs; a null window counts all words."""
+    for lang, found, goes_on in word_stream(batches):
+        own = pa.array([lang], pa.string())
+        yield common.batch(WINDOWS, own, pa.nulls(1, pa.string()), [len(found)])
+        h = word_hashes(lang, found.dictionary)
+        known = may_be(words.value, h)
+        at = found.indices.to_numpy()
+        ids = np.where(known, np.cumsum(known), 0)[at]  # 0 stands for no word
+        names = text(found.dictionary.filter(pa.array(known)))
+        joins = np.zeros(len(ids), bool)  # whether a word and the next one may be a frequent pair
+        ok = np.flatnonzero(goes_on[1:] & (ids[1:] > 0) & (ids[:-1] > 0))
+        h = h[at]
+        with np.errstate(over="ignore"):
+            joins[ok] = may_be(pairs.value, flat.mix(h[ok] * flat.BASE + h[ok + 1]))
+        alone = np.bincount(ids[~joins], minlength=len(names) + 1)[1:]
+        some = np.flatnonzero(alone)
+        yield common.batch(WINDOWS, own.take(pa.array(np.zeros(len(some), np.int64))), names.take(pa.array(some)), pa.array(alone[some]))
+        begins = np.flatnonzero(joins)
+        if not len(begins):
             continue
-        # equal windows get equal codes, two columns at a time
-        code = table[:, 0]
+        table, alive = [ids[begins]], np.ones(len(begins), bool)
         for k in range(1, longest):
-            pair = code * (int(rank[-1]) + 1) + table[:, k]
-            code = pa.array(pair).dictionary_encode().indices.to_numpy().astype(np.int64)
+            alive[alive] = joins[begins[alive] + k - 1]
+            table.append(np.where(alive, ids[np.minimum(begins + k, len(ids) - 1)], 0))
+        # equal windows get equal codes, one word more at a time
+        code = table[0].astype(np.int64)
+        for c in table[1:]:
+            code = pa.array(code * (len(names) + 1) + c).dictionary_encode().indices.to_numpy().astype(np.int64)
         count = np.bincount(code)
         first = np.empty(len(count), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        rows = table[first]
-        names = text(words.dictionary.filter(pa.array(known)))
-        cells = [names.take(pa.array(rows[:, k] - 1, mask=rows[:, k] == 0)) for k in range(longest)]
-        joined = pc.binary_join_element_wise(*cells, TAB, null_handling="skip")
-        own = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(count), np.int64)))
-        yield common.batch(WINDOWS, own, joined, pa.array(count))
+        cells = [names.take(pa.array(c[first] - 1, mask=c[first] == 0)) for c in table]
+        yield common.batch(WINDOWS, own.take(pa.array(np.zeros(len(count), np.int64))),
+                           pc.binary_join_element_wise(*cells, TAB, null_handling="skip"), pa.array(count))
 
 
 # ------------------------------------------------------------------ sorted streams
@@ -326,14 +375,14 @@ def lockstep(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(candidates with the counts of their parts and extensions, word totals by lang)."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
+    common.bounded_batches(docs.sparkSession)
     texts = common.take(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counted = texts.mapInArrow(_word_counts, WORDS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    kept = common.checkpointed(counted.filter(F.col("word").isNull() | (F.col("n") >= least)))
-    totals = kept.filter("word is null").select("lang", F.col("n").alias("total"))
-    frequent = spark.sparkContext.broadcast(frequent_map(kept.filter("word is not null").select("lang", "word")))
-    windows = texts.mapInArrow(partial(_windows, frequent=frequent, longest=longest), WINDOWS).groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    words = frequent_map(texts, least)
+    pairs = frequent_map(texts, least, words)
+    windows = common.checkpointed(texts.mapInArrow(partial(_windows, words=words, pairs=pairs, longest=longest), WINDOWS)
+                                  .groupBy("lang", "words").agg(F.sum("n").alias("n")))
+    totals = windows.filter("words is null").select("lang", F.col("n").alias("total"))
+    windows = windows.filter("words is not null")
     counts = common.checkpointed(phrase_counts(windows, least, longest))
     ahead = lockstep(counts, longest).filter(F.size("words") > 2)
     # suffix order: the lang stays in front, the words turn round
