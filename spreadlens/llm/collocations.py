@@ -234,6 +234,12 @@ def _windows(batches, words, pairs, longest):
                            pc.binary_join_element_wise(*cells, TAB, null_handling="skip"), pa.array(count))
 
 
+def counted_windows(texts: DataFrame, words, pairs, longest: int) -> DataFrame:
+    """(lang, words, n) of all windows, given the broadcast maps; null words count every word of a lang."""
+    return common.checkpointed(texts.mapInArrow(partial(_windows, words=words, pairs=pairs, longest=longest), WINDOWS)
+                               .groupBy("lang", "words").agg(F.sum("n").alias("n")))
+
+
 # ------------------------------------------------------------------ sorted streams
 
 class Rows:
@@ -379,8 +385,7 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[
     texts = common.take(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = frequent_map(texts, least)
     pairs = frequent_map(texts, least, words)
-    windows = common.checkpointed(texts.mapInArrow(partial(_windows, words=words, pairs=pairs, longest=longest), WINDOWS)
-                                  .groupBy("lang", "words").agg(F.sum("n").alias("n")))
+    windows = counted_windows(texts, words, pairs, longest)
     totals = windows.filter("words is null").select("lang", F.col("n").alias("total"))
     windows = windows.filter("words is not null")
     counts = common.checkpointed(phrase_counts(windows, least, longest))

@@ -36,6 +36,8 @@ REACH = 2.0**40
 #: Share of the trace under which a component counts as having no variance.
 FLAT = 1e-14
 RESULT = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
+#: Eigenvalues nearer than this part of the matrix's size are a cluster: single precision can't tell their vectors apart.
+CLOSE = 1e-6
 PARTS = "n bigint, sums binary, products binary"
 
 
@@ -128,8 +130,10 @@ def refine_once(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     """One Ogita-Aishima step: better eigenvectors, eigenvalues, and the gap under which values count as one cluster."""
     r = np.eye(len(a)) - x.T @ x
     s = x.T @ (a @ x)
+    r, s = (r + r.T) / 2, (s + s.T) / 2  # rounding must not turn the vectors out of square
     e = np.diag(s) / (1 - np.diag(r))
-    gap = 2 * (np.linalg.norm(s - np.diag(e)) + np.linalg.norm(a) * np.linalg.norm(r))
+    size = np.linalg.norm(a)
+    gap = max(2 * (np.linalg.norm(s - np.diag(e)) + size * np.linalg.norm(r)), CLOSE * size)
     apart = e[None, :] - e[:, None]
     far = np.abs(apart) > gap
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -168,9 +172,10 @@ def refine(a: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         x = split_clusters(a, x, e, gap)
         s = x.T @ (a @ x)
         off = float(np.abs(s - np.diag(np.diag(s))).max(initial=0) + np.abs(np.eye(len(a)) - x.T @ x).max(initial=0))
-        if off < 1e-15 * len(a) or off >= last / 2:
+        if off >= last / 2:
             break
         last = off
+    x = x @ (1.5 * np.eye(len(a)) - 0.5 * (x.T @ x))
     x /= np.linalg.norm(x, axis=0)
     e = np.einsum("ij,ij->j", x, a @ x)
     order = np.argsort(-e, kind="stable")
