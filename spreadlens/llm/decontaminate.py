@@ -12,7 +12,9 @@ the items (``scan_joined``).
 Defined results: a null or wordless text has no words and no hits; null ids
 stay null; repeated rows give repeated rows; items without words occur
 nowhere; items that share a window all count; null item ids are written as
-an empty string; an empty benchmark hits nothing.
+an empty string; an empty benchmark hits nothing; empty documents give no
+rows; texts of any length are read whole; extra columns are left out by the
+scans and go through the removals, whatever their names.
 """
 
 from __future__ import annotations
@@ -188,12 +190,19 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM,
     return common.map_text_rows(docs, kernel)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """All documents, their texts without the hit words and what stands between them (benchmark under the size bound)."""
+def without(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    keep = np.ones(len(raw), bool)
+    for s, e in spans:
+        keep[s:e] = False
+    return np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """All documents, their texts without the hit words and what stands between them."""
     common.bounded_batches(docs.sparkSession)
     benchmark = common.take(benchmark, item_id="string", text="string")
-    if not small_enough(benchmark, MAX_BENCHMARK_BYTES):
-        raise ValueError("remove_spans needs a benchmark under MAX_BENCHMARK_BYTES; use remove_documents")
+    if not small_enough(benchmark, max_bytes):
+        return remove_joined_spans(docs, benchmark, ngram)
     windows = window_set(benchmark, ngram)
 
     def kernel(b: pa.RecordBatch, at: int) -> pa.RecordBatch:
@@ -201,11 +210,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> D
         for i, _, _, _, _, cuts in scan_texts(b.column(at), windows.value):
             for d, own in enumerate(cuts):
                 if len(own):
-                    raw = texts[i + d].encode()
-                    keep = np.ones(len(raw), bool)
-                    for s, e in own.tolist():
-                        keep[s:e] = False
-                    texts[i + d] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
+                    texts[i + d] = without(texts[i + d].encode(), own.tolist())
         cols = list(b.columns)
         cols[at] = pa.array(texts, b.schema.field(at).type)
         return pa.RecordBatch.from_arrays(cols, schema=b.schema)
@@ -223,7 +228,8 @@ DOC_WINDOWS = "doc_id bigint, k_text string, at bigint, n int, key binary"
 def _windows_of_items(batches, ngram):
     for b in batches:
         ids = b.column(0).to_pylist()
-        rows = [(ids[i] or "", n, k, h & ((1 << WIDE_FILTER_BITS) - 1)) for i, n, h, k in item_windows(b.column(1), ngram)]
+        # Spark numbers bits from 1
+        rows = [(ids[i] or "", n, k, (h & ((1 << WIDE_FILTER_BITS) - 1)) + 1) for i, n, h, k in item_windows(b.column(1), ngram)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield common.batch(ITEM_WINDOWS, *cols)
 
@@ -241,7 +247,7 @@ def _candidates(batches, bitmap):
                 at = same_text(doc, n)
                 h = flat.window_hashes(words, n)[at] & np.uint64((1 << WIDE_FILTER_BITS) - 1)
                 first = np.searchsorted(doc, doc[at]) if len(at) else at
-                for k in np.flatnonzero(bits[h]).tolist():
+                for k in np.flatnonzero(bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1).tolist():
                     d = int(doc[at[k]])
                     if d not in key_of:
                         key_of[d] = hashlib.sha256((texts[i + d].as_py() or "").encode()).hexdigest()
@@ -262,18 +268,56 @@ def _word_counts(batches):
         yield common.batch(WORD_COUNTS, b.column(0), keys, counts)
 
 
-def scan_joined(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, keep_text_key: bool = False) -> DataFrame:
-    """``scan`` for a benchmark of any size: bitmap first, then an equi-join on the windows' words."""
+def joined_hits(docs: DataFrame, benchmark: DataFrame, ngram: int) -> DataFrame:
+    """(doc_id, k_text, at, n, item_id) of all occurrences: bitmap first, then an equi-join on the windows' words."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").mapInArrow(partial(_windows_of_items, ngram=ngram), ITEM_WINDOWS)
     items = common.checkpointed(items.distinct())
-    bits = np.zeros(1 << WIDE_FILTER_BITS, bool)
     sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most ``ngram`` rows
-    # at most 2**27 distinct bits, streamed to the driver's fixed 128 MB map one partition at a time
-    for r in items.select("bit").distinct().toLocalIterator():
-        bits[r["bit"]] = True
+    # put together on the executors, 4 kB a row; 16 MB at most reach the driver
+    blocks = items.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = np.zeros(1 << (WIDE_FILTER_BITS - 3), np.uint8)
+    for r in blocks.toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["block"] - 1) * len(part):r["block"] * len(part)] = part
     found = docs.mapInArrow(partial(_candidates, bitmap=spark.sparkContext.broadcast((sizes, bits))), DOC_WINDOWS)
-    hits = found.distinct().join(items.select("n", "key", "item_id"), ["n", "key"])
+    return found.distinct().join(items.select("n", "key", "item_id"), ["n", "key"])
+
+
+def _cut(batches, at):
+    """Documents, whose column ``at`` is the text and whose last is the places of hits, without the words of their hits."""
+    for b in batches:
+        texts, places = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        for k, own in enumerate(places):
+            if own:
+                raw = texts[k].encode()
+                _, starts, stops, _, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                edge = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(edge, [p["at"] for p in own], 1)
+                np.add.at(edge, [p["at"] + p["n"] for p in own], -1)
+                hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
+                texts[k] = without(raw, [(int(starts[r[0]]), int(stops[r[-1]])) for r in runs])
+        cols = list(b.columns[:-1])
+        cols[at] = pa.array(texts, cols[at].type)
+        yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+
+def remove_joined_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
+    """``remove_spans`` for a benchmark of any size: the places of a document's hits are gathered and joined to it."""
+    flat_docs = common.positional(docs)
+    at = docs.columns.index("text")
+    key, text = (F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text"))
+    hits = joined_hits(flat_docs.select(key.cast("bigint").alias("doc_id"), text.cast("string").alias("text")), benchmark, ngram)
+    places = (hits.select(F.col("doc_id").alias("k_id"), "k_text", "at", "n").distinct().groupBy("k_id", "k_text")
+              .agg(F.collect_list(F.struct("at", "n")).alias("places")))
+    found = flat_docs.join(places, key.cast("bigint").eqNullSafe(F.col("k_id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("k_text")), "left")
+    return found.select(*flat_docs.columns, "places").mapInArrow(partial(_cut, at=at), flat_docs.schema).toDF(*docs.columns)
+
+
+def scan_joined(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, keep_text_key: bool = False) -> DataFrame:
+    """``scan`` for a benchmark of any size."""
+    hits = joined_hits(docs, benchmark, ngram)
     words = (hits.select("doc_id", "k_text", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct()
              .groupBy("doc_id", "k_text").agg(F.count("*").alias("n_hit")))
     names = (hits.select("doc_id", "k_text", "item_id").distinct().groupBy("doc_id", "k_text")

@@ -10,7 +10,9 @@ components come from grouped joins.  Copies collapse before any comparison.
 Defined results: a null text counts as empty; texts without words have
 fingerprint zero and link like any other; repeated rows are rows of their
 own with the same fingerprint; a null doc_id stays, takes part in linking, and
-never is a component's id (an id is null if no member has one).
+never is a component's id (an id is null if no member has one).  Empty
+tables give no rows, texts of any length are read whole, extra columns go
+through ``keep_one`` whatever their names and are left out by ``groups``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 from .components import connected_components, local_components
@@ -40,6 +41,7 @@ PARTS = 4
 DIGIT = 64
 
 PRINTS = "doc_id bigint, fp bigint, fingerprint string"
+MARKED = "doc_id bigint, fp bigint, mark bigint"
 LINKS = "a bigint, b bigint"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -74,6 +76,12 @@ def _prints(batches, shingle):
         yield common.batch(PRINTS, b.column(0), pa.array(fp), [f.hex() for f in found])
 
 
+def _marked_prints(batches, shingle):
+    for b in batches:
+        printed = next(_prints(iter([b]), shingle))
+        yield common.batch(MARKED, b.column(0), printed.column(1), b.column(2))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed 64 bits) and fingerprint (hex) of every whole text."""
     common.bounded_batches(docs.sparkSession)
@@ -133,36 +141,37 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return work.mapInArrow(partial(_compare, radius=radius), LINKS)
 
 
+def roots(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """fp, its least doc_id, and the root of its component."""
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    root = connected_components(links(prints, radius, block))
+    return first.join(root, first["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of ``docs``."""
     prints = common.checkpointed(fingerprints(docs, shingle))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = connected_components(links(prints, radius, block))
-    member = first.join(root, first["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = roots(prints, radius, block)
     ids = member.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = member.join(ids, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, whole and with all its columns: the row with the component's id.
+    """One row of each component, whole and with all its columns.
 
-    Of rows that repeat an id one stays.  A component whose members all have
-    no id keeps every one of them, since none can be told from the others.
+    It is the row with the least id (nulls last), then the least hash of all its columns, so the result doesn't hang on
+    how rows are dealt; rows that share an id but not a component all count by themselves.
     """
-    found = common.checkpointed(groups(docs, shingle, radius))
     flat = common.positional(docs)
-    key, text = (f"c{docs.columns.index(n)}" for n in ("doc_id", "text"))
-    named = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    once = flat.join(named, F.col(key) == F.col("kept"), "left_semi").dropDuplicates([key])
-    none = found.filter("doc_id is null and component_id is null").select(F.col("fingerprint").alias("kept")).distinct()
-    nameless = flat.filter(F.col(key).isNull())
-    printed = nameless.mapInArrow(partial(_with_print, at=flat.columns.index(text), shingle=shingle), 
-                                  T.StructType([*nameless.schema.fields, T.StructField("print", T.StringType())]))
-    return once.union(printed.join(none, F.col("print") == F.col("kept"), "left_semi").select(*flat.columns)).toDF(*docs.columns)
-
-
-def _with_print(batches, at, shingle):
-    for b in batches:
-        found = [fingerprint(t.as_py() or b"", shingle).hex() for t in b.column(at).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "print"])
+    key, text = (F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text"))
+    marked = flat.withColumn("mark", F.xxhash64(*flat.columns))
+    common.bounded_batches(docs.sparkSession)
+    prints = common.checkpointed(marked.select(key.cast("bigint"), text.cast("string"), "mark").mapInArrow(partial(_marked_prints, shingle=shingle), MARKED))
+    root = roots(prints, radius).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    best = prints.join(root, "fp").groupBy("root").agg(F.min(order).alias("row"))
+    kept = best.select(F.col("row.doc_id").alias("k_id"), F.col("row.mark").alias("k_mark")).distinct()
+    # rows equal in every column share a mark; one of them stays
+    left = marked.join(kept, key.cast("bigint").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark")), "left_semi")
+    return left.dropDuplicates([f"c{docs.columns.index('doc_id')}", "mark"]).drop("mark").toDF(*docs.columns)

@@ -57,10 +57,23 @@ def test_simhash_odd_rows(spark):
     assert got == plain_groups([r[:2] for r in ODD], 2)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 3, 5, 6, 7, 8]
+    # one row a component: that of the six words without an id is one of two
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 5, 6, 7, 8]
     assert simhash.groups(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_whatever_its_id(spark):
+    a, b, c = "this is the first text here", "quite another one it is now", "and a third of its own words"
+    rows = [(3, a), (5, a), (5, b), (None, b), (None, c), (None, c), (None, a), (7, a + " "), (7, a + " ")]
+    seen = set()
+    for n in (1, 3, 7):
+        df = spark.createDataFrame([(*r, "m") for r in rows], "doc_id bigint, text string, mark string").repartition(n)
+        kept = sorted(map(tuple, simhash.keep_one(df).collect()), key=str)
+        assert kept == sorted([(3, a, "m"), (5, b, "m"), (None, c, "m")], key=str)
+        seen.add(str(kept))
+    assert len(seen) == 1
+
+
 def test_tile_pairs_reach_every_neighbour():
     rng = np.random.default_rng(0)
     steps = set(simhash.tile_steps(2))

@@ -65,10 +65,17 @@ def test_small_pieces_change_nothing(spark, monkeypatch):
     assert [x for p in decontaminate.scan_texts(texts, windows) for x in p[3]] == whole
 
 
-def test_spans_are_removed(spark):
-    docs = spark.createDataFrame([(1, "é one two three four five six seven eight nine ten, end"), (2, "clean"), (3, None)], SCHEMA)
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BENCHMARK_BYTES, 0])
+def test_spans_are_removed(spark, limit):
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(1, f"é {ten}, end", 5), (2, "clean", 5), (3, None, 5), (1, f"{ten} x {ten} {ten}.", 5), (None, f"a {ten}", 5), (1, f"é {ten}, end", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, PLACES int")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    assert sorted(tuple(r) for r in decontaminate.remove_spans(docs, items).collect()) == [(1, "é , end"), (2, "clean"), (3, None)]
+    got = decontaminate.remove_spans(docs, items, max_bytes=limit)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "é , end", 5), (2, "clean", 5), (3, None, 5), (1, " x .", 5), (None, "a ", 5), (1, "é , end", 5)], key=str)
+    assert decontaminate.remove_spans(docs.limit(0), items, max_bytes=limit).count() == 0
 
 
 # ---------------------------------------------------------------- secrets
