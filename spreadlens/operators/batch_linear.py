@@ -8,7 +8,7 @@ descent for elastic net, halved where it didn't lower the objective.  The number
 of the slowest model (about ten), whatever the number of models; ``GROUP_BYTES`` bounds what a pass returns, and models
 beyond it take a pass of their own group.
 
-Objective: mean weighted log loss + 1/(C n) (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2), on features standardised by the training
+Objective: mean weighted loss + 1/(C n) (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2), on features standardised by the training
 rows' mean and population deviation, with a free intercept; ``balanced`` weighs a class by n / (2 n_class).
 """
 
@@ -42,6 +42,8 @@ class Linear:
     balanced: bool = False
     components: int | None = None
     whiten: bool = False
+    #: ``logistic``, or ``margin`` for a linear support vector machine with squared hinge loss.
+    loss: str = "logistic"
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
@@ -153,7 +155,7 @@ class State:
         strength = 1 / (model.c * max(s.n, 1))
         self.l1, self.l2 = strength * model.l1_ratio, strength * (1 - model.l1_ratio)
         self.at = np.zeros(self.map.shape[1])
-        if self.usable and not model.balanced:
+        if self.usable and not model.balanced and model.loss == "logistic":
             self.at[-1] = np.log(s.n1 / s.n0)
         self.base, self.best, self.step = self.at, np.inf, None
         self.done = not self.usable
@@ -193,19 +195,21 @@ class Fitted:
     def scores(self, rows: DataFrame, names: list[str], held_out: bool = True) -> DataFrame:
         """(names, id, y, p, trained): probabilities of the rows a model hasn't seen, or with ``held_out=False`` of all rows.
 
-        Models whose training rows hold one class give no scores.
+        A margin model gives its margin as p.  Models whose training rows hold one class give no scores.
         """
         coef, pivot, models, columns, usable = self.coef, self.pivot, self.models, self.columns, self.usable
         splits = sorted({m.split for m in models}, key=str)
+        chances = np.array([m.loss == "logistic" for m in models], bool)
 
         def run(batches):
             for b in batches:
                 r = Rows(b, len(pivot), columns)
-                p = _sigmoid((r.x - pivot) @ coef[:-1] + coef[-1])
-                trains = {s: r.trains(s) for s in splits}
+                p = (r.x - pivot) @ coef[:-1] + coef[-1]
+                p[:, chances] = _sigmoid(p[:, chances])
+                trains, scope = ({s: f(s) for s in splits} for f in (r.trains, r.scoped))
                 for m, model in enumerate(models):
                     seen = trains[model.split]
-                    at = np.flatnonzero(~seen) if held_out else np.arange(len(r))
+                    at = np.flatnonzero(scope[model.split] & ~seen if held_out else scope[model.split])
                     if usable[m] and len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), r.ids.take(pa.array(at)), pa.array(r.y[at].astype(np.int32)),
                                                           pa.array(p[at, m]), pa.array(seen[at])], names=["model", "id", "y", "p", "trained"])
@@ -225,6 +229,44 @@ def named(df: DataFrame, rows: list[tuple[str, ...]], names: list[str]) -> DataF
     return df.join(F.broadcast(table), "model").select(*names, *[c for c in df.columns if c != "model"])
 
 
+def components(rows: DataFrame, split: Split, k: int, width: int, columns: list[str] = (), scaled: bool = True) -> DataFrame:
+    """The row matrix turned onto the first ``k`` principal axes of the rows that train under ``split``."""
+    columns = list(columns)
+    pivot = pivot_of(rows, width, columns)
+    spread = spreads(rows, [split], width, columns, pivot)[0]
+    if not scaled:
+        spread.sd = np.ones(width)
+    turn = linear_map(Linear((), tuple(range(width)), split, components=k), spread, width)[:, :-1]
+
+    def run(batches):
+        for b in batches:
+            x = (Rows(b, width, columns).x - pivot) @ turn[:-1] + turn[-1]
+            offsets = pa.array(np.arange(len(b) + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), b.column(3)], names=["id", "y", "x", "splits"])
+
+    return rows.mapInArrow(run, rows.schema).checkpoint()
+
+
+def calibrated_margins(rows: DataFrame, names: tuple[str, ...], keys: list[str], features: tuple[int, ...], width: int, cell: str, test: str, folds: list[str],
+                       columns: list[str], c: float = 1.0, components: int | None = None) -> DataFrame:
+    """A linear support vector machine with sigmoid calibration: the mean of the calibrated models of all ``folds``.
+
+    ``cell`` names each training row's fold, or ``test``.  Each fold's machine trains on the other folds, its sigmoid on the
+    margins of the fold itself; the scores are those of the test rows.
+    """
+    machines = [Linear((f,), features, Split(cell, tuple(g for g in folds if g != f), True), c, components=components, loss="margin") for f in folds]
+    margins = fit(rows, machines, width, columns).scores(rows, ["fold"])
+    place = rows.select("id", F.get("splits", F.lit(columns.index(cell))).alias("cell"))
+    wide = margins.groupBy("id", "y").pivot("fold", folds).agg(F.first("p")).join(place, "id")
+    # a machine has no margin of the rows it trained on: their place is never read
+    x = F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) for f in folds])
+    second = wide.select("id", F.col("y").cast("double").alias("y"), x.alias("x"), F.array("cell").alias("splits")).checkpoint()
+    curves = fit(second, [Linear((f,), (i,), Split("cell", f, True), 1e10) for i, f in enumerate(folds)], len(folds), ["cell"])
+    mean = (curves.scores(second, ["fold"]).join(second.where(F.get("splits", F.lit(0)) == test).select("id"), "id", "left_semi")
+            .groupBy("id", "y").agg(F.avg("p").alias("p")))
+    return mean.select(*[F.lit(v).alias(k) for k, v in zip(keys, names, strict=True)], "id", "y", "p")
+
+
 def fit(rows: DataFrame, models: list[Linear], width: int, columns: list[str] = ()) -> Fitted:
     """Fit all ``models`` on a row matrix of ``width`` features whose splits are of ``columns``."""
     columns = list(columns)
@@ -259,7 +301,7 @@ def groups(states: list[State]) -> list[list[State]]:
 def newton_sums(rows: DataFrame, states: list[State], width: int, columns: list[str], pivot: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Loss, gradient and Hessian of each model where it stands, on its features and a one; one Spark job."""
     coef = np.stack([s.effective() for s in states], 1)
-    jobs = [(s.model.split, np.array([*s.model.features, width]), s.weights) for s in states]
+    jobs = [(s.model.split, np.array([*s.model.features, width]), s.weights, s.model.loss) for s in states]
     splits = sorted({s.model.split for s in states}, key=str)
 
     def kernel(b):
@@ -267,18 +309,24 @@ def newton_sums(rows: DataFrame, states: list[State], width: int, columns: list[
         x = np.append(r.x - pivot, np.ones((len(r), 1)), axis=1)
         trains = {s: r.trains(s) for s in splits}
         logits, out = x @ coef, []
-        for m, (split, f, (w0, w1)) in enumerate(jobs):
+        for m, (split, f, (w0, w1), loss) in enumerate(jobs):
             own = trains[split]
             z, y, part = logits[own, m], r.y[own], x[np.ix_(own, f)]
             w = np.where(y > 0, w1, w0)
-            p = _sigmoid(z)
-            out.append([(w * (np.logaddexp(0, z) - y * z)).sum()])
-            out.append(part.T @ (w * (p - y)))
-            out.append((part.T @ (part * (w * p * (1 - p))[:, None])).ravel())
+            if loss == "logistic":
+                p = _sigmoid(z)
+                value, slope, bend = np.logaddexp(0, z) - y * z, p - y, p * (1 - p)
+            else:
+                side = 2 * y - 1
+                short = np.maximum(1 - side * z, 0)
+                value, slope, bend = short**2, -2 * side * short, 2.0 * (short > 0)
+            out.append([(w * value).sum()])
+            out.append(part.T @ (w * slope))
+            out.append((part.T @ (part * (w * bend)[:, None])).ravel())
         return np.concatenate(out)
 
     total, at, out = summed(rows, kernel), 0, []
-    for _, f, _ in jobs:
+    for _, f, _, _ in jobs:
         k = len(f)
         loss, g, h = total[at], np.zeros(width + 1), np.zeros((width + 1, width + 1))
         g[f] = total[at + 1:at + 1 + k]

@@ -13,17 +13,18 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import Imputer, PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import md5_int, md5_uniform
+from ..functions.core import md5_int
+from . import batch_trees
 from . import metrics as M
 from .attention import whole_vectors
+from .partials import matrix
 from .ranking import row_numbers
-from .resample import poisson_one
-from .rollup import exact_quantiles
+from .rollup import exact_quantiles, median_from_counts
 
 
 # ------------------------------------------------------------------ M1 / M3 / M4
@@ -341,8 +342,15 @@ def probe_pipeline(k: int, features_col: str = "features", balanced: bool = True
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Null and NaN entries become the column's median (Spark's approximate median)."""
-    return Imputer(strategy="median", inputCols=cols, outputCols=cols).fit(df).transform(df)
+    """Null and NaN entries become the column's exact median (of all columns from one table of value counts).
+
+    A column without any value stays null.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value").where("value is not null and not isnan(value)")
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    medians = median_from_counts(counts, ["feature"], "value", "_c").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("_m"))
+    x = df.crossJoin(F.broadcast(medians))  # one row, one entry a column
+    return x.withColumns({c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.col("_m")[c]).otherwise(F.col(c)) for c in cols}).drop("_m")
 
 
 def impute_vectors(train: DataFrame, test: DataFrame, vec_col: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -426,26 +434,23 @@ def linear_attribution(df: DataFrame, features: list[str], label: str, id_col: s
     return out.unpivot([id_col], features, "feature", "contribution")
 
 
-def bootstrap_oob_auc(df: DataFrame, features: list[str], label: str, id_col: str, n_boot: int = 2000,
-                      seed: int = 42, min_oob: int = 10, trees: int = 100) -> DataFrame:
+#: Replicates whose trees grow together.
+REPLICATES = 160
+
+
+def bootstrap_oob_auc(df: DataFrame, features: list[str], label: str, id_col: str, n_boot: int = 2000, min_oob: int = 10, trees: int = 100) -> DataFrame:
     """H3: random-forest AUC on the out-of-bag rows of each bootstrap replicate, ``(rep, n1, n0, auc)``.
 
-    A row counts Poisson(1) times in a replicate (md5 draws) as its weight; rows
-    that count zero times are out of bag.  Replicates with fewer than
-    ``min_oob`` of them or with one class are left out.  Each replicate is a
-    fit, so ``n_boot`` (the reference: 2,000) sets the cost.
+    A row counts Poisson(1) times in a replicate; rows that count zero times are out of bag.  Replicates with fewer than
+    ``min_oob`` of them or with one class are left out.  The trees of ``REPLICATES`` replicates grow in the same jobs.
     """
-    base = df.checkpoint()
-    out = None
-    for b in range(1, n_boot + 1):
-        x = base.withColumn("w", poisson_one(md5_uniform(F.lit(seed), F.lit(b), F.col(id_col))).cast("double"))
-        train, oob = x.where(F.col("w") > 0), x.where(F.col("w") == 0)
-        rf = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=0, weightCol="w", featuresCol="features", labelCol="label")
-        fitted = rf.fit(prepare(train, features, label))
-        pred = positive_prob(fitted.transform(prepare(oob, features, label))).select(
-            F.lit(b).alias("rep"), F.col(label).cast("int").alias("y"), "p").checkpoint()
+    rows = matrix(df, id_col, label, features)
+    every, out = tuple(range(len(features))), None
+    for first in range(1, n_boot + 1, REPLICATES):
+        models = [batch_trees.Ensemble((str(b),), every, trees=trees, depth=6, replicate=b) for b in range(first, min(first + REPLICATES, n_boot + 1))]
+        pred = batch_trees.fit(rows, models, len(features)).scores(["rep"]).checkpoint()
         out = pred if out is None else out.unionByName(pred)
-    return M.auc(out, ["rep"], "p", "y").where((F.col("n1") + F.col("n0") >= min_oob) & F.col("auc").isNotNull())
+    return M.auc(out.withColumn("rep", F.col("rep").cast("int")), ["rep"], "p", "y").where((F.col("n1") + F.col("n0") >= min_oob) & F.col("auc").isNotNull())
 
 
 def auc_interval(reps: DataFrame) -> DataFrame:

@@ -22,15 +22,19 @@ SUMS = "total binary"
 
 @dataclass(frozen=True)
 class Split:
-    """Which rows train a model: those whose ``column`` isn't ``value``, or with ``inside`` those where it is."""
+    """Which rows train a model: those whose ``column`` is none of ``values``, or with ``inside`` those where it is one.
+
+    With a ``scope`` (column, value) only rows that have it train or are held out at all.
+    """
 
     column: str
-    value: str
+    values: str | tuple[str, ...]
     inside: bool = False
+    scope: tuple[str, str] | None = None
 
 
 #: Every row trains.
-EVERY = Split("", "")
+EVERY = Split("", ())
 
 
 def matrix(df: DataFrame, id_col: str, label: str, features: list[str], splits: list[str] = ()) -> DataFrame:
@@ -53,12 +57,21 @@ class Rows:
     def __len__(self) -> int:
         return len(self.y)
 
+    def has(self, column: str, values: str | tuple[str, ...]) -> np.ndarray:
+        """Which rows have one of ``values``; a null is none."""
+        wanted = pa.array([values] if isinstance(values, str) else list(values), pa.string())
+        return pc.is_in(self.values[column], wanted, skip_nulls=True).to_numpy(zero_copy_only=False)
+
+    def scoped(self, split: Split) -> np.ndarray:
+        """Which rows ``split`` is about."""
+        return np.ones(len(self), bool) if split.scope is None else self.has(*split.scope)
+
     def trains(self, split: Split) -> np.ndarray:
-        """Which rows train under ``split``; a null value is no value."""
-        if split == EVERY:
-            return np.ones(len(self), bool)
-        same = pc.fill_null(pc.equal(self.values[split.column], split.value), False).to_numpy(zero_copy_only=False)
-        return same if split.inside else ~same
+        """Which rows train under ``split``."""
+        if not split.column:
+            return self.scoped(split)
+        same = self.has(split.column, split.values)
+        return self.scoped(split) & (same if split.inside else ~same)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

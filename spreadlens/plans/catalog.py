@@ -751,121 +751,166 @@ def q_folds(spark, sf):
     return stratified_folds(FX.lineitem_rows(spark, sf), "row_id", "y", 5, 42).select("row_id", "y", "fold")
 
 
-def _holdout(models):
-    def run(spark, sf):
-        from ..operators.models import holdout_eval
-        return rounded(holdout_eval(FX.lineitem_rows(spark, sf), LI, "y", models))
-    return run
+@query("logistic_holdout")
+def q_logistic(spark, sf):
+    """M5: L2 logistic models on the line items' hold-out split, plain and with balanced classes."""
+    return rounded(_lineitem_holdout(spark, sf, [(0.0, False), (0.0, True)]))
 
 
-def model_rows(spark, sf) -> DataFrame:
-    """The question table as the rows of the model queries (the reference fits on questions).
+@query("elastic_net_holdout")
+def q_elastic(spark, sf):
+    """M5: elastic-net logistic models (l1 ratio 0.5 and 0.25) on the same split, plain and with balanced classes."""
+    return rounded(_lineitem_holdout(spark, sf, [(r, b) for r in (0.5, 0.25) for b in (False, True)]))
 
-    The pair features of a question with one response are missing; they become the median (B22).
-    """
-    from ..operators.models import impute_median
-    return impute_median(question_table(spark, sf).withColumn("row_id", F.col("prompt_id")).checkpoint(), GEO)
 
+def _lineitem_holdout(spark, sf, settings):
+    from ..operators import batch_linear as BL
+    from ..operators.models import stratified_split
+    from ..operators.partials import Split, matrix
+    sp = stratified_split(FX.lineitem_rows(spark, sf), "row_id", "y", 0.2, 42)
+    rows = matrix(sp.withColumn("part", F.when(F.col("is_test"), "test").otherwise("train")), "row_id", "y", LI, ["part"])
+    models = [BL.Linear((str(r), str(b).lower()), tuple(range(len(LI))), Split("part", "test"), l1_ratio=r, balanced=b) for r, b in settings]
+    keys = ["l1_ratio", "balanced"]
+    return M.classification_metrics(BL.fit(rows, models, len(LI), ["part"]).scores(rows, keys), keys, "p", "y")
 
-QUERIES["logistic_holdout"] = _holdout("logistic")          # M5/M12
-QUERIES["elastic_net_holdout"] = _holdout(["elastic_net", "elastic_net_25"])    # M5
-QUERIES["forest_holdout"] = _holdout("random_forest")       # M6
 
+def _grid(spark, sf, task):
+    from . import modelling as ML
+    return ML.grid_scores(spark, sf).where(F.col("task") == task)
 
-@query("boosting_holdout")
-def q_boosting(spark, sf):
-    """M7: 100 boosting rounds of depth 3 and 200 of depth 4, on the question table."""
-    from ..operators.models import holdout_eval
-    return rounded(holdout_eval(model_rows(spark, sf), GEO, "label", ["gradient_boosting", "boosted_trees"]))
 
+def _holdout(spark, sf, classifiers):
+    x = _grid(spark, sf, "holdout").where(F.col("classifier").isin(classifiers))
+    return rounded(M.classification_metrics(x, ["classifier"], "p", "y"))
 
-@query("svm_platt_auc")
-def q_svm(spark, sf):
-    """M8: calibrated linear SVM, AUC on the hold-out split."""
-    from ..operators.models import standardize, stratified_split, svm_platt
-    rows = standardize(FX.lineitem_rows(spark, sf), LI)
-    sp = stratified_split(rows, "row_id", "y", 0.2, 42).checkpoint()
-    pred = svm_platt(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), [c + "_z" for c in LI], "y")
-    return rounded(M.auc(pred.withColumn("yy", F.col("y").cast("int")), [], "p", "yy"))
 
+@query("forest_holdout")
+def q_forest(spark, sf):
+    """M6: forests of 200 trees of depth 6 and of 600 trees without a depth limit (two rows a leaf), on the question table."""
+    return _holdout(spark, sf, ["random_forest", "random_forest_leaf"])
 
-#: Boosting rounds of the registered query; every round is a distributed fit (the operator's default is 300).
-ADABOOST_ROUNDS = 20
+
+@query("boosting_holdout")
+def q_boosting(spark, sf):
+    """M7: 100 boosting rounds of depth 3 and 200 of depth 4, on the question table."""
+    return _holdout(spark, sf, ["gradient_boosting", "boosted_trees"])
 
 
 @query("adaboost_auc")
 def q_ada(spark, sf):
-    """M9: AdaBoost of stumps, AUC on the hold-out split."""
-    from ..operators.models import adaboost, stratified_split
+    """M9: AdaBoost of 300 stumps, on the question table."""
+    return _holdout(spark, sf, ["adaboost"])
+
+
+@query("svm_platt_auc")
+def q_svm(spark, sf):
+    """M8: linear support vector machine with sigmoid calibration (mean of three calibrated fits): all hold-out metrics."""
+    from ..functions.core import md5_int as draw
+    from ..operators import batch_linear as BL
+    from ..operators.models import stratified_split
+    from ..operators.partials import matrix
     sp = stratified_split(FX.lineitem_rows(spark, sf), "row_id", "y", 0.2, 42)
-    pred = adaboost(sp.where(~F.col("is_test")), sp.where(F.col("is_test")), LI, "y", rounds=ADABOOST_ROUNDS)
-    return rounded(M.auc(pred.withColumn("yy", F.col("y").cast("int")), [], "p", "yy"))
+    sp = sp.withColumn("cell", F.when(F.col("is_test"), "test").otherwise((draw(F.lit("cell"), F.col("row_id")) % 3).cast("string")))
+    rows = matrix(sp, "row_id", "y", LI, ["cell"])
+    pred = BL.calibrated_margins(rows, ("svm",), ["classifier"], tuple(range(len(LI))), len(LI), "cell", "test", ["0", "1", "2"], ["cell"])
+    return rounded(M.classification_metrics(pred, ["classifier"], "p", "y"))
 
 
 @query("cv_model_selection")
 def q_cv(spark, sf):
-    """Out-of-fold AUC/AP mean ± std and rank of every classifier over 5 folds of the question table."""
-    from ..operators.models import ZOO, cv_selection, oof_predictions
-    return rounded(cv_selection(oof_predictions(model_rows(spark, sf), GEO, "label", ZOO[:4], 5)))
+    """Out-of-fold AUC and AP (mean, deviation) and rank of all five classifiers over 5 folds, on the six features."""
+    from . import modelling as ML
+    from pyspark.sql import Window
+    x = ML.selection(_grid(spark, sf, "cv").where("variant = 'All 6 geometric'"), ["classifier"])
+    # one row a classifier
+    return rounded(x.withColumn("rank", F.row_number().over(Window.orderBy(F.col("auc_mean").desc(), "classifier"))))
 
 
-@query("classifier_bakeoff")
-def q_bakeoff(spark, sf):
-    """The classifiers side by side on one split of the question table."""
-    from ..operators.models import holdout_eval
-    return rounded(holdout_eval(model_rows(spark, sf), GEO, "label", ["logistic", "elastic_net", "random_forest", "random_forest_leaf"]))
+@query("out_of_fold_bundle")
+def q_oof_bundle(spark, sf):
+    """Metrics, thresholds, curve and predictions of the out-of-fold scores of the logistic model on the six features."""
+    from . import modelling as ML
+    return rounded(ML.bundle(_grid(spark, sf, "cv").where("variant = 'All 6 geometric' and classifier = 'logistic'").select("id", "y", "p")))
 
 
 @query("final_evaluation")
 def q_final(spark, sf):
-    """The bundle of one model: hold-out metrics, threshold rows, curve points and coefficients, one per row."""
-    from ..operators.models import final_evaluation
-    b = final_evaluation(FX.lineitem_rows(spark, sf), LI, "y", "logistic")
-    wide = b["metrics"]
-    metrics = wide.unpivot([], wide.columns, "name", "value").select(F.lit("metrics").alias("part"), "name", F.col("value").cast("double").alias("value"))
-    thr = b["thresholds"].select(F.lit("thresholds").alias("part"), F.concat(F.lit("f1@"), F.col("threshold").cast("string")).alias("name"), F.col("f1").alias("value"))
-    curve = b["curve"].select(F.lit("curve").alias("part"), F.lit("points").alias("name"), F.lit(1.0).alias("value")).groupBy("part", "name").agg(F.sum("value").alias("value"))
-    coef = b["coefficients"].select(F.lit("coefficients").alias("part"), F.col("feature").alias("name"), F.col("coefficient").alias("value"))
-    return rounded(metrics.unionByName(thr).unionByName(curve).unionByName(coef))
+    """The whole bundle of the logistic model on the hold-out split: metrics, thresholds, curve, predictions, coefficients."""
+    from . import modelling as ML
+    pred = _grid(spark, sf, "holdout").where("classifier = 'logistic'").select("id", "y", "p")
+    return rounded(ML.bundle(pred, ML.holdout_coefficients(spark, sf)))
 
 
-ABLATION = {"centroid": ["D_cos", "D_cos_var"], "pairs": ["D_pair", "sig2_S"], "geometry": GEO, "length and score": ["score_mean", "len_mean"],
-            "all": GEO + ["score_mean", "len_mean"]}
+@query("classifier_bakeoff")
+def q_bakeoff(spark, sf):
+    """The five pipelines on principal components of the eigen vectors, on one split: AUC, accuracy and the rest."""
+    from . import modelling as ML
+    return rounded(M.classification_metrics(ML.bakeoff_scores(spark, sf), ["classifier"], "p", "y"))
 
 
 @query("feature_ablation")
 def q_ablation(spark, sf):
-    """Feature subsets × classifiers, 5-fold out-of-fold AUC on the question table."""
-    from ..operators.models import cv_selection, oof_predictions
-    rows = model_rows(spark, sf)
-    out = None
-    for name, feats in ABLATION.items():
-        r = cv_selection(oof_predictions(rows, feats, "label", ["logistic", "elastic_net"], 5)).withColumn("subset", F.lit(name))
-        out = r if out is None else out.unionByName(r)
-    return rounded(out)
+    """The eight feature sets x five classifiers, 5-fold out-of-fold AUC and AP."""
+    from . import modelling as ML
+    return rounded(ML.selection(_grid(spark, sf, "cv"), ["variant", "classifier"]))
+
+
+@query("ablation_pivot")
+def q_ablation_pivot(spark, sf):
+    """Feature set x classifier table of the out-of-fold AUC."""
+    from . import modelling as ML
+    x = ML.selection(_grid(spark, sf, "cv"), ["variant", "classifier"])
+    return rounded(x.groupBy("variant").pivot("classifier", ML.CLASSIFIERS).agg(F.first("auc_mean")))
+
+
+@query("per_domain_clf")
+def q_per_domain(spark, sf):
+    """Every classifier cross-validated inside each domain, min(5, smallest class) folds; one-class domains are skipped."""
+    from . import modelling as ML
+    x = ML.selection(_grid(spark, sf, "domain").withColumnRenamed("variant", "domain"), ["domain", "classifier"])
+    n = ML.question_rows(spark, sf).groupBy("domain").agg(F.count(F.lit(1)).alias("n_questions"))
+    return rounded(x.join(n, "domain"))
 
 
-@query("per_dataset_clf")
-def q_per_ds(spark, sf):
-    """One model per line status, cross-validated inside it."""
-    from ..operators.models import per_group_cv
-    return rounded(per_group_cv(FX.lineitem_rows(spark, sf), "dataset", LI, "y", ["logistic"], folds=3))
+@query("per_domain_pivot")
+def q_per_domain_pivot(spark, sf):
+    """Domain x classifier table of the AUC inside each domain."""
+    from . import modelling as ML
+    x = ML.selection(_grid(spark, sf, "domain").withColumnRenamed("variant", "domain"), ["domain", "classifier"])
+    return rounded(x.groupBy("domain").pivot("classifier", ML.CLASSIFIERS).agg(F.first("auc_mean")))
 
 
 @query("leave_one_dataset_out")
 def q_lobo(spark, sf):
-    """Leave-one-benchmark-out AUC on the question table, for two feature sets."""
-    from ..operators.models import leave_one_out
-    qt = model_rows(spark, sf)
-    out = [leave_one_out(qt, "dataset", ABLATION[n], "label", "logistic").withColumn("subset", F.lit(n)) for n in ("geometry", "centroid")]
-    return rounded(out[0].unionByName(out[1]))
+    """Trained on all datasets but one and tested on it: train AUC, test AUC, AP and F1 of four feature sets x five classifiers."""
+    x = _grid(spark, sf, "lobo").withColumnRenamed("held", "held_out")
+    keys = ["held_out", "variant", "classifier"]
+    test = M.classification_metrics(x.where("not trained"), keys, "p", "y").select(
+        *keys, F.col("roc_auc").alias("test_auc"), F.col("average_precision").alias("test_ap"), F.col("f1_at_0_5").alias("test_f1"))
+    train = M.auc(x.where("trained"), keys, "p", "y").select(*keys, F.col("auc").alias("train_auc"), (F.col("n1") + F.col("n0")).alias("n_train"))
+    n = x.where("not trained").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"))
+    return rounded(train.join(test, keys).join(n, keys))
 
 
 @query("transfer_matrix")
 def q_transfer(spark, sf):
-    """Train on one line status, AUC on each."""
-    from ..operators.models import transfer_matrix
-    return rounded(transfer_matrix(FX.lineitem_rows(spark, sf), "dataset", LI, "y", "logistic"))
+    """Logistic model trained on one dataset, AUC on each (the diagonal is in-sample)."""
+    x = _grid(spark, sf, "transfer").join(_datasets(spark, sf), "id")
+    return rounded(M.auc(x, ["held", "dataset"], "p", "y").select(F.col("held").alias("train"), F.col("dataset").alias("test"), "n1", "n0", "auc",
+                                                               (F.col("held") == F.col("dataset")).alias("in_sample")))
+
+
+@query("transfer_pivot")
+def q_transfer_pivot(spark, sf):
+    """Train x test table of the transfer AUC."""
+    x = M.auc(_grid(spark, sf, "transfer").join(_datasets(spark, sf), "id"), ["held", "dataset"], "p", "y")
+    names = [r[0] for r in _datasets(spark, sf).select("dataset").distinct().orderBy("dataset").limit(1000).collect()]
+    return rounded(x.groupBy(F.col("held").alias("train")).pivot("dataset", names).agg(F.first("auc")))
+
+
+def _datasets(spark, sf):
+    from . import modelling as ML
+    return ML.question_rows(spark, sf).select(F.col("row_id").alias("id"), "dataset")
 
 
 @query("layerwise_probe")
@@ -907,26 +952,11 @@ def q_topk_baseline(spark, sf):
 
 @query("grid_search")
 def q_grid(spark, sf):
-    """CV AUC over PCA components × whitening × class weights × penalty of the probe (2 folds, eigen vectors)."""
-    from ..operators.models import balanced_weights, positive_prob, probe_pipeline, stratified_folds
-    from pyspark.ml.functions import array_to_vector
-    eig = FX.eigen_long(spark, sf)
-    vec = A.whole_vectors(A.eigen_vectors(eig, 4, 4, 4), 64).join(eig.select("id", "label").distinct(), "id")
-    data = balanced_weights(stratified_folds(vec, "id", "label", 2, 42), "label").withColumn("label", F.col("label").cast("double")).checkpoint()
-    data = data.withColumn("vec", array_to_vector("features"))
-    out = None
-    for k in (4, 16):
-        for whiten in (False, True):
-            for balanced in (False, True):
-                for reg in (0.01, 0.1):
-                    for f in (0, 1):
-                        fit = probe_pipeline(k, "vec", balanced, whiten, reg).fit(data.where(F.col("fold") != f))
-                        p = positive_prob(fit.transform(data.where(F.col("fold") == f))).select(
-                            F.lit(k).alias("k"), F.lit(whiten).alias("whiten"), F.lit(balanced).alias("balanced"), F.lit(reg).alias("reg"),
-                            F.lit(f).alias("fold"), F.col("label").cast("int").alias("y"), "p")
-                        out = p if out is None else out.unionByName(p)
-    keys = ["k", "whiten", "balanced", "reg"]
-    return rounded(M.auc(out.checkpoint(), [*keys, "fold"], "p", "y").groupBy(*keys).agg(F.avg("auc").alias("cv_auc")))
+    """2-fold AUC of the whole grid (components, whitening, penalty, C, l1 ratio, class weight) on the eigen vectors, best first."""
+    from . import modelling as ML
+    keys = ["components", "whiten", "penalty", "c", "l1_ratio", "balanced"]
+    x = M.auc(ML.search_scores(spark, sf), [*keys, "held"], "p", "y")
+    return rounded(x.groupBy(*keys).agg(F.avg("auc").alias("cv_auc"), F.stddev_pop("auc").alias("cv_auc_std")))
 
 
 @query("two_sampling_transfer")
@@ -965,15 +995,12 @@ def q_pca(spark, sf):
     return rounded(pca_variance(vec, "v", 8))
 
 
-#: Bootstrap replicates of the registered query; every replicate is a distributed fit (the operator's default is 2,000).
-OOB_REPLICATES = 3
-
-
 @query("bootstrap_oob_auc")
 def q_boot_auc(spark, sf):
-    """H3: mean and interval of the out-of-bag AUC of random forests over bootstrap replicates of the question table."""
+    """H3: mean and 95 % interval of the out-of-bag AUC of forests over 2,000 bootstrap replicates of the question table."""
+    from . import modelling as ML
     from ..operators.models import auc_interval, bootstrap_oob_auc
-    return rounded(auc_interval(bootstrap_oob_auc(model_rows(spark, sf), GEO, "label", "prompt_id", n_boot=OOB_REPLICATES)))
+    return rounded(auc_interval(bootstrap_oob_auc(ML.question_rows(spark, sf), ML.BASE, "label", "row_id")))
 
 
 # ------------------------------------------------------------------ W: streaming (batch form)
@@ -1145,9 +1172,10 @@ def q_preservation(spark, sf):
 
 @query("entropy_vs_dispersion")
 def q_scatter(spark, sf):
-    """The two coordinates and the class name of each question."""
-    qt = question_table(spark, sf)
-    return rounded(qt.select("prompt_id", "D_cos", "D_pair", F.when(F.col("label") == 0, "Correct").otherwise("Hallucinated (incl. refused)").alias("group")))
+    """Semantic entropy, cosine dispersion and class of each question."""
+    from . import modelling as ML
+    q = ML.question_rows(spark, sf)
+    return rounded(q.select("prompt_id", "H_sem", "D_cos", F.when(F.col("label") == 0, "Correct").otherwise("Hallucinated (incl. refused)").alias("group")))
 
 
 @query("pairplot_sample")
