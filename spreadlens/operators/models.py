@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import md5_int
-from . import batch_trees
+from . import batch_trees, wide_pca
 from . import metrics as M
 from .attention import whole_vectors
 from .partials import matrix
@@ -368,14 +368,9 @@ def impute_vectors(train: DataFrame, test: DataFrame, vec_col: str, size: int) -
 
 
 def pca_variance(df: DataFrame, vec_col: str, k: int) -> DataFrame:
-    """M2: explained and cumulative variance ratio of the first k components
-    (inputs standardised; the covariance is d×d on the driver, so d is bounded)."""
-    std = StandardScaler(inputCol=vec_col, outputCol="_std", withMean=True, withStd=True).fit(df).transform(df)
-    model = PCA(k=k, inputCol="_std", outputCol="_pca").fit(std)
-    ratios = [float(x) for x in model.explainedVariance.toArray()]
-    spark = df.sparkSession
-    rows = [(i + 1, r, sum(ratios[:i + 1])) for i, r in enumerate(ratios)]
-    return spark.createDataFrame(rows, "component int, explained double, cumulative double")
+    """M2: explained and cumulative variance ratio of the first k components of standardised inputs, for vectors of any length."""
+    model = wide_pca.fit(df, vec_col, k, scaled=True)
+    return model.table(df.sparkSession) if model else df.sparkSession.createDataFrame([], "component int, explained double, cumulative double")
 
 
 def probe_split(labels: DataFrame, seed: int = 42) -> DataFrame:

@@ -25,7 +25,7 @@ TIE_EPS = 1e-12
 
 
 def permutation_test(df: DataFrame, keys: list[str], id_col: str, value: str, label: str,
-                     n_perm: int = 1000, seed: int = 42) -> DataFrame:
+                     n_perm: int = 10_000, seed: int = 42) -> DataFrame:
     """H2: one-sided permutation test of mean(value|1) − mean(value|0).
 
     In replicate r the labels are reassigned by giving label 1 to the

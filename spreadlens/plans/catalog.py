@@ -666,19 +666,19 @@ def q_hist(spark, sf):
 
 @query("permutation_test")
 def q_perm(spark, sf):
-    """H2: one-sided permutation test of D_cos by label per dataset (B = 200)."""
+    """H2: one-sided permutation test of D_cos by label per dataset (10,000 permutations)."""
     qt = question_table(spark, sf)
-    return rounded(RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label", n_perm=200))
+    return rounded(RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label"))
 
 
 @query("bootstrap_mean_diff")
 def q_boot(spark, sf):
-    """H4/H5: pooled + per-dataset bootstrap of the λ_max gap (B = 200), with a dataset of one class."""
+    """H4/H5: pooled + per-dataset bootstrap of the λ_max gap (1,000 replicates), with a dataset of one class."""
     eig = FX.eigen_long(spark, sf)
     lm = A.family_means(eig, "lambda_max").join(eig.select("id", "dataset", "label").distinct(), "id")
     pooled = lm.withColumn("dataset", F.lit("Pooled"))
     both = lm.unionByName(pooled).unionByName(lm.where(F.col("label") == 1).withColumn("dataset", F.lit("OneClass")))
-    return rounded(RS.bootstrap_mean_diff(both, ["dataset"], "id", "lambda_max_mean", "label", n_boot=200))
+    return rounded(RS.bootstrap_mean_diff(both, ["dataset"], "id", "lambda_max_mean", "label"))
 
 
 # ------------------------------------------------------------------ J: metrics
@@ -990,8 +990,7 @@ def q_attr(spark, sf):
 def q_pca(spark, sf):
     """M2: explained variance of 8 principal components of the eigen vectors."""
     from ..operators.models import pca_variance
-    vec = A.eigen_vectors(FX.eigen_long(spark, sf), 4, 4, 4).select(
-        "id", __import__("pyspark.ml.functions", fromlist=["array_to_vector"]).array_to_vector("features").alias("v"))
+    vec = A.eigen_vectors(FX.eigen_long(spark, sf), 4, 4, 4).select("id", F.col("features").alias("v"))
     return rounded(pca_variance(vec, "v", 8))
 
 
@@ -1029,17 +1028,31 @@ def q_2d(spark, sf):
     return rounded(G.project_2d(FX.dense_cloud(spark, sf)))
 
 
+def _signed_points(spark, sf) -> DataFrame:
+    """The dense vectors, whole, in two dimensions: projected by seeded signs (SQL can follow these, unlike principal axes)."""
+    return G.sign_projection(FX.dense_cloud(spark, sf), 64).select("prompt_id", "id", "z1", "z2")
+
+
+@query("embedding_3d_whitened")
+def q_3d(spark, sf):
+    """Whitened projection on three principal axes; its means are 0, its variances 1 (components have any sign)."""
+    from ..operators import wide_pca
+    cloud = FX.dense_cloud(spark, sf)
+    z = wide_pca.fit(cloud, "e", 3).project(cloud, "e", whiten=True)
+    return rounded(z.select("id", F.posexplode("z").alias("axis", "z")).groupBy("axis").agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.round(F.avg("z"), 6)).alias("mean"), F.round(F.var_samp("z"), 4).alias("variance")))
+
+
 @query("hull_area_2d")
 def q_hull(spark, sf):
-    """Convex-hull area per question on the first two vector coordinates."""
-    pts = FX.dense_cloud(spark, sf).select("prompt_id", "id", F.col("e")[0].alias("z1"), F.col("e")[1].alias("z2"))
-    return rounded(G.hull_area(pts, ["prompt_id"], bucket_rows=16))
+    """Convex-hull area per question in the signed projection of the whole vectors."""
+    return rounded(G.hull_area(_signed_points(spark, sf), ["prompt_id"], bucket_rows=16))
 
 
 @query("domain_median_centroid")
 def q_median_centroid(spark, sf):
-    """Per-group median of the first two coordinates, groups with ≥ 5 points."""
-    pts = FX.dense_cloud(spark, sf).select("prompt_id", F.col("e")[0].alias("z1"), F.col("e")[1].alias("z2"))
+    """Per-group median of both coordinates of the signed projection, groups with ≥ 5 points."""
+    pts = _signed_points(spark, sf)
     out = None
     for c in ("z1", "z2"):
         cnt = pts.groupBy("prompt_id", c).agg(F.count(F.lit(1)).alias("_c"))
@@ -1051,9 +1064,8 @@ def q_median_centroid(spark, sf):
 
 @query("density_peak_2d")
 def q_peak(spark, sf):
-    """2-D KDE peak per question (20×20 grid, bandwidth 0.25)."""
-    pts = FX.dense_cloud(spark, sf).select("prompt_id", F.col("e")[0].alias("z1"), F.col("e")[1].alias("z2"))
-    return rounded(G.density_peak(pts, ["prompt_id"], "z1", "z2", grid=20, bandwidth=0.25))
+    """2-D KDE peak per question (20×20 grid, bandwidth 0.25) in the signed projection."""
+    return rounded(G.density_peak(_signed_points(spark, sf), ["prompt_id"], "z1", "z2", grid=20, bandwidth=0.25))
 
 
 @query("projection_2d_views")
@@ -1106,9 +1118,9 @@ def q_eigen_long(spark, sf):
 
 @query("flipped_permutation")
 def q_flipped(spark, sf):
-    """One-sided permutation test of a measure that falls for bad answers, with its sign flipped (B = 200)."""
+    """One-sided permutation test of a measure that falls for bad answers, with its sign flipped."""
     qt = question_table(spark, sf).withColumn("neg", -F.col("D_pair"))
-    return rounded(RS.permutation_test(qt, ["dataset"], "prompt_id", "neg", "label", n_perm=200))
+    return rounded(RS.permutation_test(qt, ["dataset"], "prompt_id", "neg", "label"))
 
 
 @query("residual_domain")
@@ -1157,8 +1169,8 @@ def q_mean_roc(spark, sf):
 
 @query("roc_band")
 def q_roc_band(spark, sf):
-    """Bootstrap band of the ROC of D_cos on the question table (B = 50)."""
-    return rounded(RS.bootstrap_roc_band(question_table(spark, sf), [], "prompt_id", "D_cos", "label", n_boot=50))
+    """Bootstrap band of the ROC of D_cos on the question table (200 replicates)."""
+    return rounded(RS.bootstrap_roc_band(question_table(spark, sf), [], "prompt_id", "D_cos", "label"))
 
 
 @query("preservation_ratio")
@@ -1178,6 +1190,13 @@ def q_scatter(spark, sf):
     return rounded(q.select("prompt_id", "H_sem", "D_cos", F.when(F.col("label") == 0, "Correct").otherwise("Hallucinated (incl. refused)").alias("group")))
 
 
+@query("dispersion_scatter")
+def q_dispersion_scatter(spark, sf):
+    """N3, the part without clusters: cosine and pairwise dispersion and the class name of each question."""
+    qt = question_table(spark, sf)
+    return rounded(qt.select("prompt_id", "D_cos", "D_pair", F.when(F.col("label") == 0, "Correct").otherwise("Hallucinated (incl. refused)").alias("group")))
+
+
 @query("pairplot_sample")
 def q_pairplot(spark, sf):
     """At most 20 questions of each class in the order of a seeded hash, geometric features only."""
@@ -1189,7 +1208,7 @@ def q_results(spark, sf):
     """The closing summary of each dataset, one row a dataset."""
     resp = FX.responses(spark, sf).drop("model_answer").checkpoint()
     qt = question_table(spark, sf).checkpoint()
-    perm = RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label", n_perm=200)
+    perm = RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label")
     return rounded(R.results_summary(resp, qt, perm, TX.LABEL_ORDER, 15))
 
 
@@ -1201,7 +1220,7 @@ def q_describe_q(spark, sf):
 
 @query("stats_summary")
 def q_stats_summary(spark, sf):
-    """Per dataset: questions, hallucination rate, KS-significant features, best KS feature, δ, permutation p, AUC interval of D_cos (B = 200)."""
+    """Per dataset: questions, hallucination rate, KS-significant features, best KS feature, δ, permutation p, AUC interval of D_cos (2,000 replicates)."""
     qt = question_table(spark, sf).checkpoint()
     long = FX.feature_long(qt, GEO, ["dataset", "prompt_id", "label"])
     ks = H.ks_tests(long, ["dataset", "feature"], n_tests=len(GEO))
@@ -1209,8 +1228,8 @@ def q_stats_summary(spark, sf):
                                        F.max_by("feature", F.struct("ks_stat", "feature")).alias("best_ks_feature"),
                                        F.max("ks_stat").alias("best_ks_stat"))
     base = qt.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_questions"), F.avg("label").alias("rate"))
-    perm = RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label", n_perm=200).select("dataset", "delta", "p_value")
-    boot = RS.bootstrap_auc(qt, ["dataset"], "prompt_id", "D_cos", "label", n_boot=200)
+    perm = RS.permutation_test(qt, ["dataset"], "prompt_id", "D_cos", "label").select("dataset", "delta", "p_value")
+    boot = RS.bootstrap_auc(qt, ["dataset"], "prompt_id", "D_cos", "label")
     return rounded(base.join(agg_ks, "dataset", "left").join(perm, "dataset", "left").join(boot, "dataset", "left"))
 
 

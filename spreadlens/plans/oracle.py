@@ -670,10 +670,10 @@ def build() -> dict[str, str]:
                      sum(label) AS n1 FROM qtable WHERE D_cos IS NOT NULL AND label IS NOT NULL GROUP BY dataset),
       reps AS (SELECT q.dataset, q.prompt_id, q.D_cos, r.rep,
                       row_number() OVER (PARTITION BY q.dataset, r.rep ORDER BY {md5i("42", "r.rep", "q.prompt_id")}, q.prompt_id) AS rn
-               FROM qtable q, (SELECT unnest(range(1, 201)) AS rep) r WHERE q.D_cos IS NOT NULL AND q.label IS NOT NULL),
+               FROM qtable q, (SELECT unnest(range(1, 10001)) AS rep) r WHERE q.D_cos IS NOT NULL AND q.label IS NOT NULL),
       nul AS (SELECT r.dataset, r.rep, avg(CASE WHEN rn <= o.n1 THEN D_cos END) - avg(CASE WHEN rn > o.n1 THEN D_cos END) AS d
               FROM reps r JOIN obs o ON r.dataset = o.dataset GROUP BY r.dataset, r.rep)"""], """
-      SELECT o.dataset, (sum(CAST(n.d >= o.delta - 1e-12 AS INTEGER)) + 1) / 201.0 AS p_value, avg(n.d) AS null_mean,
+      SELECT o.dataset, (sum(CAST(n.d >= o.delta - 1e-12 AS INTEGER)) + 1) / 10001.0 AS p_value, avg(n.d) AS null_mean,
              stddev_pop(n.d) AS null_std, o.delta
       FROM nul n JOIN obs o ON n.dataset = o.dataset GROUP BY o.dataset, o.delta"""), ["p_value", "null_mean", "null_std", "delta"])
 
@@ -687,7 +687,7 @@ def build() -> dict[str, str]:
     O["bootstrap_mean_diff"] = rnd(with_([EIGEN, f"""
       lm AS (SELECT e.id, avg(eig) AS v, any_value(dataset) AS dataset, any_value(label) AS y FROM eigen e WHERE rank = 1 GROUP BY e.id),
       both_ AS (SELECT * FROM lm UNION ALL SELECT id, v, 'Pooled', y FROM lm UNION ALL SELECT id, v, 'OneClass', y FROM lm WHERE y = 1),
-      draws AS (SELECT x.*, r.rep, {md5u("137", "r.rep", "x.id")} AS u FROM both_ x, (SELECT unnest(range(1, 201)) AS rep) r),
+      draws AS (SELECT x.*, r.rep, {md5u("137", "r.rep", "x.id")} AS u FROM both_ x, (SELECT unnest(range(1, 1001)) AS rep) r),
       w AS (SELECT *, {poisson('u')} AS w FROM draws),
       per AS (SELECT dataset, rep, sum(CASE WHEN y = 1 THEN w * v END) / nullif(sum(CASE WHEN y = 1 THEN w END), 0)
                      - sum(CASE WHEN y = 0 THEN w * v END) / nullif(sum(CASE WHEN y = 0 THEN w END), 0) AS delta
@@ -761,15 +761,19 @@ def build() -> dict[str, str]:
              sum(CAST(event_type = 'error' AS INTEGER)) / count(*) AS rate
       FROM events GROUP BY ALL""", ["rate"])
     O["dedup_events"] = "SELECT event_id, min(ts) AS ts, arg_min(event_type, ts) AS event_type FROM events GROUP BY event_id"
-    O["domain_median_centroid"] = rnd("""
-      SELECT 'v' || CAST(label AS VARCHAR) AS prompt_id,
-             CAST(median(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS DOUBLE) AS median_z1,
-             CAST(median(embedding[2] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS DOUBLE) AS median_z2,
-             count(*) AS n
-      FROM embeddings GROUP BY label HAVING count(*) >= 5""", ["median_z1", "median_z2"])
-    O["density_peak_2d"] = rnd(with_([DENSE_VEC, """
-      pts AS (SELECT prompt_id, id, max(CASE WHEN pos = 0 THEN v END) AS z1, max(CASE WHEN pos = 1 THEN v END) AS z2
-              FROM dense_vec GROUP BY prompt_id, id),
+    signed = ", ".join(f"""sum(CASE WHEN {md5i("42", str(j), "pos")} % 2 = 1 THEN v ELSE -v END) / 8.0 AS z{j}""" for j in (1, 2))
+    points = f"pts AS (SELECT prompt_id, id, {signed} FROM dense_vec GROUP BY prompt_id, id)"
+    O["domain_median_centroid"] = rnd(with_([DENSE_VEC, points], """
+      SELECT prompt_id, median(z1) AS median_z1, median(z2) AS median_z2, count(*) AS n FROM pts GROUP BY prompt_id HAVING count(*) >= 5"""), ["median_z1", "median_z2"])
+    # a pair of points is an edge of the hull if no point lies to its right; collinear points on an edge are no corners
+    O["hull_area_2d"] = rnd(with_([DENSE_VEC, points, """
+      d AS (SELECT DISTINCT prompt_id, z1 AS x, z2 AS y FROM pts),
+      e AS (SELECT a.prompt_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM d a JOIN d b ON a.prompt_id = b.prompt_id AND (a.x <> b.x OR a.y <> b.y)
+            WHERE NOT EXISTS (SELECT 1 FROM d c WHERE c.prompt_id = a.prompt_id AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-12))"""], """
+      SELECT p.prompt_id, coalesce(CASE WHEN n < 3 THEN 0.0 ELSE s END, 0.0) AS hull_area, CAST(coalesce(v, n) AS INTEGER) AS n_vertices
+      FROM (SELECT prompt_id, count(*) AS n FROM d GROUP BY prompt_id) p
+      LEFT JOIN (SELECT prompt_id, sum(ax * b_y - bx * ay) / 2 AS s, count(*) AS v FROM e GROUP BY prompt_id) h USING (prompt_id)"""), ["hull_area"])
+    O["density_peak_2d"] = rnd(with_([DENSE_VEC, points, """
       b AS (SELECT prompt_id, min(z1) AS x0, max(z1) AS x1, min(z2) AS y0, max(z2) AS y1 FROM pts GROUP BY prompt_id),
       g AS (SELECT b.prompt_id, gi AS g, x0 + (gi % 20) * (x1 - x0) / 19 AS gx, y0 + floor(gi / 20) * (y1 - y0) / 19 AS gy
             FROM b, (SELECT unnest(range(0, 400)) AS gi) r),
@@ -805,7 +809,7 @@ def build() -> dict[str, str]:
     O["crosstab_type_correctness"] = O["crosstab_domain_correctness"].replace("SELECT domain, ", "SELECT type, ").replace("GROUP BY domain", "GROUP BY type")
     O["dataset_feature_means"] = rnd(with_(QTABLE, "SELECT dataset, count(*) AS n, " + ", ".join(
         f"avg({c}) AS {c}" for c in ["label", *GEO, "score_mean", "len_mean"]) + " FROM qtable GROUP BY dataset"), ["label", *GEO, "score_mean", "len_mean"])
-    O["entropy_vs_dispersion"] = rnd(with_(QTABLE, """
+    O["dispersion_scatter"] = rnd(with_(QTABLE, """
       SELECT prompt_id, D_cos, D_pair, CASE WHEN label = 0 THEN 'Correct' ELSE 'Hallucinated (incl. refused)' END AS "group" FROM qtable"""), ["D_cos", "D_pair"])
     O["pairplot_sample"] = rnd(with_(QTABLE, f"""
       SELECT prompt_id, label, {', '.join(GEO)} FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {md5i("42", "prompt_id")}, prompt_id) AS rk FROM qtable)
@@ -825,7 +829,7 @@ def build() -> dict[str, str]:
       u AS (SELECT * FROM b UNION ALL SELECT k.feature, 1, p.ord FROM ks_out k JOIN places p USING (feature) WHERE k.significant AND k.feature NOT IN (SELECT feature FROM b))
       SELECT string_agg(feature, ',' ORDER BY part, k) AS features FROM u""")
     O["roc_band"] = rnd(with_(QTABLE + [f"""
-      dr AS (SELECT q.prompt_id, q.D_cos AS s, q.label AS y, r.rep, {md5u("137", "r.rep", "q.prompt_id")} AS u FROM qtable q, (SELECT unnest(range(1, 51)) AS rep) r),
+      dr AS (SELECT q.prompt_id, q.D_cos AS s, q.label AS y, r.rep, {md5u("137", "r.rep", "q.prompt_id")} AS u FROM qtable q, (SELECT unnest(range(1, 201)) AS rep) r),
       dw AS (SELECT rep, s, sum({poisson('u')} * y) AS c1, sum({poisson('u')} * (1 - y)) AS c0 FROM dr GROUP BY ALL),
       cv AS (SELECT rep, sum(c1) OVER w AS tp, sum(c0) OVER w AS fp, sum(c1) OVER (PARTITION BY rep) AS n1, sum(c0) OVER (PARTITION BY rep) AS n0
              FROM dw WINDOW w AS (PARTITION BY rep ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -867,4 +871,32 @@ def build() -> dict[str, str]:
                 CAST(sum(CAST(lower(correctness) <> 'correct' AS INTEGER)) >= 8 AS INTEGER) AS label_k_of_n
          FROM responses_fx GROUP BY prompt_id) r
       LEFT JOIN qcounts c ON c.prompt_id = r.prompt_id"""), ["non_correct_rate"])
+    O["embedding_3d_whitened"] = """
+      SELECT CAST(a AS INTEGER) AS axis, (SELECT count(*) FROM embeddings) AS n, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS variance FROM range(0, 3) t(a)"""
+    O["imputed_median"] = rnd(with_([LI_ROWS], """
+      SELECT row_id, coalesce(CASE WHEN quantity > 25 THEN tax END, (SELECT median(tax) FROM li_rows WHERE quantity > 25)) AS tax FROM li_rows"""), ["tax"])
+    O["mean_roc_folds"] = rnd(with_([LI_ROWS, PREDS, f"""
+      sc AS (SELECT dataset, CAST({md5i("'fold'", "row_id")} % 5 AS INTEGER) AS fold, y_prob AS s, sum(y_true) AS c1, sum(1 - y_true) AS c0 FROM preds GROUP BY ALL),
+      cv AS (SELECT dataset, fold, sum(c1) OVER w AS tp, sum(c0) OVER w AS fp, sum(c1) OVER (PARTITION BY dataset, fold) AS n1,
+                    sum(c0) OVER (PARTITION BY dataset, fold) AS n0 FROM sc WINDOW w AS (PARTITION BY dataset, fold ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+      pt AS (SELECT dataset, fold, fp / n0 AS x, tp / n1 AS y FROM cv WHERE n1 > 0 AND n0 > 0 UNION ALL SELECT DISTINCT dataset, fold, 0.0, 0.0 FROM cv WHERE n1 > 0 AND n0 > 0),
+      li AS (SELECT dataset, fold, g, g / 99.0::DOUBLE AS f, max({{'x': x, 'y': y}}) FILTER (x <= g / 99.0::DOUBLE) AS lo, min({{'x': x, 'y': y}}) FILTER (x > g / 99.0::DOUBLE) AS hi
+             FROM pt, (SELECT unnest(range(0, 100)) AS g) GROUP BY ALL)"""], """
+      SELECT dataset, CAST(g AS INTEGER) AS g, f AS fpr, avg(CASE WHEN hi IS NULL OR f = lo.x THEN lo.y ELSE lo.y + (f - lo.x) * (hi.y - lo.y) / (hi.x - lo.x) END) AS mean_tpr,
+             count(*) AS n_folds FROM li GROUP BY ALL"""), ["fpr", "mean_tpr"])
+    qld = "qld AS (" + " UNION ALL ".join(f"SELECT dataset, prompt_id, label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM qtable WHERE {f} IS NOT NULL" for f in GEO) + ")"
+    O["stats_summary"] = rnd(with_(QTABLE + [qld] + ks_sql("qld", ["dataset", "feature"], 4), f"""
+      , pt AS ({O['permutation_test']}), kq AS (SELECT * FROM ks_out),
+      kd AS (SELECT dataset, CAST(sum(CAST(significant AS INTEGER)) AS BIGINT) AS n_significant, arg_max(feature, (ks_stat, feature)) AS best_ks_feature, max(ks_stat) AS best_ks_stat
+             FROM kq GROUP BY dataset),
+      ba AS (SELECT dataset, count(*) AS n_questions, avg(label) AS rate FROM qtable GROUP BY dataset),
+      dr AS (SELECT q.dataset, q.D_cos AS s, q.label AS y, r.rep, {md5u("42", "r.rep", "q.prompt_id")} AS u FROM qtable q, (SELECT unnest(range(1, 2001)) AS rep) r),
+      dw AS (SELECT dataset, rep, s, sum({poisson('u')} * y) AS c1, sum({poisson('u')} * (1 - y)) AS c0 FROM dr GROUP BY ALL),
+      cv AS (SELECT dataset, rep, c1, c0, sum(c0) OVER (PARTITION BY dataset, rep ORDER BY s ROWS UNBOUNDED PRECEDING) AS cum0,
+                    sum(c1) OVER (PARTITION BY dataset, rep) AS n1, sum(c0) OVER (PARTITION BY dataset, rep) AS n0 FROM dw),
+      au AS (SELECT dataset, rep, sum(c1 * (cum0 - 0.5 * c0)) / any_value(n1 * n0) AS auc FROM cv WHERE n1 > 0 AND n0 > 0 GROUP BY dataset, rep),
+      bo AS (SELECT dataset, avg(auc) AS auc_mean, quantile_cont(auc, 0.025) AS auc_low, quantile_cont(auc, 0.975) AS auc_high FROM au GROUP BY dataset)
+      SELECT ba.*, kd.* EXCLUDE (dataset), pt.delta, pt.p_value, bo.* EXCLUDE (dataset)
+      FROM ba LEFT JOIN kd USING (dataset) LEFT JOIN pt USING (dataset) LEFT JOIN bo USING (dataset)"""),
+        ["rate", "best_ks_stat", "delta", "p_value", "auc_mean", "auc_low", "auc_high"])
     return O
