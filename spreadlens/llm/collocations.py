@@ -1,8 +1,8 @@
 """Mining of phrase collocations from sorted count streams (operator 11).
 
-Two passes over the texts find, in bitmaps of a fixed size, the words and then the pairs of words that may be frequent (a
-clear bit is proof of the contrary).  The third counts one window of up to ``LONGEST`` words for each word, cut where a pair is
-rare or the piece ends.  From then on counts are exact streams in sorted order, as in external language-model estimation:
+A pass over the texts for each length finds, in a bitmap of a fixed size, the phrases that may be frequent (a clear bit is
+proof of the contrary), among those whose two parts one word shorter may be.  The last pass counts one window for each word, the longest phrase
+there that may be frequent.  From then on counts are exact streams in sorted order, as in external language-model estimation:
 
 * in prefix order, the windows that begin with a phrase follow each other, so one pass over the sorted stream sums the
   counts of all phrases (``fold``);
@@ -42,11 +42,11 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer one that holds it has at least this percentage of its count.
 COVERED = 80
 SCORE = 2_000_000
-#: Words and pairs are counted in 2 ** 32 buckets first, cut into ranges; buckets share the bits of a map.  More words than
-#: that fill the map, then rare ones pass too and are left out after counting.
+#: Phrases are counted in 2 ** 32 buckets first, cut into ranges; buckets share the bits of a map.  Where more phrases fill
+#: the map, rare ones pass too and are left out after counting.
 MAP_BITS, RANGE_BITS = 27, 8
 RANGES = 1 << RANGE_BITS
-#: Words or pairs whose buckets a task counts together.
+#: Phrases whose buckets a task counts together.
 COUNTED = 1 << 22
 #: Bytes of text whose windows a task counts together.
 TOGETHER = 8 << 20
@@ -123,12 +123,6 @@ def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
         return flat.mix(flat.span_hashes(raw, offsets[:-1], offsets[1:]) + salt)
 
 
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """Hashes of each word with the next one."""
-    with np.errstate(over="ignore"):
-        return flat.mix(h[:-1] * flat.BASE + h[1:])
-
-
 def may_be(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bit of each hash is set (most significant bit of a byte first)."""
     at = hashes >> np.uint64(64 - MAP_BITS)
@@ -145,17 +139,29 @@ def _blobs(hashes: list[np.ndarray], least: int):
         yield common.batch(BLOBS, [r], [keys[i:j].tobytes()], [n[i:j].tobytes()])
 
 
-def _bucket_counts(batches, frequent, least):
-    """Counts of the buckets of single words or, given the words that may be frequent, of pairs of such words."""
+def growing(h: np.ndarray, goes_on: np.ndarray, maps: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Where phrases of 1, 2, ... words (one length a map) may be frequent, and where phrases of one word more may be, with their hashes."""
+    places, lengths, hashes = np.arange(len(h)), [], h
+    for k, bits in enumerate(maps, 1):
+        ok = may_be(bits, hashes)
+        places, hashes = places[ok], hashes[ok]
+        lengths.append(places)
+        # a phrase of one word more begins here and holds another such phrase one word later
+        here = np.zeros(len(h) + 1, bool)
+        here[places] = True
+        ok = here[places + 1] & goes_on[np.minimum(places + k, len(h) - 1)] & (places + k < len(h))
+        places, hashes = places[ok], hashes[ok]
+        with np.errstate(over="ignore"):
+            hashes = flat.mix(hashes * flat.BASE + h[places + k])
+    return lengths, places, hashes
+
+
+def _bucket_counts(batches, maps, least):
+    """Counts of the buckets of phrases one word longer than those of the last of ``maps``, whose parts may be frequent."""
     held, size = [], 0
     for lang, words, goes_on in word_stream(batches):
-        h = word_hashes(lang, words.dictionary)
-        at = words.indices.to_numpy()
-        if frequent is None:
-            got = h[at]
-        else:
-            known = may_be(frequent.value, h)[at]
-            got = pair_hashes(h[at])[goes_on[1:] & known[1:] & known[:-1]]
+        h = word_hashes(lang, words.dictionary)[words.indices.to_numpy()]
+        got = growing(h, goes_on, [m.value for m in maps])[2]
         held.append(got)
         size += len(got)
         if size >= COUNTED:
@@ -185,10 +191,10 @@ def _frequent_bits(batches, least):
         yield bits()
 
 
-def frequent_map(texts: DataFrame, least: int, words=None):
-    """A broadcast bitmap of 2 ** MAP_BITS bits: clear for words (or pairs of ``words``) that are rarer than ``least``."""
-    blobs = texts.mapInArrow(partial(_bucket_counts, frequent=words, least=least), BLOBS)
-    bits = blobs.repartition(RANGES, "range").sortWithinPartitions("range").mapInArrow(partial(_frequent_bits, least=least), BITS)
+def frequent_map(texts: DataFrame, least: int, maps: list = ()):
+    """A broadcast bitmap of 2 ** MAP_BITS bits: clear for words rarer than ``least``, or with the maps of shorter phrases for those one word longer."""
+    blobs = texts.mapInArrow(partial(_bucket_counts, maps=list(maps), least=least), BLOBS)
+    bits = blobs.repartition("range").sortWithinPartitions("range").mapInArrow(partial(_frequent_bits, least=least), BITS)
     out = np.zeros((RANGES, 1 << (MAP_BITS - RANGE_BITS - 3)), np.uint8)
     for r in bits.collect():  # RANGES rows, 2 ** (MAP_BITS - 3) bytes in all
         out[r["range"]] = np.frombuffer(r["bits"], np.uint8)
@@ -197,47 +203,37 @@ def frequent_map(texts: DataFrame, least: int, words=None):
 
 # ------------------------------------------------------------------ windows
 
-def _windows(batches, words, pairs, longest):
-    """Counts of the windows that begin at each word that may be frequent, as texts joined by tabs; a null window counts all words."""
+def _windows(batches, maps):
+    """Counts of the longest phrase that may be frequent at each word, as texts joined by tabs; a null window counts all words."""
     for lang, found, goes_on in word_stream(batches):
         own = pa.array([lang], pa.string())
         yield common.batch(WINDOWS, own, pa.nulls(1, pa.string()), [len(found)])
-        h = word_hashes(lang, found.dictionary)
-        known = may_be(words.value, h)
         at = found.indices.to_numpy()
-        ids = np.where(known, np.cumsum(known), 0)[at]  # 0 stands for no word
-        names = text(found.dictionary.filter(pa.array(known)))
-        joins = np.zeros(len(ids), bool)  # whether a word and the next one may be a frequent pair
-        ok = np.flatnonzero(goes_on[1:] & (ids[1:] > 0) & (ids[:-1] > 0))
-        h = h[at]
-        with np.errstate(over="ignore"):
-            joins[ok] = may_be(pairs.value, flat.mix(h[ok] * flat.BASE + h[ok + 1]))
-        alone = np.bincount(ids[~joins], minlength=len(names) + 1)[1:]
-        some = np.flatnonzero(alone)
-        yield common.batch(WINDOWS, own.take(pa.array(np.zeros(len(some), np.int64))), names.take(pa.array(some)), pa.array(alone[some]))
-        begins = np.flatnonzero(joins)
-        if not len(begins):
-            continue
-        table, alive = [ids[begins]], np.ones(len(begins), bool)
-        for k in range(1, longest):
-            alive[alive] = joins[begins[alive] + k - 1]
-            table.append(np.where(alive, ids[np.minimum(begins + k, len(ids) - 1)], 0))
-        # equal windows get equal codes, one word more at a time
-        code = table[0].astype(np.int64)
-        for c in table[1:]:
-            code = pa.array(code * (len(names) + 1) + c).dictionary_encode().indices.to_numpy().astype(np.int64)
-        count = np.bincount(code)
-        first = np.empty(len(count), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        cells = [names.take(pa.array(c[first] - 1, mask=c[first] == 0)) for c in table]
-        yield common.batch(WINDOWS, own.take(pa.array(np.zeros(len(count), np.int64))),
-                           pc.binary_join_element_wise(*cells, TAB, null_handling="skip"), pa.array(count))
-
-
-def counted_windows(texts: DataFrame, words, pairs, longest: int) -> DataFrame:
+        lengths, _, _ = growing(word_hashes(lang, found.dictionary)[at], goes_on, [m.value for m in maps])
+        names = text(found.dictionary)
+        for k, places in enumerate(lengths, 1):
+            # those that go no further
+            if k < len(lengths):
+                places = np.setdiff1d(places, lengths[k], assume_unique=True)
+            if not len(places):
+                continue
+            # equal windows get equal codes, one word more at a time
+            table = [at[places + i] for i in range(k)]
+            code = table[0].astype(np.int64)
+            for c in table[1:]:
+                code = pa.array(code * len(names) + c).dictionary_encode().indices.to_numpy().astype(np.int64)
+            count = np.bincount(code)
+            some = np.flatnonzero(count)
+            first = np.empty(len(count), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            cells = [names.take(pa.array(c[first[some]])) for c in table]
+            joined = pc.binary_join_element_wise(*cells, TAB) if k > 1 else cells[0]
+            yield common.batch(WINDOWS, own.take(pa.array(np.zeros(len(some), np.int64))), joined, pa.array(count[some]))
+
+
+def counted_windows(texts: DataFrame, maps: list) -> DataFrame:
     """(lang, words, n) of all windows, given the broadcast maps; null words count every word of a lang."""
-    return common.checkpointed(texts.mapInArrow(partial(_windows, words=words, pairs=pairs, longest=longest), WINDOWS)
-                               .groupBy("lang", "words").agg(F.sum("n").alias("n")))
+    return common.checkpointed(texts.mapInArrow(partial(_windows, maps=maps), WINDOWS).groupBy("lang", "words").agg(F.sum("n").alias("n")))
 
 
 # ------------------------------------------------------------------ sorted streams
@@ -383,9 +379,10 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[
     """(candidates with the counts of their parts and extensions, word totals by lang)."""
     common.bounded_batches(docs.sparkSession)
     texts = common.take(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words = frequent_map(texts, least)
-    pairs = frequent_map(texts, least, words)
-    windows = counted_windows(texts, words, pairs, longest)
+    maps: list = []
+    for _ in range(longest):
+        maps.append(frequent_map(texts, least, maps))
+    windows = counted_windows(texts, maps)
     totals = windows.filter("words is null").select("lang", F.col("n").alias("total"))
     windows = windows.filter("words is not null")
     counts = common.checkpointed(phrase_counts(windows, least, longest))
