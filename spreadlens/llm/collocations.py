@@ -48,6 +48,8 @@ MAP_BITS, RANGE_BITS = 27, 8
 RANGES = 1 << RANGE_BITS
 #: Phrases whose buckets a task counts together.
 COUNTED = 1 << 22
+#: Rows in a batch of windows that a task hands on.
+HANDED = 1 << 16
 #: Bytes of text whose windows a task counts together.
 TOGETHER = 8 << 20
 #: A language's best phrases are found in so many parts first.
@@ -204,6 +206,24 @@ def frequent_map(texts: DataFrame, least: int, maps: list = ()):
 # ------------------------------------------------------------------ windows
 
 def _windows(batches, maps):
+    """``_flush_windows`` summed over a task's texts, up to about ``COUNTED`` rows at once."""
+    def emit(parts):
+        t = pa.Table.from_batches(parts).group_by(["lang", "words"], use_threads=False).aggregate([("n", "sum")])
+        for b in t.select(["lang", "words", "n_sum"]).combine_chunks().to_batches(max_chunksize=HANDED):
+            yield pa.RecordBatch.from_arrays(b.columns, schema=common.arrow_schema(WINDOWS))
+
+    held, size = [], 0
+    for b in _flush_windows(batches, maps):
+        held.append(b)
+        size += len(b)
+        if size >= COUNTED:
+            yield from emit(held)
+            held, size = [], 0
+    if held:
+        yield from emit(held)
+
+
+def _flush_windows(batches, maps):
     """Counts of the longest phrase that may be frequent at each word, as texts joined by tabs; a null window counts all words."""
     for lang, found, goes_on in word_stream(batches):
         own = pa.array([lang], pa.string())
