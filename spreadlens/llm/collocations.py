@@ -46,6 +46,8 @@ SCORE = 2_000_000
 #: the map, rare ones pass too and are left out after counting.
 MAP_BITS, RANGE_BITS = 27, 8
 RANGES = 1 << RANGE_BITS
+#: Buckets of a range that are kept as lists.
+FEW = 1 << 20
 #: Phrases whose buckets a task counts together.
 COUNTED = 1 << 22
 #: Rows in a batch of windows that a task hands on.
@@ -173,24 +175,55 @@ def _bucket_counts(batches, maps, least):
         yield from _blobs(held, least)
 
 
+class Buckets:
+    """Counts, up to ``least``, of the buckets of one range: as lists while there are few, then as one array."""
+
+    def __init__(self, least: int):
+        self.least, self.kind = least, np.min_scalar_type(2 * least)
+        self.places: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size, self.dense = 0, None
+
+    def add(self, places: np.ndarray, n: np.ndarray) -> None:
+        """``places`` differ from each other."""
+        if self.dense is None:
+            self.places.append(places)
+            self.counts.append(n)
+            self.size += len(places)
+            if self.size <= FEW:
+                return
+            self.dense = np.zeros(1 << (32 - RANGE_BITS), self.kind)
+            for p, n in zip(self.places, self.counts, strict=True):
+                self.add(p, n)
+            self.places, self.counts = [], []
+            return
+        at = places & np.uint32(len(self.dense) - 1)
+        self.dense[at] = np.minimum(self.dense[at] + n, self.least)
+
+    def bits(self) -> bytes:
+        share = 32 - MAP_BITS
+        if self.dense is not None:
+            near = (self.dense.reshape(-1, 1 << share) >= self.least).any(1)
+        else:
+            keys, at = np.unique(np.concatenate(self.places), return_inverse=True)
+            often = keys[np.bincount(at, np.concatenate(self.counts)) >= self.least]
+            near = np.zeros(1 << (MAP_BITS - RANGE_BITS), bool)
+            near[(often & np.uint32((1 << (32 - RANGE_BITS)) - 1)) >> np.uint32(share)] = True
+        return np.packbits(near).tobytes()
+
+
 def _frequent_bits(batches, least):
     """The bitmap of each range's buckets with a count of ``least``, from blobs sorted by range; memory doesn't grow with them."""
-    def bits():
-        near = (total.reshape(-1, 1 << (32 - MAP_BITS)) >= least).any(1)
-        return common.batch(BITS, [now], [np.packbits(near).tobytes()])
-
-    now, total = None, np.zeros(1 << (32 - RANGE_BITS), np.min_scalar_type(2 * least))
+    now, have = None, None
     for b in batches:
         for r, keys, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if r != now:
-                if now is not None:
-                    yield bits()
-                now = r
-                total[:] = 0
-            at = np.frombuffer(keys, np.uint32) & np.uint32(len(total) - 1)
-            total[at] = np.minimum(total[at] + np.frombuffer(n, total.dtype), least)
-    if now is not None:
-        yield bits()
+                if have is not None:
+                    yield common.batch(BITS, [now], [have.bits()])
+                now, have = r, Buckets(least)
+            have.add(np.frombuffer(keys, np.uint32), np.frombuffer(n, have.kind))
+    if have is not None:
+        yield common.batch(BITS, [now], [have.bits()])
 
 
 def frequent_map(texts: DataFrame, least: int, maps: list = ()):
