@@ -50,8 +50,8 @@ RANGES = 1 << RANGE_BITS
 FEW = 1 << 20
 #: Phrases whose buckets a task counts together.
 COUNTED = 1 << 22
-#: Rows in a batch of windows that a task hands on.
-HANDED = 1 << 16
+#: Rows of windows that a task sums before it hands them on, and in a batch of those.
+HELD, HANDED = 1 << 20, 1 << 16
 #: Bytes of text whose windows a task counts together.
 TOGETHER = 8 << 20
 #: A language's best phrases are found in so many parts first.
@@ -239,7 +239,7 @@ def frequent_map(texts: DataFrame, least: int, maps: list = ()):
 # ------------------------------------------------------------------ windows
 
 def _windows(batches, maps):
-    """``_flush_windows`` summed over a task's texts, up to about ``COUNTED`` rows at once."""
+    """``_flush_windows`` summed over a task's texts, up to about ``HELD`` rows at once."""
     def emit(parts):
         t = pa.Table.from_batches(parts).group_by(["lang", "words"], use_threads=False).aggregate([("n", "sum")])
         for b in t.select(["lang", "words", "n_sum"]).combine_chunks().to_batches(max_chunksize=HANDED):
@@ -249,7 +249,7 @@ def _windows(batches, maps):
     for b in _flush_windows(batches, maps):
         held.append(b)
         size += len(b)
-        if size >= COUNTED:
+        if size >= HELD:
             yield from emit(held)
             held, size = [], 0
     if held:
