@@ -77,9 +77,11 @@ def upsert_batches(state_root: str, key: str = "id", buckets: int = STATE_BUCKET
     """A ``foreachBatch`` function upserting judgements into ``state_root``.
 
     The state lies in hash buckets of the key.  Each micro-batch: the latest
-    judgement per id wins (``max_by`` on the time); the buckets it touches are
-    merged with their last committed version by a full outer join + coalesce
-    and written as a new version, others stay where they are.  The touched
+    judgement per id wins (a tie goes to the greater row, a null time is the
+    oldest); the buckets it touches are merged with their last committed version by
+    a full outer join and written as a new version, others stay where they are.  The
+    state keeps ``judged_at``, so an older judgement that arrives in a later batch changes
+    nothing.  The touched
     questions are re-scored into ``state_root/scores/epoch=…``.  A retried epoch
     starts from the versions before it and replaces what it wrote, so nothing
     is counted twice; a state that can't be read is an error, never an empty one.
@@ -88,16 +90,20 @@ def upsert_batches(state_root: str, key: str = "id", buckets: int = STATE_BUCKET
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy(key).agg(*[F.max_by(c, "judged_at").alias(c) for c in batch.columns if c not in (key, "judged_at")])
+        others = [c for c in batch.columns if c not in (key, "judged_at")]
+        latest = batch.groupBy(key).agg(F.max(F.struct("judged_at", *others)).alias("w")).select(key, "w.*")
         latest = latest.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")).checkpoint()
         touched = [r["bucket"] for r in latest.select("bucket").distinct().collect()]  # at most ``buckets`` rows
         current = read_buckets(spark, f"{root}/data", upto=epoch, only=touched)
         if current is None:
             merged = latest
         else:
-            cols = [c for c in current.columns if c != key]
+            # whichever was judged later wins, whenever it arrives; what it leaves null stays as it was
+            late = F.col("n.judged_at") < F.col("o.judged_at")
+            late = F.coalesce(late, F.col("n.judged_at").isNull() & F.col("o.judged_at").isNotNull())
             merged = (current.alias("o").join(latest.alias("n"), key, "full_outer")
-                      .select(key, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in cols])
+                      .select(key, F.greatest("n.judged_at", "o.judged_at").alias("judged_at"),
+                              *[F.when(late, F.coalesce(f"o.{c}", f"n.{c}")).otherwise(F.coalesce(f"n.{c}", f"o.{c}")).alias(c) for c in others])
                       .withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")))
         write_version(merged, f"{root}/data", epoch + 1, "bucket")
         fresh = read_buckets(spark, f"{root}/data", upto=epoch + 1)

@@ -46,6 +46,16 @@ def test_upsert_batches_retry_and_scores(spark):
         assert [(r.prompt_id, r.n_samples, r.n_correct) for r in scores] == [("a", 3, 2)]
 
 
+def test_an_older_judgement_that_arrives_later_does_not_win(spark):
+    root = tempfile.mkdtemp(prefix="late-", dir="/tmp")
+    run = S.upsert_batches(root, buckets=2)
+    run(spark.createDataFrame([("a_1", "a", "correct", 5, 3, 7), ("a_2", "a", "correct", 5, 3, None)], SCHEMA), 0)
+    run(spark.createDataFrame([("a_1", "a", "refused", 1, 3, 6), ("a_2", "a", "refused", 1, 3, 2)], SCHEMA), 1)
+    run(spark.createDataFrame([("a_2", "a", "incorrect", 2, 3, None), ("a_1", "a", "incorrect", 2, 3, 7)], SCHEMA), 2)
+    got = {r.id: (r.correctness, r.judged_at) for r in S.read_state(spark, root).collect()}
+    assert got == {"a_1": ("incorrect", 7), "a_2": ("refused", 2)}
+
+
 def test_a_state_that_cannot_be_read_is_an_error(spark):
     root = tempfile.mkdtemp(prefix="state-", dir="/tmp")
     run = S.upsert_batches(root, buckets=1)
