@@ -91,6 +91,19 @@ def load_dataframe(spark: SparkSession, path: str, schema: T.StructType | None =
     raise ValueError(f"Unsupported file type: {path}")
 
 
+def load_vector_map(spark: SparkSession, path: str) -> DataFrame:
+    """A10: (id, vec) of JSON files that each hold one object of id → vector, or such an object under ``data``.
+
+    A file is one JSON value, so one task reads it; many files spread.  A vector that is no list of numbers is an error.
+    """
+    kind = "map<string,array<double>>"
+    fail = {"mode": "FAILFAST"}
+    whole = spark.read.text(path, wholetext=True)
+    wrapped = F.get_json_object("value", "$.data").startswith("{")
+    found = F.when(F.coalesce(wrapped, F.lit(False)), F.from_json("value", f"data {kind}", fail)["data"]).otherwise(F.from_json("value", kind, fail))
+    return whole.select(F.explode(found).alias("id", "vec"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Vertical concatenation by column name, missing columns filled with null."""
     out = frames[0]

@@ -95,3 +95,16 @@ def test_jsonl_csv_and_append(spark):
         tables.load_responses(spark, f"{root}/r.jsonl", ["nothing"])
     with pytest.raises(ValueError, match="Unsupported"):
         tables.load_dataframe(spark, f"{root}/r.xlsx")
+
+
+def test_vector_maps_with_and_without_wrapper(spark):
+    root = tempfile.mkdtemp(prefix="maps-", dir="/tmp")
+    for name, text in {"plain": '{"q1": [1.5, 2], "data": [0.25]}', "wrapped": '{"data": {"q2": [3, -4e-1], "q3": []}}'}.items():
+        with open(os.path.join(root, f"{name}.json"), "w") as out:
+            out.write(text)
+    got = {r.id: r.vec for r in tables.load_vector_map(spark, root).collect()}
+    assert got == {"q1": [1.5, 2.0], "data": [0.25], "q2": [3.0, -0.4], "q3": []}
+    with open(os.path.join(root, "bad.json"), "w") as out:
+        out.write('{"q4": "text"}')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        tables.load_vector_map(spark, root).collect()
