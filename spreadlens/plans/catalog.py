@@ -89,6 +89,26 @@ def q_responses_jsonl(spark, sf):
     return got.select("id", "prompt_id", "dataset", "correctness", "adversarial", "correctness_score", "answer_len")
 
 
+@query("vector_map")
+def q_vector_map(spark, sf):
+    """A10: id → vector maps written as JSON, every other one in a ``data`` wrapper, loaded and joined to metadata."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tables import load_vector_map
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    emb = read_table(spark, sf, "embeddings", ["vec_id", "label", "embedding"])
+    block = F.floor(F.col("vec_id") / 1024)
+    entry = F.struct(F.col("vec_id").cast("string").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    maps = (emb.where(F.col("embedding").isNotNull()).groupBy(block.alias("block"))
+            .agg(F.map_from_entries(F.collect_list(entry)).alias("m")))
+    text = F.when(F.col("block") % 2 == 0, F.to_json("m")).otherwise(F.to_json(F.struct(F.col("m").alias("data"))))
+    maps.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    got = load_vector_map(spark, path).withColumn("vec_id", F.col("id").cast("bigint"))
+    x = got.join(emb.select("vec_id", "label"), "vec_id")
+    return rounded(x.select("vec_id", "label", F.size("vec").cast("bigint").alias("n"),
+                            F.aggregate("vec", F.lit(0.0), lambda a, v: a + v).alias("total"), norm("vec").alias("norm")))
+
+
 @query("union_datasets")
 def q_union(spark, sf):
     """Vertical concat of per-source frames with missing columns filled."""

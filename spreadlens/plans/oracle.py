@@ -317,6 +317,11 @@ def build() -> dict[str, str]:
     O["responses_jsonl"] = with_([RESPONSES], """
       SELECT id, regexp_replace(id, '_[^_]*$', '') AS prompt_id, dataset, correctness, adversarial, correctness_score, answer_len FROM responses_fx""")
 
+    O["vector_map"] = rnd("""
+      SELECT vec_id, label, len(embedding) AS n, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS total,
+             sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm
+      FROM embeddings WHERE embedding IS NOT NULL""", ["total", "norm"])
+
     O["union_datasets"] = with_([RESPONSES], """
       SELECT id, dataset, answer_len, CAST(NULL AS VARCHAR) AS correctness FROM responses_fx WHERE dataset = 'ds0'
       UNION ALL SELECT id, dataset, CAST(NULL AS INTEGER), correctness FROM responses_fx WHERE dataset <> 'ds0'""")
