@@ -31,10 +31,9 @@ def ks_tests(long: DataFrame, keys: list[str], value: str = "value", label: str
     counts = score_counts(long, keys, value, label)
     cum = prefix_sums(counts, keys, ["score"], {"cum1": F.col("c1"), "cum0": F.col("c0")})
     tot = counts.groupBy(*keys).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-    x = cum.join(tot, keys)
+    x = cum.join(tot.where((F.col("n1") >= 2) & (F.col("n0") >= 2)), keys)
     d = x.groupBy(*keys, "n1", "n0").agg(
         F.max(F.abs(F.col("cum1") / F.col("n1") - F.col("cum0") / F.col("n0"))).alias("ks_stat"))
-    d = d.where((F.col("n1") >= 2) & (F.col("n0") >= 2))
     m = n_tests or 1
     p = ks_pvalue("ks_stat", "n1", "n0")
     return d.select(*keys, "n1", "n0", "ks_stat", p.alias("p_value")).select(
