@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -35,10 +36,13 @@ from pyspark.sql import functions as F
 
 from .batch_linear import SCORES, named
 from .partials import EVERY, Rows, Split
+from .tiled_graph import few_rows
 
 BINS = 64
 #: Bytes of a chunk's histogram and units in it, units in flight at once, rounds between two written scores.
 CHUNK_BYTES, CHUNK_UNITS, WAVE, KEEP = 4 << 20, 256, 16384, 10
+#: Rows that a record may hold for a task to grow trees alone.
+ALONE_ROWS = 32768
 BLOCKS = "part int, n int, ids array<string>, y binary, bins binary, draws binary, trains binary, scores binary"
 HISTS = "chunk int, hist binary"
 SPLITS = "chunk int, feature binary, bin binary, sums binary"
@@ -221,7 +225,7 @@ class Wave:
         place = np.arange(len(nodes))
         at = np.maximum(np.cumsum(nodes * cells * 24) // CHUNK_BYTES, place // CHUNK_UNITS)
         at = np.maximum(at, place * self.parts // max(len(nodes), 1))
-        return [u for u in np.split(place, np.flatnonzero(np.diff(at)) + 1) if len(u)]
+        return [u for u in np.split(place, np.flatnonzero(np.diff(at)) + 1) if len(u) and nodes[u].any()]
 
     def trained(self, k: Block, units: np.ndarray) -> np.ndarray:
         """Which rows train each of the units (rows x units)."""
@@ -349,16 +353,20 @@ def node_value(models: list[Ensemble], a: np.ndarray, b: np.ndarray) -> np.ndarr
 class Grower:
     """Binned blocks of rows, and the jobs over them."""
 
-    def __init__(self, rows: DataFrame, models: list[Ensemble], width: int, columns: list[str], bins: int = BINS):
+    def __init__(self, rows: DataFrame, models: list[Ensemble], width: int, columns: list[str], bins: int = BINS, alone_rows: int | None = None):
+        alone_rows = ALONE_ROWS if alone_rows is None else alone_rows
         self.spark, self.models, self.width = rows.sparkSession, models, width
         edges = bin_edges(rows, width, bins)
         self.bins = max((len(e) for e in edges), default=0) + 1
         self.splits = sorted({m.split for m in models}, key=str)
         self.column = {m: i for i, m in enumerate(i for i, e in enumerate(models) if e.kind != "forest")}
+        few = rows.limit(alone_rows + 1).count() <= alone_rows
+        rows = rows.coalesce(1) if few else rows
         self.parts = max(1, self.spark.sparkContext.defaultParallelism // max(1, rows.rdd.getNumPartitions()))
-        self.blocks = blocks(rows, edges, self.splits, columns, len(self.column), self.parts)
+        with few_rows(self.spark, alone_rows) if few else nullcontext():
+            self.blocks = blocks(rows, edges, self.splits, columns, len(self.column), self.parts)
         self.partitions = self.blocks.rdd.getNumPartitions()
-        #: Every part has all its rows, at most an Arrow batch of them, in one record: trees grow within a task then.
+        #: Every part has all its rows in one record: trees grow within a task then.
         self.alone = self.blocks.count() <= self.parts
         self.jobs = 0
 
@@ -436,8 +444,10 @@ class Grower:
 
                     def level(w, features, depth):
                         running = None if w.models[w.model[0]].kind == "forest" else current_scores(w, k)
-                        every = np.arange(len(w.model))
-                        return best_splits(w, histogram(w, k, every, features, bins, running).reshape(3, -1, len(features), bins), every, features, depth)
+                        # a few units at a time: a deep tree has many open nodes
+                        best = [best_splits(w, histogram(w, k, u, features, bins, running).reshape(3, -1, len(features), bins), u, features, depth)
+                                for u in w.chunks(len(features) * bins)]
+                        return tuple(np.concatenate(c) for c in zip(*best, strict=True))
 
                     for c in range(k.part, len(chunks), base.parts):
                         u = chunks[c]

@@ -409,7 +409,7 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, id_co
     for r in range(repeats):
         at = row_numbers(test.withColumn("_u", md5_int(F.lit(seed), F.lit(r), F.col(id_col))), [], ["_u", id_col], "_i").drop("_u")
         after = at.select((F.pmod(F.col("_i") - 2, F.lit(n)) + 1).alias("_i"), *[F.col(f).alias(f"_next_{f}") for f in features])
-        x = at.join(after, "_i")
+        x = at.join(after, "_i").checkpoint()  # every feature reads it
         for f in features:
             one = score(x.withColumn(f, F.col(f"_next_{f}"))).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(label).alias("y"), "p")
             dealt = one if dealt is None else dealt.unionByName(one)
