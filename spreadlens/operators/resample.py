@@ -11,9 +11,15 @@ bootstraps) with the cluster in mind.
 from __future__ import annotations
 
 import math
+from functools import partial
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import MD5_SPAN, md5_int, md5_uniform
 from .ranking import prefix_sums
@@ -22,6 +28,8 @@ from .rollup import exact_quantiles
 #: Bins of a draw; only the rows of one bin a replicate are ranked.
 DRAW_BINS = 4096
 TIE_EPS = 1e-12
+#: Ids whose draws are in memory at once, and the sums of a bootstrap by replicate.
+IDS, SUMS = 256, ["_s1", "_w1", "_s0", "_w0"]
 
 
 def permutation_test(df: DataFrame, keys: list[str], id_col: str, value: str, label: str,
@@ -75,6 +83,51 @@ def poisson_one(u: Column, top: int = 12) -> Column:
     return out
 
 
+def _poisson_sums(batches, keys: int, n_boot: int, seed: int):
+    """For rows (keys, id, value, class): each group's weighted sums and weights of both classes by replicate, a few ids at a time."""
+    ends = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    heads = [f"{seed}|{r}".encode() for r in range(1, n_boot + 1)]
+    kinds = None
+
+    def counts(ids: list) -> np.ndarray:
+        """``poisson_one(md5_uniform(seed, rep, id))`` for ids x replicates; like ``concat_ws``, a null id adds nothing."""
+        tails = [b"" if i is None else b"|" + i.encode() for i in ids]
+        first = np.frombuffer(b"".join([md5(h + t).digest()[:4] for t in tails for h in heads]), ">u4")
+        return np.searchsorted(ends, (first >> 4) / float(MD5_SPAN), side="right").reshape(len(ids), n_boot).astype(float)
+
+    def rows(held: dict) -> pa.RecordBatch:
+        columns = [pa.array([g[k] for g in held], kinds[k]) for k in range(keys)]
+        columns += [pa.array([list(s[j]) for s in held.values()], pa.list_(pa.float64())) for j in range(len(SUMS))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    for b in batches:
+        kinds, names = [c.type for c in b.columns[:keys]], [*b.schema.names[:keys], *SUMS]
+        own = list(zip(*[c.to_pylist() for c in b.columns[:keys]], strict=True)) if keys else [()] * len(b)
+        of = {g: i for i, g in enumerate(dict.fromkeys(own))}
+        group = np.array([of[g] for g in own], int)
+        coded = pc.dictionary_encode(b.column(keys), null_encoding="encode")
+        place, ids = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        value, positive = b.column(keys + 1).to_numpy(), b.column(keys + 2).to_numpy() == 1
+        names_of, held = list(of), {}
+        for lo in range(0, len(ids), IDS):
+            at = np.flatnonzero((place >= lo) & (place < lo + IDS))
+            at = at[np.argsort(group[at], kind="stable")]
+            drawn = counts(ids[lo:lo + IDS])
+            for rows_of in np.split(at, np.flatnonzero(np.diff(group[at])) + 1):
+                g = names_of[group[rows_of[0]]]
+                total = held.setdefault(g, np.zeros((len(SUMS), n_boot)))
+                for j, side in ((0, positive[rows_of]), (2, ~positive[rows_of])):
+                    r = rows_of[side]
+                    found, back = np.unique(place[r] - lo, return_inverse=True)
+                    total[j] += np.bincount(back, value[r], len(found)) @ drawn[found]
+                    total[j + 1] += np.bincount(back, minlength=len(found)) @ drawn[found]
+                if len(held) >= 64:
+                    yield rows(held)
+                    held = {}
+        if held:
+            yield rows(held)
+
+
 def bootstrap_mean_diff(df: DataFrame, keys: list[str], id_col: str, value: str, label: str,
                         n_boot: int = 1000, seed: int = 137) -> DataFrame:
     """H4/H5: bootstrap of mean(value|1) − mean(value|0), with class sizes.
@@ -90,11 +143,13 @@ def bootstrap_mean_diff(df: DataFrame, keys: list[str], id_col: str, value: str,
     base = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(
         *keys, F.col(id_col).cast("string").alias("_id"), F.col(value).cast("double").alias("_v"),
         F.col(label).cast("int").alias("_y"))
-    w = poisson_one(md5_uniform(F.lit(seed), F.col("rep"), F.col("_id")))
-    draws = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep")).withColumn("_w", w)
     one = F.col("_y") == 1
-    sums = draws.groupBy(*keys, "rep").agg(*[F.sum(F.when(c, x)).alias(n) for n, c, x in (
-        ("s1", one, F.col("_w") * F.col("_v")), ("w1", one, F.col("_w")), ("s0", ~one, F.col("_w") * F.col("_v")), ("w0", ~one, F.col("_w")))])
+    # the draws are the work, whatever the rows weigh: every core gets its share of the ids, and an id draws once for all of its rows
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    kinds = T.StructType([base.schema[k] for k in keys] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in SUMS])
+    added = base.repartition(parts, "_id").sortWithinPartitions("_id").mapInArrow(partial(_poisson_sums, keys=len(keys), n_boot=n_boot, seed=seed), kinds)
+    sums = (added.select(*keys, F.posexplode(F.arrays_zip(*SUMS)).alias("rep", "_z")).groupBy(*keys, "rep")
+            .agg(*[F.sum(F.col("_z")[c]).alias(c[1:]) for c in SUMS]))
     per_rep = sums.select(*keys, (F.try_divide("s1", "w1") - F.try_divide("s0", "w0")).alias("delta")).where(F.col("delta").isNotNull())
     obs = base.groupBy(*keys).agg(
         (F.avg(F.when(one, F.col("_v"))) - F.avg(F.when(~one, F.col("_v")))).alias("delta_obs"),
