@@ -14,6 +14,7 @@ rows' mean and population deviation, with a free intercept; ``balanced`` weighs
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .partials import EVERY, Rows, Split, summed
+from .tiled_graph import few_rows
 
 #: Bytes of sums that one pass returns.
 GROUP_BYTES = 64 << 20
@@ -65,31 +67,65 @@ class Spread:
         self.sd = np.sqrt(np.maximum(np.diag(self.cov), 0))
 
 
-def pivot_of(rows: DataFrame, width: int, columns: list[str]) -> np.ndarray:
+class Packed:
+    """A row matrix without ids, for the passes of a fit: one record a batch of rows, with the bits of which rows train under ``splits``.
+
+    A pass then reads a few long binaries and no strings.
+    """
+
+    def __init__(self, rows: DataFrame, splits: list[Split], width: int, columns: list[str]):
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    r = Rows(b, width, columns)
+                    trains = np.packbits(np.stack([r.trains(s) for s in splits], 1) if splits else np.zeros((len(r), 0), bool), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (r.y, r.x, trains)], names=["y", "x", "trains"])
+
+        self.splits, self.width = splits, width
+        self.rows = rows.mapInArrow(run, "y binary, x binary, trains binary").checkpoint()
+
+    def summed(self, kernel: Callable[[np.ndarray, np.ndarray, dict], np.ndarray]) -> np.ndarray | None:
+        """The sum of ``kernel(x, y, which rows train by split)`` over all records; None without rows."""
+        splits, width = self.splits, self.width
+
+        def added(b):
+            total = None
+            for raw_y, raw_x, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                y = np.frombuffer(raw_y)
+                bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, len(splits)), axis=0, count=len(y)).astype(bool) if splits else None
+                v = kernel(np.frombuffer(raw_x).reshape(len(y), width), y, {s: bits[:, i] for i, s in enumerate(splits)})
+                total = v if total is None else total + v
+            return total
+
+        with few_rows(self.rows.sparkSession):
+            return summed(self.rows, added)
+
+
+def pivot_of(rows: Packed) -> np.ndarray:
     """The mean of all rows: sums are taken around it, so that they lose no digits."""
-    def kernel(b):
-        x = Rows(b, width, columns).x
+    def kernel(x, y, trains):
         if not np.isfinite(x).all():
             raise ValueError("linear models need finite features; impute them first")
         return np.append(x.sum(0), len(x))
 
-    total = summed(rows, kernel)
-    return np.zeros(width) if total is None else total[:-1] / max(total[-1], 1)
+    total = rows.summed(kernel)
+    return np.zeros(rows.width) if total is None else total[:-1] / max(total[-1], 1)
+
 
+def spreads(rows: Packed, pivot: np.ndarray) -> list[Spread]:
+    splits, width = rows.splits, rows.width
 
-def spreads(rows: DataFrame, splits: list[Split], width: int, columns: list[str], pivot: np.ndarray) -> list[Spread]:
-    def kernel(b):
-        r = Rows(b, width, columns)
-        x = r.x - pivot
+    def kernel(x, y, trains):
+        x = x - pivot
         out = []
         for s in splits:
-            m = r.trains(s)
+            m = trains[s]
             own = x[m]
-            n1 = r.y[m].sum()
+            n1 = y[m].sum()
             out.append(np.concatenate([[m.sum() - n1, n1], own.sum(0), (own.T @ own).ravel()]))
         return np.concatenate(out)
 
-    total = summed(rows, kernel)
+    total = rows.summed(kernel)
     size = 2 + width + width * width
     total = np.zeros(size * len(splits)) if total is None else total
     return [Spread(total[i * size:(i + 1) * size], width) for i in range(len(splits))]
@@ -232,8 +268,9 @@ def named(df: DataFrame, rows: list[tuple[str, ...]], names: list[str]) -> DataF
 def components(rows: DataFrame, split: Split, k: int, width: int, columns: list[str] = (), scaled: bool = True) -> DataFrame:
     """The row matrix turned onto the first ``k`` principal axes of the rows that train under ``split``."""
     columns = list(columns)
-    pivot = pivot_of(rows, width, columns)
-    spread = spreads(rows, [split], width, columns, pivot)[0]
+    packed = Packed(rows, [split], width, columns)
+    pivot = pivot_of(packed)
+    spread = spreads(packed, pivot)[0]
     if not scaled:
         spread.sd = np.ones(width)
     turn = linear_map(Linear((), tuple(range(width)), split, components=k), spread, width)[:, :-1]
@@ -270,14 +307,15 @@ def calibrated_margins(rows: DataFrame, names: tuple[str, ...], keys: list[str],
 def fit(rows: DataFrame, models: list[Linear], width: int, columns: list[str] = ()) -> Fitted:
     """Fit all ``models`` on a row matrix of ``width`` features whose splits are of ``columns``."""
     columns = list(columns)
-    pivot = pivot_of(rows, width, columns)
     splits = sorted({m.split for m in models}, key=str)
-    own = dict(zip(splits, spreads(rows, splits, width, columns, pivot), strict=True))
+    packed = Packed(rows, splits, width, columns)
+    pivot = pivot_of(packed)
+    own = dict(zip(splits, spreads(packed, pivot), strict=True))
     states = [State(m, own[m.split], width) for m in models]
     passes = 0
     while passes < PASSES and not all(s.done for s in states):
         for group in groups([s for s in states if not s.done]):
-            for s, sums in zip(group, newton_sums(rows, group, width, columns, pivot), strict=True):
+            for s, sums in zip(group, newton_sums(packed, group, pivot), strict=True):
                 s.advance(*sums)
         passes += 1
     for s in states:
@@ -298,26 +336,23 @@ def groups(states: list[State]) -> list[list[State]]:
     return out
 
 
-def newton_sums(rows: DataFrame, states: list[State], width: int, columns: list[str], pivot: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def newton_sums(rows: Packed, states: list[State], pivot: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Loss, gradient and Hessian of each model where it stands, on its features and a one; one Spark job."""
-    coef = np.stack([s.effective() for s in states], 1)
+    width, coef = rows.width, np.stack([s.effective() for s in states], 1)
     jobs = [(s.model.split, np.array([*s.model.features, width]), s.weights, s.model.loss) for s in states]
-    splits = sorted({s.model.split for s in states}, key=str)
 
-    def kernel(b):
-        r = Rows(b, width, columns)
-        x = np.append(r.x - pivot, np.ones((len(r), 1)), axis=1)
-        trains = {s: r.trains(s) for s in splits}
+    def kernel(x, y, trains):
+        x = np.append(x - pivot, np.ones((len(x), 1)), axis=1)
         logits, out = x @ coef, []
         for m, (split, f, (w0, w1), loss) in enumerate(jobs):
             own = trains[split]
-            z, y, part = logits[own, m], r.y[own], x[np.ix_(own, f)]
-            w = np.where(y > 0, w1, w0)
+            z, t, part = logits[own, m], y[own], x[np.ix_(own, f)]
+            w = np.where(t > 0, w1, w0)
             if loss == "logistic":
                 p = _sigmoid(z)
-                value, slope, bend = np.logaddexp(0, z) - y * z, p - y, p * (1 - p)
+                value, slope, bend = np.logaddexp(0, z) - t * z, p - t, p * (1 - p)
             else:
-                side = 2 * y - 1
+                side = 2 * t - 1
                 short = np.maximum(1 - side * z, 0)
                 value, slope, bend = short**2, -2 * side * short, 2.0 * (short > 0)
             out.append([(w * value).sum()])
@@ -325,7 +360,7 @@ def newton_sums(rows: DataFrame, states: list[State], width: int, columns: list[
             out.append((part.T @ (part * (w * bend)[:, None])).ravel())
         return np.concatenate(out)
 
-    total, at, out = summed(rows, kernel), 0, []
+    total, at, out = rows.summed(kernel), 0, []
     for _, f, _, _ in jobs:
         k = len(f)
         loss, g, h = total[at], np.zeros(width + 1), np.zeros((width + 1, width + 1))
