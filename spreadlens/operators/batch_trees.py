@@ -9,6 +9,11 @@ of a wave, so forests of all folds and feature sets, or of hundreds of replicate
 Where one record holds all rows, no sums need be waited for: a task then grows its own units through all levels by
 the same steps, in one job.
 
+A forest without a depth limit has about as many nodes as rows, each with a table of all features and bins: far more than the rows
+themselves.  Up to ``DEEP_BYTES`` of binned rows its trees are grown by tasks that hold all of them (``deep_tree``): a node
+looks only at the bins of its own rows, and at the features it has drawn.  The same splits follow, and the task scores
+its trees at once, so that neither tables nor trees leave it, but a sum of votes a row.
+
 * Forests: Gini splits on Poisson(1) bootstrap weights, a random part of the features at each node, mean of the trees'
   shares.  A replicate's own bootstrap multiplies in as the rate of that Poisson draw.
 * Boosting: log loss; leaves take a Newton step; split gain of squared residuals (``gradient``) or of the regularised second-order
@@ -27,6 +32,7 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 from contextlib import nullcontext
+from copy import copy
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -43,9 +49,12 @@ BINS = 64
 CHUNK_BYTES, CHUNK_UNITS, WAVE, KEEP = 4 << 20, 256, 16384, 10
 #: Rows that a record may hold for a task to grow trees alone.
 ALONE_ROWS = 32768
+#: Bytes of binned rows that a task may hold to grow trees without a depth limit, and cells of its rows that it sorts at once.
+DEEP_BYTES, DEEP_CELLS = 64 << 20, 1 << 21
 BLOCKS = "part int, n int, ids array<string>, y binary, bins binary, draws binary, trains binary, scores binary"
 HISTS = "chunk int, hist binary"
 SPLITS = "chunk int, feature binary, bin binary, sums binary"
+VOTES = "model int, number bigint, part int, ids array<string>, y binary, trained binary, votes binary"
 EPS = 1e-12
 BOOSTED = ("gradient", "second_order", "adaboost")
 
@@ -348,6 +357,151 @@ def node_value(models: list[Ensemble], a: np.ndarray, b: np.ndarray) -> np.ndarr
     return rate * b / np.maximum(a + ridge, EPS)
 
 
+# ------------------------------------------------------------------ trees without a depth limit
+
+def purity(n: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Weighted Gini: larger sums of (n1^2 + n0^2) / n mean purer sides."""
+    return np.where(n > EPS, (n1 * n1 + (n - n1) ** 2) / np.maximum(n, EPS), 0.0)
+
+
+def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a > EPS, b / np.maximum(a, EPS), 0.5)
+
+
+@dataclass
+class Bag:
+    """The rows of a tree that are in open nodes: node, bins, whole weight and class of each, and each node's rows and sums."""
+
+    place: np.ndarray
+    bins: np.ndarray
+    a: np.ndarray
+    y: np.ndarray
+    nodes: int
+
+    def __post_init__(self):
+        self.c = np.bincount(self.place, minlength=self.nodes)
+        self.ta, self.tb = (np.bincount(self.place, v, self.nodes) for v in (self.a, self.a * self.y))
+
+    def of(self, nodes: np.ndarray) -> Bag:
+        """The rows of some nodes, numbered in that order."""
+        if len(nodes) == self.nodes:
+            return self
+        number = np.full(self.nodes, -1)
+        number[nodes] = np.arange(len(nodes))
+        place = number[self.place]
+        own = place >= 0
+        return Bag(place[own], self.bins[own], self.a[own], self.y[own], len(nodes))
+
+
+def best_cuts(bag: Bag, chosen: np.ndarray, bins: int, least: int) -> tuple[np.ndarray, ...]:
+    """Feature (-1: none), bin, and left side's two sums of each node's best split by its ``chosen`` features (ascending).
+
+    Equal gains go to the first feature and bin, as in ``best_splits``.
+    """
+    n, each = chosen.shape
+    if len(bag.place) * each > DEEP_CELLS and n > 1 and len(bag.place) < n * bins:
+        middle = int(np.clip(np.searchsorted(np.cumsum(bag.c), len(bag.place) / 2), 1, n - 1))
+        halves = [best_cuts(bag.of(at), chosen[at], bins, least) for at in (np.arange(middle), np.arange(middle, n))]
+        return tuple(np.concatenate(c) for c in zip(*halves, strict=True))
+    if len(bag.place) >= n * bins:
+        # tables of all bins: nodes have many rows
+        lc, la, lb = np.empty((3, n, each, bins))
+        for j in range(each):
+            cell = bag.place * bins + bag.bins[np.arange(len(bag.place)), chosen[bag.place, j]]
+            for out, v in ((lc, None), (la, bag.a), (lb, bag.a * bag.y)):
+                out[:, j] = np.cumsum(np.bincount(cell, v, n * bins).reshape(n, bins), 1)
+        lc, la, lb = (v.ravel() for v in (lc, la, lb))
+        cut = np.tile(np.arange(bins), n * each)
+        group = np.repeat(np.arange(n * each), bins)
+    else:
+        # the rows' own bins in order, weight and class beside them
+        cell = (bag.place[:, None] * each + np.arange(each)) * bins + bag.bins[np.arange(len(bag.place))[:, None], chosen[bag.place]]
+        code = ((cell << 5) | (bag.a.astype(np.int64) << 1 | bag.y.astype(np.int64))[:, None]).ravel()
+        code.sort()
+        weight, cell = (code >> 1) & 15, code >> 5
+        last = np.append(np.flatnonzero(cell[1:] != cell[:-1]), len(cell) - 1)[:len(cell)]
+        group, cut = np.divmod(cell[last], bins)
+        rows = np.repeat(bag.c, each)
+        start = (np.cumsum(rows) - rows)[group]
+        lc = last + 1 - start
+        la, lb = (np.append(0, np.cumsum(v)) for v in (weight, weight * (code & 1)))
+        la, lb = ((v[last + 1] - v[start]).astype(np.float64) for v in (la, lb))
+    node = group // each
+    ta, tb = bag.ta[node], bag.tb[node]
+    gain = purity(la, lb) + purity(ta - la, tb - lb) - purity(ta, tb)
+    ok = np.flatnonzero((lc >= least) & (bag.c[node] - lc >= least) & (gain > EPS))
+    most = np.full(n, -np.inf)
+    np.maximum.at(most, node[ok], gain[ok])
+    top = ok[gain[ok] == most[node[ok]]]
+    found, first = np.unique(node[top], return_index=True)
+    top = top[first]
+    out = np.full(n, -1), np.zeros(n, int), np.zeros(n), np.zeros(n)
+    for to, v in zip(out, (chosen[found, group[top] % each], cut[top], la[top], lb[top]), strict=True):
+        to[found] = v
+    return out
+
+
+def deep_splits(bag: Bag, number: int, level: int, bins: int, least: int) -> tuple[np.ndarray, ...]:
+    """``best_cuts`` of all nodes by the features that ``drawn_features`` gives them, without tables of the others."""
+    wide = bag.bins.shape[1]
+    part = max(1, math.isqrt(wide))
+    out = np.full(bag.nodes, -1), np.zeros(bag.nodes, int), np.zeros(bag.nodes), np.zeros(bag.nodes)
+    # one class, or too few rows: no feature can split
+    at = np.flatnonzero((bag.c >= 2 * max(least, 1)) & (bag.tb > 0) & (bag.tb < bag.ta))
+    if not len(at):
+        return out
+    with np.errstate(over="ignore"):
+        key = np.uint64(number) * np.uint64(1 << 20) + at.astype(np.uint64) * np.uint64(64) + np.uint64(level)
+    order = np.argsort(uniform(np.arange(wide).astype(np.uint64) + np.uint64(1), key, 3).T, 1, kind="stable")
+    chosen, after, bag = np.sort(order[:, :part], 1), part, bag.of(at)
+    while True:
+        found = best_cuts(bag, chosen, bins, least)
+        done = found[0] >= 0
+        for to, v in zip(out, found, strict=True):
+            to[at[done]] = v[done]
+        if done.all() or after >= wide:
+            return out
+        rest = np.flatnonzero(~done)  # on until one can split
+        at, order, bag = at[rest], order[rest], bag.of(rest)
+        chosen, after = order[:, after:after + 1], after + 1
+
+
+def deep_tree(k: Block, e: Ensemble, number: int, weight: np.ndarray, bins: int) -> Trees:
+    """A forest's tree on the rows with a ``weight``, node for node as ``grow_levels`` grows it."""
+    trees, features, rows, level = Trees(1), np.array(sorted(e.features)), np.flatnonzero(weight), 0
+    bag = Bag(np.zeros(len(rows), int), k.bins[rows][:, features], weight[rows].astype(np.float64), k.y[rows], 1)
+    while len(trees.open) and (e.depth is None or level < e.depth):
+        f, cut, la, lb = deep_splits(bag, number, level, bins, e.min_leaf)
+        split = trees.grow(np.where(f >= 0, features[f], -1), cut, share(bag.ta, bag.tb), share(la, lb), share(bag.ta - la, bag.tb - lb))
+        own = np.flatnonzero(split[bag.place])
+        place = bag.place[own]
+        side = bag.bins[own, f[place]] > cut[place]
+        bag = Bag(2 * (np.cumsum(split) - 1)[place] + side, bag.bins[own], bag.a[own], bag.y[own], len(trees.open))
+        level += 1
+    return trees
+
+
+def reached(t: Trees, bins: np.ndarray) -> np.ndarray:
+    """The leaf of one tree that each row reaches."""
+    at, live = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    while len(live):
+        now = at[live]
+        f = t.feature[now]
+        inner = f >= 0
+        live, now, f = live[inner], now[inner], f[inner]
+        at[live] = t.left[now] + (bins[live, f] > t.bin[now])
+    return at
+
+
+def joined(blocks: list[Block]) -> Block:
+    """The rows of several records, as one."""
+    out = copy(blocks[0])
+    out.n, out.ids = sum(k.n for k in blocks), None
+    for name in ("y", "bins", "draws", "trains", "scoped"):
+        setattr(out, name, np.concatenate([getattr(k, name) for k in blocks]))
+    return out
+
+
 # ------------------------------------------------------------------ on Spark
 
 class Grower:
@@ -368,6 +522,10 @@ class Grower:
         self.partitions = self.blocks.rdd.getNumPartitions()
         #: Every part has all its rows in one record: trees grow within a task then.
         self.alone = self.blocks.count() <= self.parts
+        #: Forests without a depth limit whose rows a task may hold.
+        self.deep = [m for m, e in enumerate(models) if e.kind == "forest" and e.depth is None]
+        if self.deep and (self.blocks.where("part = 0").agg(F.sum("n")).first()[0] or 0) * (width + 9) > DEEP_BYTES:
+            self.deep = []
         self.jobs = 0
 
     def wave(self, newer: list, model: np.ndarray | None = None, number: np.ndarray | None = None) -> Wave:
@@ -481,6 +639,84 @@ class Grower:
         parts = {kind: [t for r in sorted(got, key=lambda r: r["place"]) if r["kind"] == kind for t in pickle.loads(r["trees"])] for kind in ("forest", "boosted")}
         return parts["forest"], parts["boosted"]
 
+    def deep_votes(self, seed: int, held_out: bool) -> DataFrame:
+        """(model, id, y, p, trained) of the ``deep`` forests: each task grows and scores its own trees."""
+        models, width, splits, bins, deep, order = self.models, self.width, len(self.splits), self.bins, self.deep, self.splits
+        units = [(m, i) for m in deep for i in range(models[m].trees)]
+        copies = max(1, min(len(units), 2 * self.spark.sparkContext.defaultParallelism))
+
+        def votes(part, blocks, numbers, ids):
+            if not blocks:
+                return
+            k = joined(blocks)
+            ends = np.cumsum([b.n for b in blocks])
+            for m in deep:
+                e = models[m]
+                place = order.index(e.split)
+                own, scope, count = k.trains[:, place], k.scoped[:, place], 1
+                seen = own
+                if e.replicate is not None:
+                    count = np.minimum(replicate_counts(k.draws, np.array([e.replicate])), MOST)
+                    seen = own & (count[:, 0] > 0)
+                at = np.flatnonzero(scope & ~seen if held_out else scope)
+                total, scored = np.zeros(len(at)), k.bins[at]
+                mine = [i for u, (of, i) in enumerate(units) if of == m and u % copies == part]
+                if part and not mine:
+                    continue
+                for i in mine:
+                    number = unit_number(e, i, seed)
+                    weight = np.where(own, poisson(uniform(k.draws, np.array([number]), 2), count)[:, 0], 0)
+                    t = deep_tree(k, e, number, weight, bins)
+                    total += t.value[reached(t, scored)]
+                for r, (end, b) in enumerate(zip(ends, blocks, strict=True)):
+                    lo, hi = np.searchsorted(at, [end - b.n, end])
+                    here = at[lo:hi] - (end - b.n)
+                    if len(here):
+                        first = [[ids[r][i] for i in here], b.y[here].astype(np.uint8).tobytes(), seen[at[lo:hi]].astype(np.uint8).tobytes()] if not part else [None] * 3
+                        cols = [m, numbers[r], part, *first, total[lo:hi].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], c) for v, c in zip(cols, kinds, strict=True)], names=names)
+
+        names = [f.split()[0] for f in VOTES.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+
+        def run(batches):
+            now, blocks, numbers, ids = None, [], [], []
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["part"] != now:
+                        yield from votes(now, blocks, numbers, ids)
+                        now, blocks, numbers, ids = r["part"], [], [], []
+                    blocks.append(Block(r, width, splits))
+                    numbers.append(r["number"])
+                    ids.append(r["ids"])
+            yield from votes(now, blocks, numbers, ids)
+
+        def shares(m, first, total):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(total), m, np.int32)), pa.array(first["ids"], pa.string()),
+                                               pa.array(np.frombuffer(first["y"], np.uint8).astype(np.int32)), pa.array(total / models[m].trees),
+                                               pa.array(np.frombuffer(first["trained"], np.uint8).astype(bool))], names=["model", "id", "y", "p", "trained"])
+
+        def added(batches):
+            first, total = None, None
+            for b in batches:
+                for r in b.to_pylist():
+                    if not r["part"]:
+                        if first is not None:
+                            yield shares(first["model"], first, total)
+                        first, total = r, np.frombuffer(r["votes"]).copy()
+                    else:
+                        total += np.frombuffer(r["votes"])
+            if first is not None:
+                yield shares(first["model"], first, total)
+
+        one = self.blocks.where("part = 0").withColumn("number", F.monotonically_increasing_id()).drop("part")
+        dealt = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        # a row's id is needed once
+        dealt = dealt.withColumns({"ids": F.when(F.col("part") == 0, F.col("ids")), "scores": F.lit(b"")})
+        grown = dealt.repartitionByRange(copies, "part").sortWithinPartitions("part", "number").mapInArrow(run, VOTES)
+        self.jobs += 1
+        return grown.repartition("model", "number").sortWithinPartitions("model", "number", "part").mapInArrow(added, SCORES).checkpoint()
+
     def keep_scores(self, newer: list) -> None:
         """Add the newest trees to the scores beside the rows, and write those to the checkpoint folder."""
         sent = self.spark.sparkContext.broadcast(self.wave(newer))
@@ -499,15 +735,22 @@ class Grower:
 class Fitted:
     """Fitted ensembles over the blocks they were grown on."""
 
-    def __init__(self, grower: Grower, forests: list[tuple[Trees, np.ndarray]], newer: list):
-        self.grower, self.forests, self.newer = grower, forests, newer
+    def __init__(self, grower: Grower, forests: list[tuple[Trees, np.ndarray]], newer: list, seed: int):
+        self.grower, self.forests, self.newer, self.seed = grower, forests, newer, seed
         self.models, self.jobs = grower.models, grower.jobs
+        self.deep: dict[bool, DataFrame] = {}
+
+    def deep_scores(self, held_out: bool) -> DataFrame:
+        """The scores of the forests without a depth limit, grown and scored at the first call."""
+        if held_out not in self.deep:
+            self.deep[held_out] = self.grower.deep_votes(self.seed, held_out)
+        return self.deep[held_out]
 
     def scores(self, names: list[str], held_out: bool = True) -> DataFrame:
         """(names, id, y, p, trained) of the rows a model hasn't seen (for a replicate: drawn zero times), or of all rows."""
         g = self.grower
         sent = g.spark.sparkContext.broadcast((g.wave(self.newer), self.forests))
-        width, splits = g.width, len(g.splits)
+        width, splits, deep = g.width, len(g.splits), set(g.deep)
 
         def run(batches):
             wave, forests = sent.value
@@ -517,6 +760,8 @@ class Fitted:
                     boosted = current_scores(wave, k) if wave.column else None
                     for m in range(k.part, len(wave.models), wave.parts):
                         e = wave.models[m]
+                        if m in deep:
+                            continue
                         place = wave.splits.index(e.split)
                         seen, scope = k.trains[:, place], k.scoped[:, place]
                         if e.replicate is not None:
@@ -533,17 +778,27 @@ class Fitted:
                                                           pa.array(k.y[at].astype(np.int32)), pa.array(p), pa.array(seen[at])],
                                                          names=["model", "id", "y", "p", "trained"])
 
-        return named(g.blocks.mapInArrow(run, SCORES), [m.names for m in g.models], names)
+        found = None if len(deep) == len(g.models) else g.blocks.mapInArrow(run, SCORES)
+        if deep:
+            found = self.deep_scores(held_out) if found is None else found.unionByName(self.deep_scores(held_out))
+        return named(found, [m.names for m in g.models], names)
+
+
+def unit_number(e: Ensemble, tree: int, seed: int) -> int:
+    """The number that a forest's tree draws by."""
+    return tree + seed + 100_003 * (e.replicate or 0)
 
 
 def fit(rows: DataFrame, models: list[Ensemble], width: int, columns: list[str] = (), bins: int = BINS, seed: int = 42) -> Fitted:
     """Grow all ``models`` on a row matrix of ``width`` features whose splits are of ``columns``."""
     g = Grower(rows, list(models), width, list(columns), bins)
-    forest = [m for m, e in enumerate(models) if e.kind == "forest"]
+    forest = [m for m, e in enumerate(models) if e.kind == "forest" and m not in g.deep]
     unit = np.repeat(np.array(forest, int), [models[m].trees for m in forest])
-    number = np.array([i + seed + 100_003 * (models[m].replicate or 0) for m in forest for i in range(models[m].trees)], np.int64)
+    number = np.array([unit_number(models[m], i, seed) for m in forest for i in range(models[m].trees)], np.int64)
+    if len(g.deep) == len(models):
+        return Fitted(g, [], [], seed)
     if g.alone:
-        return Fitted(g, *g.grow_alone(unit, number))
+        return Fitted(g, *g.grow_alone(unit, number), seed)
     forests = [(g.grow(unit[a:a + WAVE], number[a:a + WAVE], [])[0], unit[a:a + WAVE]) for a in range(0, len(unit), WAVE)]
     newer: list[tuple[Trees, np.ndarray]] = []
     for kind in BOOSTED:
@@ -555,7 +810,7 @@ def fit(rows: DataFrame, models: list[Ensemble], width: int, columns: list[str]
             if len(newer) >= KEEP:
                 g.keep_scores(newer)
                 newer.clear()
-    return Fitted(g, forests, newer)
+    return Fitted(g, forests, newer, seed)
 
 
 def fresh(w: Wave, model: np.ndarray, number: np.ndarray, newer: list) -> Wave:
