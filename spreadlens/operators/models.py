@@ -10,9 +10,12 @@ distributed fit — never over rows or groups of rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, RandomForestClassifier)
+                                       LogisticRegression, LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -22,9 +25,14 @@ from ..functions.core import md5_int
 from . import batch_trees, wide_pca
 from . import metrics as M
 from .attention import whole_vectors
+from .dealt import Scorer, dealt_auc
 from .partials import matrix
 from .ranking import row_numbers
 from .rollup import exact_quantiles, median_from_counts
+from .tiled_graph import written
+
+#: Bits of a draw (28 in all) below its bucket's.
+BUCKET_BITS = 16
 
 
 # ------------------------------------------------------------------ M1 / M3 / M4
@@ -48,12 +56,28 @@ def _class_order(df: DataFrame, id_col: str, label: str, seed: int, keys: list[s
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_frac: float = 0.2, seed: int = 42,
                      keys: list[str] | None = None) -> DataFrame:
-    """M3: per class, the first ``round(n_c · test_frac)`` rows in md5 order are test."""
-    keys = keys or []
-    x = _class_order(df, id_col, label, seed, keys)
-    n = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_nc"))
-    x = x.join(n, keys + [label])
-    return x.withColumn("is_test", F.col("_rn") <= F.round(F.col("_nc") * test_frac)).drop("_u", "_rn", "_nc")
+    """M3: per class, the first ``round(n_c · test_frac)`` rows in md5 order are test.
+
+    Only the last test row of each class is looked for: counts by the draws' leading bits name the few rows around it,
+    and only those are put in order.  Rows without a label or key are left out.
+    """
+    by = [*(keys or []), label]
+    x = df.where(reduce(and_, [F.col(c).isNotNull() for c in by])).withColumns(
+        {"_u": md5_int(F.lit(seed), F.col(id_col)).cast("int"), "_at": F.monotonically_increasing_id()})
+    x = written(x)
+    bucket = F.shiftright("_u", BUCKET_BITS).alias("_bucket")
+    counts = x.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_c"))
+    running = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*by)
+    ranked = counts.withColumns({"_cum": F.sum("_c").over(running), "_need": F.round(F.sum("_c").over(whole) * test_frac)})
+    # one bucket a class
+    edge = ranked.where("_cum >= _need and _cum - _c < _need").select(*by, "_bucket", (F.col("_need") - F.col("_cum") + F.col("_c")).alias("_left"))
+    edge = edge.checkpoint()
+    around = x.select(*by, "_u", F.col(id_col).alias("_id"), "_at", bucket).join(edge if keys else F.broadcast(edge), [*by, "_bucket"])
+    last = row_numbers(around, by, ["_u", "_id", "_at"], "_rn").where("_rn = _left").select(*by, F.struct("_u", "_id", "_at").alias("_last")).checkpoint()
+    x = x.join(last if keys else F.broadcast(last), by, "left")  # without keys, a row a class
+    own = F.struct(F.col("_u"), F.col(id_col).alias("_id"), F.col("_at"))
+    return x.select(*by, *[c for c in df.columns if c not in by], (F.col("_last").isNotNull() & F.coalesce(own <= F.col("_last"), F.lit(False))).alias("is_test"))
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42,
@@ -150,7 +174,12 @@ def fit_model(train: DataFrame, features: list[str], label: str, model: str, see
         n = tr.count()
         est = est.setRegParam(1.0 / max(n, 1))
     fitted = est.fit(tr)
-    return fitted, lambda test: positive_prob(fitted.transform(apply(test)))
+
+    def score(test):
+        return positive_prob(fitted.transform(apply(test)))
+
+    score.stats = stats
+    return fitted, score
 
 
 # ------------------------------------------------------------------ M8 / M9
@@ -400,9 +429,22 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, id_co
 
     A row takes the value of the row that follows it in the order of md5 draws.
     """
-    sp = stratified_split(df, id_col, label, 0.2, seed).checkpoint()
-    score = fit_model(sp.where(~F.col("is_test")), features, label, model, seed)[1]
+    sp = stratified_split(df.select(id_col, label, *features), id_col, label, 0.2, seed)
+    fitted, score = fit_model(sp.where(~F.col("is_test")), features, label, model, seed)
     test = sp.where(F.col("is_test")).select(id_col, label, *features)
+    found = None
+    if isinstance(fitted, LogisticRegressionModel) and fitted.numClasses == 2:
+        stats = score.stats.first()
+        scorer = Scorer([stats[f"m_{f}"] for f in features], [stats[f"s_{f}"] for f in features], fitted.coefficients.toArray(), fitted.intercept)
+        found = dealt_auc(test, id_col, label, features, scorer, repeats, seed)
+    per, base = found or _dealt_scores(test, features, label, id_col, score, repeats, seed)
+    return per.crossJoin(F.broadcast(base)).groupBy("feature").agg(
+        F.avg(F.col("base") - F.col("auc")).alias("importance"), F.stddev_pop(F.col("base") - F.col("auc")).alias("importance_std"))
+
+
+def _dealt_scores(test: DataFrame, features: list[str], label: str, id_col: str, score, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(feature, repeat, auc) of dealt rows, and the AUC of the rows as they are, for any model."""
+    test = test.checkpoint()
     n = test.count()
     base = _auc_by(score(test), label).select(F.col("auc").alias("base"))
     dealt = None
@@ -413,9 +455,7 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, id_co
         for f in features:
             one = score(x.withColumn(f, F.col(f"_next_{f}"))).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(label).alias("y"), "p")
             dealt = one if dealt is None else dealt.unionByName(one)
-    per = M.auc(dealt, ["feature", "repeat"], "p", "y")
-    return per.crossJoin(F.broadcast(base)).groupBy("feature").agg(
-        F.avg(F.col("base") - F.col("auc")).alias("importance"), F.stddev_pop(F.col("base") - F.col("auc")).alias("importance_std"))
+    return M.auc(dealt, ["feature", "repeat"], "p", "y"), base
 
 
 def linear_attribution(df: DataFrame, features: list[str], label: str, id_col: str) -> DataFrame:
