@@ -62,10 +62,13 @@ def matrix_of(columns: list[pa.ChunkedArray]) -> np.ndarray:
     return np.stack([c.cast(pa.float64()).fill_null(np.nan).to_numpy() for c in columns], 1)
 
 
-def dealt_auc(test: DataFrame, id_col: str, label: str, features: list[str], scorer: Scorer, repeats: int, seed: int) -> tuple[DataFrame, DataFrame] | None:
-    """(feature, repeat, auc) of the dealt rows, and the AUC of the rows as they are; None without rows."""
+def dealt_auc(test: DataFrame, id_col: str, at_col: str, label: str, features: list[str], scorer: Scorer, repeats: int, seed: int) -> tuple[DataFrame, DataFrame] | None:
+    """(feature, repeat, auc) of the dealt rows, and the AUC of the rows as they are; None without rows.
+
+    Rows of one id come by class and then by ``at_col``, a number of each row.
+    """
     spark, xs = test.sparkSession, [f"x{i}" for i in range(len(features))]
-    test = written(test.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"), F.col(label).cast("int").alias("y"),
+    test = written(test.select(F.col(id_col).alias("id"), F.col(at_col).alias("at"), F.col(label).cast("int").alias("y"),
                                *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs, strict=True)],
                                *[md5_int(F.lit(seed), F.lit(r), F.col(id_col)).cast("int").alias(f"u{r}") for r in range(repeats)]))
     n = test.count()
@@ -78,7 +81,7 @@ def dealt_auc(test: DataFrame, id_col: str, label: str, features: list[str], sco
 
     # one row a slice: numbers first, since the least of texts takes a sort
     least = dealt.groupBy("repeat", "slice").agg(F.min("u").alias("u"))
-    least = dealt.join(F.broadcast(least), ["repeat", "slice", "u"]).groupBy("repeat", "slice").agg(F.min(F.struct("u", "id", "at", *xs)).alias("m"))
+    least = dealt.join(F.broadcast(least), ["repeat", "slice", "u"]).groupBy("repeat", "slice").agg(F.min(F.struct("u", "id", "y", "at", *xs)).alias("m"))
     firsts = sorted((r["repeat"], r["slice"], [np.nan if r["m"][x] is None else r["m"][x] for x in xs]) for r in least.collect())
     after: dict[tuple[int, int], np.ndarray] = {}
     for r in range(repeats):
@@ -106,7 +109,7 @@ def dealt_auc(test: DataFrame, id_col: str, label: str, features: list[str], sco
         if not held:
             return
         t = pa.Table.from_batches(held)
-        t = t.take(pc.sort_indices(t, [(c, "ascending") for c in ("repeat", "slice", "u", "id", "at")], null_placement="at_start"))
+        t = t.take(pc.sort_indices(t, [(c, "ascending") for c in ("repeat", "slice", "u", "id", "y", "at")], null_placement="at_start"))
         repeat, place, y = (t[c].to_numpy() for c in ("repeat", "slice", "y"))
         x = matrix_of([t[c] for c in xs])
         following = np.empty_like(x)

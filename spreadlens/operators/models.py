@@ -429,15 +429,16 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, id_co
 
     A row takes the value of the row that follows it in the order of md5 draws.
     """
-    sp = stratified_split(df.select(id_col, label, *features), id_col, label, 0.2, seed)
+    rows = df.select(id_col, label, *features, F.monotonically_increasing_id().alias("_row"))
+    sp = stratified_split(rows, id_col, label, 0.2, seed)
     fitted, score = fit_model(sp.where(~F.col("is_test")), features, label, model, seed)
-    test = sp.where(F.col("is_test")).select(id_col, label, *features)
+    test = sp.where(F.col("is_test")).select(id_col, label, *features, "_row")
     found = None
     if isinstance(fitted, LogisticRegressionModel) and fitted.numClasses == 2:
         stats = score.stats.first()
         scorer = Scorer([stats[f"m_{f}"] for f in features], [stats[f"s_{f}"] for f in features], fitted.coefficients.toArray(), fitted.intercept)
-        found = dealt_auc(test, id_col, label, features, scorer, repeats, seed)
-    per, base = found or _dealt_scores(test, features, label, id_col, score, repeats, seed)
+        found = dealt_auc(test, id_col, "_row", label, features, scorer, repeats, seed)
+    per, base = found or _dealt_scores(test.drop("_row"), features, label, id_col, score, repeats, seed)
     return per.crossJoin(F.broadcast(base)).groupBy("feature").agg(
         F.avg(F.col("base") - F.col("auc")).alias("importance"), F.stddev_pop(F.col("base") - F.col("auc")).alias("importance_std"))
 

@@ -28,7 +28,7 @@ def test_slices_give_the_auc_of_whole_tables(rows, monkeypatch):
     features = ["x", "z", "same"]
     sp = MO.stratified_split(rows, "row_id", "y", 0.2, 42).checkpoint()
     fitted, score = MO.fit_model(sp.where("not is_test"), features, "y", "logistic", 42)
-    test = sp.where("is_test").select("row_id", "y", *features)
+    test = sp.where("is_test").select("row_id", "y", *features, F.monotonically_increasing_id().alias("at"))
     per, base = MO._dealt_scores(test, features, "y", "row_id", score, 2, 42)
     want, whole = {(r.feature, r["repeat"]): r.auc for r in per.collect()}, base.first()["base"]
     stats = score.stats.first()
@@ -36,11 +36,11 @@ def test_slices_give_the_auc_of_whole_tables(rows, monkeypatch):
     for deal, cut in ((100_000, 200_000), (20, 15), (1, 1)):  # one slice, many, and empty ones
         monkeypatch.setattr(DE, "SLICE_ROWS", deal)
         monkeypatch.setattr(DE, "SLICE_SCORES", cut)
-        got, own = DE.dealt_auc(test, "row_id", "y", features, scorer, 2, 42)
+        got, own = DE.dealt_auc(test, "row_id", "at", "y", features, scorer, 2, 42)
         assert {(r.feature, r["repeat"]): pytest.approx(r.auc, abs=1e-12) for r in got.collect()} == want
         assert own.first()["base"] == pytest.approx(whole, abs=1e-12)
     assert len(want) == 6 and want["same", 0] == whole > 0.7
-    assert DE.dealt_auc(test.limit(0), "row_id", "y", features, scorer, 2, 42) is None
+    assert DE.dealt_auc(test.limit(0), "row_id", "at", "y", features, scorer, 2, 42) is None
 
 
 def test_importance_follows_the_slices(rows, monkeypatch):
